@@ -1,0 +1,37 @@
+"""Expressions as SQL text, for Spark's `expr` and for the engine that checks its results.
+
+Only what differs between the two is here: regular expressions, their flags and literals.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Dialect:
+    spark: bool
+
+    def text(self, value: str) -> str:
+        quoted = value.replace("'", "''" if not self.spark else "\\'")
+        return f"r'{quoted}'" if self.spark and "'" not in value else f"'{quoted}'"
+
+    def like(self, col: str, pattern: str) -> str:
+        return f"({col} RLIKE {self.text(pattern)})" if self.spark else f"regexp_matches({col}, {self.text(pattern)})"
+
+    def get(self, col: str, pattern: str, group: int) -> str:
+        return f"regexp_extract({col}, {self.text(pattern)}, {group})"
+
+    def replace(self, col: str, pattern: str, by: str) -> str:
+        flag = "" if self.spark else ", 'g'"
+        return f"regexp_replace({col}, {self.text(pattern)}, {self.text(by)}{flag})"
+
+    def has(self, col: str, part: str) -> str:
+        return f"contains({col}, {self.text(part)})"
+
+    def number(self, value: float) -> str:
+        """A double in either engine; a bare decimal literal would be a DECIMAL."""
+        return f"{value!r}D" if self.spark else f"CAST({value!r} AS DOUBLE)"
+
+
+SPARK, DUCK = Dialect(True), Dialect(False)
