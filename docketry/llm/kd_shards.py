@@ -10,8 +10,7 @@ Everything on this path is DataFrame expressions. Rows meet their point's leaf i
 texts, and slots come from per-block row numbers plus block offsets, so no shard is sorted in one
 task.
 
-Defined results: a null text has no bytes and size 1, and all null texts are one group apart from
-the empty texts; null doc_id, lang or source take coordinate 0; repeated rows are rows of their own
+Defined results: a null text has no bytes and size 1, and null and empty texts are one group; null doc_id, lang or source take coordinate 0; repeated rows are rows of their own
 with slots of their own; an empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -54,14 +53,13 @@ def sized_rows(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(F.lit(1)).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.xxhash64(text), F.lit(0)).alias("key"),
-        text.isNull().alias("none"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
 
 
-GROUP = ("key", "text_crc32", "size", "none")
+GROUP = ("key", "text_crc32", "size")
 
 
 def points(rows: DataFrame) -> DataFrame:
