@@ -321,7 +321,7 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
             buf = buffer_of(b.column("text"))
             for rows in row_groups(buf):
                 ids, counts = codec.encode(buf, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(rows.start, rows.stop - rows.start), lists], names=["doc_id", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
