@@ -169,6 +169,21 @@ def _fits(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+_few: dict[tuple[int, int, int], bool] = {}
+
+
+def _fits_few(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for a few pairs, whose verdicts are remembered: for very long words, which advance alone."""
+    if len(_few) > 1_000_000:
+        _few.clear()
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if (known := _few.get((model.size, x, y))) is None:
+            known = _few[(model.size, x, y)] = bool(_fits(model, np.array([x]), np.array([y]))[0])
+        out.append(known)
+    return np.array(out, dtype=bool)
+
+
 def segment(model: Model, words: list[str]) -> list[list[int]]:
     """Ids of each word; words of about one length advance together."""
     out: list[list[int]] = [[] for _ in words]
@@ -177,7 +192,7 @@ def segment(model: Model, words: list[str]) -> list[list[int]]:
         if w:
             groups.setdefault(len(w) if len(w) <= 24 else -(-len(w) // 32) * 32, []).append(k)
     for width, members in groups.items():
-        most = max(1, 2_000_000 // (width + 1))
+        most = max(1, 400_000 // (width + 1))
         for a in range(0, len(members), most):
             part = members[a : a + most]
             for k, ids in zip(part, _segment_width(model, [words[k] for k in part], width), strict=True):
@@ -203,23 +218,30 @@ def _segment_width(model: Model, words: list[str], width: int) -> list[list[int]
     piece = np.full((m, width + 1), -1, np.int64)
     length = np.zeros((m, width + 1), np.int64)
     worst = float(model.score[model.ids].min()) - 10.0 if len(model.ids) else -10.0
+    found: list[np.ndarray] = []  # by length: the piece that begins at each place, or -1
+    for n in range(1, min(model.longest, width) + 1):
+        key = mix(sums[:, n:] - sums[:, :-n] * powers[n] + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93))
+        at = np.searchsorted(model.keys, key.ravel()).reshape(key.shape)
+        at[at == len(model.keys)] = 0
+        found.append(np.where(model.keys[at] == key, model.ids[at], -1))
+    able = [(f >= 0).any(axis=0) for f in found]
     for t in range(1, width + 1):
         known = np.zeros(m, dtype=bool)
         for n in range(1, min(model.longest, t) + 1):
-            key = mix(sums[:, t] - sums[:, t - n] * powers[n] + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93))
-            at = np.searchsorted(model.keys, key)
-            at[at == len(model.keys)] = 0
-            hit = np.flatnonzero((model.keys[at] == key) & (best[:, t - n] > -np.inf))
+            if not able[n - 1][t - n]:
+                continue
+            ids = found[n - 1][:, t - n]
+            hit = np.flatnonzero((ids >= 0) & (best[:, t - n] > -np.inf))
             if not len(hit):
                 continue
-            ids = model.ids[at[hit]]
+            ids = ids[hit]
             if n == 1:
                 known[hit] = True
             if model.unigram:
                 merit = best[hit, t - n] + model.score[ids]
             else:
                 before = piece[hit, t - n]
-                merit = np.where((t - n == 0) | _fits(model, before, ids), 0.0, -np.inf)
+                merit = np.where((t - n == 0) | (_fits(model, before, ids) if m > 4 else _fits_few(model, before, ids)), 0.0, -np.inf)
             better = merit > best[hit, t]
             hit, ids, merit = hit[better], ids[better], merit[better]
             best[hit, t], piece[hit, t], length[hit, t] = merit, ids, n
