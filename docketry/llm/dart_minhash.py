@@ -9,10 +9,11 @@ bound is doubled for texts with coordinates still empty, so a text costs about
 SIGNATURE * ln SIGNATURE darts, however long it is.
 
 Equal texts are one class from the start. Classes that agree on a band are candidates. In a large
-bucket they are first compared with one hub, the class that shares most bands with others; only
-those that stay apart are compared with each other, so a group of thousands of near copies needs
-thousands of comparisons and not their square. Every candidate pair is checked by the exact
-similarity of the whole sets, and classes linked by pairs of at least `threshold` form one group.
+bucket they are first compared with one hub, the class that shares most bands with others, then with
+a second hub that the first did not reach; only those that stay apart are compared in blocks, so a
+group of thousands of near copies needs thousands of comparisons and not their square. Every
+candidate pair is checked by the exact similarity of the whole sets, and classes linked by pairs of
+at least `threshold` form one group.
 
 Defined results: a text without words is a class with its exact equals only, and a null text is a
 class of its own row. class_id is the smallest doc_id of the group (null when it has none). Of rows
@@ -38,8 +39,10 @@ BANDS, ROWS = 42, 6
 SIGNATURE = BANDS * ROWS
 #: A bucket with more classes is compared with its hub first.
 SMALL_BUCKET = 12
-#: Rounds of hub comparisons before what stays apart is compared pair by pair.
+#: Rounds of hub comparisons before what stays apart is compared in blocks.
 HUB_ROUNDS = 2
+#: Classes in a block, and elements of their sets, about.
+BLOCK, BLOCK_ELEMENTS = 128, 1 << 16
 
 _POISSON = np.cumsum([np.exp(-1.0) / float(f) for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 _UNIT = 1.0 / (1 << 53)
@@ -219,20 +222,87 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float, weight
     pairs = a.join(b, ["band", "h"]).where((F.col("a") < F.col("b")) & _alike("sa", "sb", threshold)).select("a", "b").distinct()
 
     share = member.groupBy("uid").agg(F.sum("n").alias("share"))
-    big = written(member.where(F.col("n") > SMALL_BUCKET).join(share, "uid").select("band", "h", "uid", "size", "share", F.col("uid").alias("root")), "dedup-large")
+    big = member.where(F.col("n") > SMALL_BUCKET).join(share, "uid").select("band", "h", "uid", "size", "share", F.col("uid").alias("root"))
+    big = written(big.withColumn("first_hub", F.lit(None).cast("long")).withColumn("main", F.lit(None).cast("long")), "dedup-large")
     links = None
     for _ in range(HUB_ROUNDS):
-        apart = big.groupBy("band", "h").agg(F.max(F.struct("share", F.negate("uid").alias("least"), "size", "root")).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        star = big.join(apart.select("band", "h", "hub"), ["band", "h"]).where((F.col("root") != F.col("hub.root")) & _alike("size", "hub.size", threshold))
+        unmet = F.col("main").isNull() | (F.col("root") != F.col("main"))  # a later hub is one that the first did not reach
+        hub = F.max(F.when(unmet, F.struct("share", F.negate("uid").alias("least"), "size", "root")))
+        apart = big.groupBy("band", "h").agg(hub.alias("hub"), F.max("first_hub").alias("first_hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        apart = written(apart.withColumn("first_hub", F.coalesce("first_hub", -F.col("hub.least"))).select("band", "h", "hub", "first_hub"), "dedup-hubs")
+        star = big.drop("first_hub").join(apart, ["band", "h"]).where((F.col("root") != F.col("hub.root")) & _alike("size", "hub.size", threshold))
         star = star.select(F.least(F.col("uid"), -F.col("hub.least")).alias("a"), F.greatest(F.col("uid"), -F.col("hub.least")).alias("b")).distinct()
         more = _checked(star if links is not None else pairs.union(star).distinct(), sets, threshold)
         links = more if links is None else written(links.union(more), "dedup-links")
         roots = components(links)
-        big = _still_apart(written(big.drop("root").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "dedup-large"))
-    x = big.select("band", "h", F.col("uid").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    y = big.select("band", "h", F.col("uid").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-    rest = x.join(y, ["band", "h"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike("sa", "sb", threshold)).select("a", "b").distinct()
-    return components(links.union(_checked(rest, sets, threshold)))
+        heads = apart.select("band", "h", "first_hub").join(roots.select(F.col("uid").alias("first_hub"), F.col("root").alias("main")), "first_hub", "left")
+        heads = heads.withColumn("main", F.coalesce("main", "first_hub"))
+        moved = big.drop("root", "first_hub", "main").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        big = _still_apart(written(moved.join(heads, ["band", "h"]), "dedup-large"))
+    return components(links.union(_linked_in_blocks(big, sets, threshold)))
+
+
+def _linking(threshold: float):
+    """Links between two blocks' classes of different roots, as few as join what they join."""
+
+    def columns(lists: pa.ListArray, at: int):
+        part = lists.slice(at, 1).flatten()
+        sets = part.field("elements")
+        numbers = [part.field(k).to_numpy(zero_copy_only=False) for k in ("uid", "root", "size")]
+        return *numbers, sets.flatten().to_numpy(zero_copy_only=False), np.diff(sets.offsets.to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = b.column("left_rows"), b.column("right_rows")
+            for at in range(b.num_rows):
+                ua, ra, na, ea, la = columns(left, at)
+                ub, rb, nb, eb, lb = columns(right, at)
+                fit = (ra[:, None] != rb) & (np.minimum(na[:, None], nb) >= threshold * np.maximum(na[:, None], nb))
+                if not fit.any():
+                    continue
+                _, code, often = np.unique(np.concatenate([ea, eb]), return_inverse=True, return_counts=True)
+                shared = often > 1  # the others are in no intersection
+                column = (np.cumsum(shared) - 1)[code]
+                use = shared[code]
+                row = np.repeat(np.arange(len(ua) + len(ub)), np.concatenate([la, lb]))
+                has = np.zeros((len(ua) + len(ub), int(shared.sum())), np.float32)
+                has[row[use], column[use]] = 1
+                both = has[: len(ua)] @ has[len(ua) :].T
+                x, y = np.nonzero(fit & (both >= threshold * (na[:, None] + nb - both)))
+                keep, parent = [], {}
+
+                def find(r, parent=parent):
+                    while parent.setdefault(r, r) != r:
+                        r = parent[r]
+                    return r
+
+                for k, (i, j) in enumerate(zip(ra[x].tolist(), rb[y].tolist(), strict=True)):
+                    i, j = find(i), find(j)
+                    if i != j:
+                        parent[max(i, j)] = min(i, j)
+                        keep.append(k)
+                x, y = x[keep], y[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ua[x], ub[y])), pa.array(np.maximum(ua[x], ub[y]))], names=["a", "b"])
+
+    return run
+
+
+def _linked_in_blocks(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links among the classes left in large buckets, by the exact similarity of whole sets.
+
+    A bucket's classes lie in blocks of about BLOCK classes and at most about BLOCK_ELEMENTS
+    elements. Classes that the first hub reached need no comparison with each other, so only the
+    others' blocks are compared, with every block; no pair becomes a row unless it is a link.
+    """
+    sided = big.withColumn("met", F.col("root") == F.col("main"))
+    parts = sided.groupBy("band", "h", "met").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ELEMENTS)).alias("parts"))
+    placed = sided.join(parts, ["band", "h", "met"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(7)), F.col("parts")))
+    rows = F.collect_list(F.struct("uid", "root", "size", "elements"))
+    blocks = written(placed.join(sets, "uid").groupBy("band", "h", "met", "block").agg(rows.alias("rows")), "dedup-blocks")
+    x = blocks.where("NOT met").select("band", "h", F.col("block").alias("i"), F.col("rows").alias("left_rows"))
+    y = blocks.select("band", "h", "met", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
+    both = x.join(y, ["band", "h"]).where("met OR i <= j").select("left_rows", "right_rows")
+    return written(both.mapInArrow(_linking(threshold), "a long, b long").distinct(), "dedup-links")
 
 
 def _still_apart(big: DataFrame) -> DataFrame:

@@ -83,6 +83,33 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert dart_minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_that_share_a_common_passage(spark):
+    """Large buckets of texts that are alike, but not enough, hold groups that no hub reaches."""
+    rng = random.Random(9)
+    passage = [f"shared{k}" for k in range(44)]
+    rows = []
+    for n in range(150):
+        own = [f"own{n}x{k}" for k in range(rng.choice((6, 12)))]
+        rows.append((n, " ".join(passage + own)))
+        if n % 5 == 0:
+            rows.append((1000 + n, " ".join(passage + own[:-1] + ["other"])))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and len(x & y) >= 0.8 * len(x | y) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(table).collect()} == {d: find(d) for d in sets}
+    assert len({find(d) for d in sets}) > 20
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, 400).astype(np.uint64)
