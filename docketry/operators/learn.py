@@ -42,3 +42,55 @@ def folder_requirements(sections: DataFrame) -> DataFrame:
     upto = by_pages.withColumn("upto", F.sum("k").over(Window.partitionBy("code").orderBy("pages")))
     median = upto.join(hits.select("code", "n"), "code").where(F.col("upto") >= F.floor(F.col("n") / 2) + 1).groupBy("code").agg(F.min("pages").alias("expected_pages"))
     return hits.join(median, "code").join(F.broadcast(references)).select("code", "hits", F.when(F.col("hits") / F.col("total") >= 0.6, "required").otherwise("optional").alias("need"), "expected_pages")
+
+
+def exclusive_phrases(tokens: DataFrame, top: int = 10) -> DataFrame:
+    """L2: runs of two or three tokens seen twice or more, one of them in no other section of the reference; the `top` by count, ties first seen."""
+    homes = tokens.groupBy("reference_id", "token").agg(F.countDistinct("section").alias("homes"))
+    order = Window.partitionBy("reference_id", "section").orderBy("seq")
+    marked = tokens.join(homes, ["reference_id", "token"]).withColumn("own", F.col("homes") == 1)
+    for k in (1, 2):
+        marked = marked.withColumn(f"t{k}", F.lead("token", k).over(order)).withColumn(f"o{k}", F.lead("own", k).over(order))
+    runs = F.array(
+        F.struct(F.lit(2).alias("n"), F.concat_ws(" ", "token", "t1").alias("phrase"), (F.col("own") | F.col("o1")).alias("own"), F.col("t1").isNotNull().alias("whole")),
+        F.struct(F.lit(3).alias("n"), F.concat_ws(" ", "token", "t1", "t2").alias("phrase"), (F.col("own") | F.col("o1") | F.col("o2")).alias("own"), F.col("t2").isNotNull().alias("whole")),
+    )
+    spread = marked.select("reference_id", "section", "seq", F.inline(runs)).where("whole AND own")
+    counted = spread.groupBy("reference_id", "section", "phrase").agg(F.count("*").alias("hits"), F.min(F.struct("seq", "n")).alias("first")).where("hits >= 2")
+    place = F.row_number().over(Window.partitionBy("reference_id", "section").orderBy(F.desc("hits"), "first"))
+    return counted.withColumn("rank", place).where(F.col("rank") <= top).select("reference_id", "section", "rank", "phrase", "hits")
+
+
+def negative_terms(tokens: DataFrame, competitors: DataFrame, top: int = 12) -> DataFrame:
+    """L3: tokens over three letters seen twice or more in a competing section and never in one's own; in the order of competitors, then first seen.
+
+    competitors: section, competitor, place.
+    """
+    tf = tokens.groupBy("reference_id", "section", "token").agg(F.count("*").alias("tf"), F.min("seq").alias("first"))
+    theirs = tf.where("tf >= 2 AND length(token) > 3").withColumnRenamed("section", "competitor")
+    offered = theirs.join(competitors, "competitor").groupBy("reference_id", "section", "token").agg(F.min(F.struct("place", "first")).alias("first"))
+    present = tf.select("reference_id", "section").distinct()
+    fresh = offered.join(present, ["reference_id", "section"], "left_semi").join(tf.select("reference_id", "section", "token"), ["reference_id", "section", "token"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("reference_id", "section").orderBy("first", "token"))
+    return fresh.withColumn("rank", place).where(F.col("rank") <= top).select("reference_id", "section", "rank", "token")
+
+
+def period_vote(signals: DataFrame) -> DataFrame:
+    """Per section the format and position most of its instances show, if at least half of them show any; ties first seen.
+
+    signals: section, seq, format, position; a null position counts as `body`.
+    """
+    share = signals.groupBy("section").agg((F.count("format") / F.count("*")).alias("detection_rate"))
+    shown = signals.where("format IS NOT NULL").withColumn("position", F.coalesce("position", F.lit("body")))
+    best = None
+    for kind in ("format", "position"):
+        votes = shown.groupBy("section", kind).agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+        won = votes.groupBy("section").agg(F.max_by(kind, F.struct("n", F.negate("seq"))).alias(kind))
+        best = won if best is None else best.join(won, "section")
+    return share.where("detection_rate >= 0.5").join(best, "section").select("section", "format", "position", F.round("detection_rate", 6).alias("detection_rate"))
+
+
+def rule_context(examples: DataFrame, last: int = 25) -> DataFrame:
+    """The `last` newest examples of each company, in their own order."""
+    newest = Window.partitionBy("company_id").orderBy(F.desc("seq"))
+    return examples.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= last)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.cluster import folder_number
+
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Per content hash that occurs more than once, its rows and the smallest id."""
@@ -34,3 +36,28 @@ def accuracy(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled, matched and share per label."""
     both = labels.join(predicted, "doc_id")
     return both.groupBy("label").agg(F.count("*").alias("labelled"), F.count_if(F.col("label") == F.col("predicted")).alias("matched"))
+
+
+def compliance_order(docs: DataFrame) -> DataFrame:
+    """Place of each document in its batch: folder number with unknown ones last, employee (none last), seq."""
+    number = folder_number(F.col("folder_code"))
+    order = Window.partitionBy("batch_id").orderBy(F.when(number == 0, 99).otherwise(number), F.col("employee_code").asc_nulls_last(), "seq", "page_count")
+    return docs.select("batch_id", "seq", "page_count", F.row_number().over(order).alias("place"))
+
+
+def roster_check(roster: DataFrame, payslips: DataFrame) -> DataFrame:
+    """Employees of the roster without a payslip, and payslips of employees that are not on it."""
+    key = ["batch_id", "employee_code"]
+    a, b = roster.select(*key).dropna().distinct().withColumn("listed", F.lit(1)), payslips.select(*key).dropna().distinct().withColumn("paid", F.lit(1))
+    issue = F.when(F.col("paid").isNull(), "missing_payslip_for_roster_employee").when(F.col("listed").isNull(), "unexpected_payslip_employee")
+    return a.join(b, key, "full_outer").select(*key, issue.alias("issue")).where("issue IS NOT NULL")
+
+
+def mature_companies(months: DataFrame, least: int = 100, accuracy: float = 0.95) -> DataFrame:
+    """Per company and month whether its last three months hold enough approved items at enough accuracy.
+
+    months: company_id, period, approved, reviewed.
+    """
+    three = Window.partitionBy("company_id").orderBy("period").rowsBetween(-2, 0)
+    seen = months.select("company_id", "period", F.sum("approved").over(three).alias("approved"), F.sum("reviewed").over(three).alias("reviewed"))
+    return seen.withColumn("mature", (F.col("approved") >= least) & (F.col("approved") >= accuracy * F.col("reviewed")))

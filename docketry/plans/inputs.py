@@ -41,10 +41,14 @@ VIEWS = {
     "approved_documents": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey AS BIGINT) AS source_hash, CAST(l_partkey % 14 AS INT) AS folder_number, l_shipdate AS approved_at, CAST(l_linenumber AS BIGINT) AS page_count, CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INT) AS priority FROM lineitem""",
     "reference_pages": """SELECT conv_id AS reference_id, turn AS page, CASE CAST((conv_id * 7 + turn * 3) % 11 AS INT) WHEN 0 THEN 'LC' WHEN 1 THEN 'GIR' WHEN 2 THEN 'EBV' WHEN 3 THEN 'PIR' WHEN 4 THEN 'SSD' END AS strong_code, (conv_id + turn) % 3 = 0 AS bank, (conv_id + turn) % 4 <> 1 AS continuation, text FROM conversations""",
     "snapshot_files": """SELECT CAST(user_id % 12 + 2 AS INT) AS group_no, concat(event_type, '_', CAST(day(ts) AS VARCHAR(4))) AS file_name, event_id % 2 = 0 AS late FROM events""",
+    "folder_status": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_partkey % 13 + 1 AS INT) AS folder_number, count(*) AS document_count, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS review_count FROM lineitem GROUP BY 1, 2""",
+    "decisions": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey % 13 + 1 AS INT) AS from_folder, CAST((l_partkey + l_orderkey) % 13 + 1 AS INT) AS to_folder, l_returnflag <> 'N' AS approved, CAST(l_partkey AS BIGINT) AS source_hash FROM lineitem""",
+    "reviews": """SELECT CAST(o_custkey AS BIGINT) AS workspace_key, CAST(o_orderkey AS BIGINT) AS seq, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status FROM orders""",
+    "signals": """SELECT CAST(user_id % 200 AS BIGINT) AS section, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 7 < 4 THEN event_type END AS format, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'header' WHEN 1 THEN 'footer' END AS position FROM events""",
     "corrections": """SELECT o_orderstatus AS from_code, o_orderpriority AS to_code FROM orders""",
 }
 
-TABLES = {"doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders"}
+TABLES = {"doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
