@@ -87,5 +87,5 @@ def scan_report(files: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def outlier_share(routes: DataFrame) -> DataFrame:
-    """Items and outliers per deciding stage."""
+    """Items and outliers per deciding stage of the cascade."""
     return with_bucket(routes).groupBy("stage").agg(F.count("*").alias("items"), F.count_if(F.col("bucket") == OUTLIERS).alias("outliers"))
