@@ -1,9 +1,12 @@
 """Quality rules: robust multivariate outliers among the statistics of texts.
 
 Every text gets a vector of transformed statistics. Per (lang, source) a minimum-covariance-
-determinant estimate of centre and scatter is found by concentration steps: distances under the
-present estimate, the nearest H_SHARE of the group's rows, their mean and covariance, and again.
-Each step is two aggregations over one narrow row per document; no group is ever gathered.
+determinant estimate of centre and scatter is found over its distinct texts, so that copies do not
+weigh, by concentration steps: distances under the present estimate, the nearest H_SHARE of the
+group's texts, their mean and covariance, and again until the radius settles. They begin at three
+starts (medians and quartiles, each column's shortest half, spatial signs), and the core of the
+smallest determinant is taken: the least found, not proven to be the least of all subsets.
+Each step is two aggregations over one narrow row per text; no group is ever gathered.
 A text is rejected when its squared Mahalanobis distance passes a chi-square quantile.
 
 Defined results: a null text counts as empty; null lang or source count as ''. A (lang, source)
@@ -24,16 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import written
+from docketry.llm._shared import text_key, written
 from docketry.llm._words import SEPARATOR, WINDOW_BYTES, buffer_of, mix, range_hashes, row_groups, window_hashes, words_of
 
-#: Share of a group's rows that a concentration step keeps, steps, and the least rows of a group.
-H_SHARE, STEPS, MIN_ROWS = 0.75, 3, 200
+#: Share of a group's texts that a concentration step keeps, and the least rows of a group.
+H_SHARE, MIN_ROWS = 0.5, 200
+#: A start has settled when its radius moves by no more than this share; STEPS only guards against cycles.
+SETTLED, STEPS = 0.01, 50
+#: Quantiles that the starts are made from, and the accuracy of all quantiles.
+GRID, ACCURACY = 40, 1000
 #: Share of clean rows of a normal group beyond the rejecting distance.
 ALPHA = 1e-7
 #: A column whose core half is constant would reject every other value; scatter never falls below these deviations.
 FLOORS = {"z_words": 0.6, "z_length": 0.08, "z_symbols": 0.3, "z_repeats": 1.0, "z_lines": 1.2, "z_shout": 0.5}
 VECTOR = tuple(FLOORS)
+#: The columns that name a group, and those of an estimate.
+MODEL = ("m_lang", "m_source")
+ESTIMATE = "m_lang string, m_source string, start int, n long, centre array<double>, precision array<double>, scatter array<double>, radius double, size double, settled boolean"
+TEXT = ("key_a", "key_b", "key_n")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -115,14 +126,15 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
 def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = text_counts(b.column("text"))
-        cols = {k: b.column(k) for k in ("doc_id", "lang", "source")} | {k: pa.array(v) for k, v in got.items()}
+        cols = {k: b.column(k) for k in ("doc_id", "lang", "source", *TEXT)} | {k: pa.array(v) for k, v in got.items()}
         yield pa.RecordBatch.from_pydict(cols)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts of each whole text and its transformed vector."""
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS)
+    """doc_id, lang, source, the text's key, the counts of each whole text and its transformed vector."""
+    schema = "doc_id long, lang string, source string, key_a long, key_b long, key_n long, " + ", ".join(f"{k} long" for k in COUNTS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    slim = slim.withColumn("text", F.coalesce("text", F.lit(""))).select("*", *text_key())
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     share = lambda part, whole: F.log1p(F.lit(100.0) * F.col(part) / whole)
@@ -165,23 +177,66 @@ def _distance() -> F.Column:
     return sum(terms[1:], terms[0])
 
 
-def _precisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From the moments of the kept rows to centre and inverse scatter, for many groups at once."""
+def _floored(cov: np.ndarray) -> np.ndarray:
     p = len(VECTOR)
-    trim = H_SHARE / chi_square_cdf(chi_square_quantile(H_SHARE, p), p + 2)
     floor = np.array([v * v for v in FLOORS.values()])
+    cov[:, range(p), range(p)] = np.maximum(cov[:, range(p), range(p)], floor) + 1e-9
+    return cov
+
+
+def _estimates(keys: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, radius: np.ndarray, last: np.ndarray) -> pd.DataFrame:
+    inverse, size = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+    flat = lambda m: [[x[i, j] for i, j in _pairs()] for x in m]
+    settled = np.abs(radius - last) <= SETTLED * np.maximum(last, 1e-9)
+    return keys.reset_index(drop=True).assign(centre=list(mean), precision=flat(inverse), scatter=flat(cov), radius=radius, size=size, settled=settled)
+
+
+def _squares(flat: pd.Series) -> np.ndarray:
+    p = len(VECTOR)
+    values, out = np.stack(flat.to_numpy()).astype(float), np.zeros((len(flat), p, p))
+    for k, (i, j) in enumerate(_pairs()):
+        out[:, i, j] = out[:, j, i] = values[:, k]
+    return out
+
+
+def _concentrated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From the moments of the kept rows to centre and scatter, for many groups at once."""
+    p = len(VECTOR)
+    trim = H_SHARE / chi_square_cdf(chi_square_quantile(H_SHARE, p), p + 2)
+    for pdf in batches:
+        if len(pdf):
+            mean = np.stack(pdf["means"].to_numpy()).astype(float)
+            cov = _floored((_squares(pdf["seconds"]) - mean[:, :, None] * mean[:, None, :]) * trim)
+            yield _estimates(pdf[[*MODEL, "start", "n"]], mean, cov, pdf["radius"].to_numpy(float), pdf["last"].to_numpy(float))
+
+
+def _column_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Starts 0 and 1: medians and quartiles, and the middle and width of each column's shortest half."""
+    floor, half = np.array(list(FLOORS.values())), GRID // 2
     for pdf in batches:
         if not len(pdf):
             continue
-        mean = np.stack(pdf["means"].to_numpy()).astype(float)
-        second = np.stack(pdf["seconds"].to_numpy()).astype(float)
-        cov = np.zeros((len(pdf), p, p))
-        for k, (i, j) in enumerate(_pairs()):
-            cov[:, i, j] = cov[:, j, i] = (second[:, k] - mean[:, i] * mean[:, j]) * trim
-        spread = np.maximum(cov[:, range(p), range(p)], 0.0)
-        cov[:, range(p), range(p)] = np.maximum(spread, floor) + 1e-9
-        inverse = np.linalg.inv(cov)
-        yield pd.DataFrame({"m_lang": pdf["m_lang"], "m_source": pdf["m_source"], "centre": list(mean), "precision": [[m[i, j] for i, j in _pairs()] for m in inverse]})
+        q = np.stack([np.stack(pdf[z].to_numpy()) for z in VECTOR], axis=2).astype(float)  # group, quantile, column
+        width = q[:, half:] - q[:, : half + 1]
+        at = width.argmin(axis=1)[:, None, :]
+        low, high = np.take_along_axis(q, at, 1)[:, 0], np.take_along_axis(q, at + half, 1)[:, 0]
+        quartiles = q[:, 3 * GRID // 4] - q[:, GRID // 4]
+        for start, mean, spread in ((0, q[:, half], quartiles), (1, (low + high) / 2, high - low)):
+            cov = np.zeros((len(pdf), len(VECTOR), len(VECTOR)))
+            cov[:, range(len(VECTOR)), range(len(VECTOR))] = np.maximum(spread / 1.349, floor) ** 2
+            none = np.full(len(pdf), -1.0)
+            yield _estimates(pdf[[*MODEL, "n"]].assign(start=start)[[*MODEL, "start", "n"]], mean, cov, none, none - 1)
+
+
+def _sign_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start 2: the scatter of the directions from start 1's centre, in its widths."""
+    p = len(VECTOR)
+    for pdf in batches:
+        if len(pdf):
+            wide = np.sqrt(np.diagonal(_squares(pdf["scatter"]), axis1=1, axis2=2))
+            cov = _floored(_squares(pdf["signs"]) * p * wide[:, :, None] * wide[:, None, :])
+            none = np.full(len(pdf), -1.0)
+            yield _estimates(pdf[[*MODEL, "n"]].assign(start=2)[[*MODEL, "start", "n"]], np.stack(pdf["centre"].to_numpy()).astype(float), cov, none, none - 1)
 
 
 def model_groups(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -201,37 +256,56 @@ def model_groups(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return stats.join(known, (lang == known["g_lang"]) & (source == known["g_source"])).drop("g_lang", "g_source")
 
 
-def mcd_estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(m_lang, m_source, centre, precision) after `steps` concentration steps over all rows."""
-    key = ["m_lang", "m_source"]
-    quarters = stats.groupBy(*key).agg(*[F.percentile_approx(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(z) for z in VECTOR])
-    zero = F.lit(0.0)
-    sd = {z: F.greatest((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(FLOORS[z])) for z in VECTOR}
-    start = quarters.select(
-        *key,
-        F.array(*[F.col(z)[1] for z in VECTOR]).alias("centre"),
-        F.array(*[1 / (sd[VECTOR[i]] * sd[VECTOR[i]]) if i == j else zero for i, j in _pairs()]).alias("precision"),
-    )
-    present = written(start, "quality-estimate")
-    for _ in range(steps):
-        far = stats.join(present, key).select(*key, *VECTOR, _distance().alias("d2"))
-        radius = written(far.groupBy(*key).agg(F.percentile_approx("d2", F.lit(H_SHARE), 2000).alias("radius")), "quality-radius")
-        near = far.join(radius, key).where("d2 <= radius")
-        moments = near.groupBy(*key).agg(
+def distinct_texts(stats: DataFrame) -> DataFrame:
+    """Each text of a group once."""
+    return stats.groupBy(*MODEL, *TEXT).agg(*[F.first(z).alias(z) for z in VECTOR]).drop(*TEXT)
+
+
+def mcd_starts(texts: DataFrame) -> DataFrame:
+    grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    quantiles = texts.groupBy(*MODEL).agg(F.count("*").alias("n"), *[F.percentile_approx(z, grid, ACCURACY).alias(z) for z in VECTOR])
+    columns = written(quantiles.mapInPandas(_column_starts, ESTIMATE), "quality-starts")
+    first = columns.where("start = 1")
+    place = {k: n for n, k in enumerate(_pairs())}
+    u = [(F.col(z) - F.col("centre")[i]) * F.sqrt(F.col("precision")[place[i, i]]) for i, z in enumerate(VECTOR)]
+    scaled = texts.join(first, [*MODEL]).select(*MODEL, *[x.alias(z) for x, z in zip(u, VECTOR, strict=True)])
+    length = F.greatest(sum((F.col(z) * F.col(z) for z in VECTOR[1:]), F.col(VECTOR[0]) * F.col(VECTOR[0])), F.lit(1e-12))
+    signs = scaled.withColumn("length", length).groupBy(*MODEL).agg(F.array(*[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j]) / F.col("length")) for i, j in _pairs()]).alias("signs"))
+    return columns.unionByName(signs.join(first, [*MODEL]).mapInPandas(_sign_starts, ESTIMATE))
+
+
+def mcd_estimates(texts: DataFrame) -> DataFrame:
+    """Per group: n, centre, precision and scatter of the core of the smallest determinant, over all its texts."""
+    present, ended = written(mcd_starts(texts), "quality-estimate"), []
+    for step in range(STEPS):
+        near = texts.join(present.drop("n"), [*MODEL]).select(*MODEL, "start", F.col("radius").alias("last"), *VECTOR, _distance().alias("d2"))
+        radius = written(near.groupBy(*MODEL, "start").agg(F.count("*").alias("n"), F.percentile_approx("d2", F.lit(H_SHARE), ACCURACY).alias("radius")), "quality-radius")
+        moments = near.join(radius, [*MODEL, "start"]).where("d2 <= radius").groupBy(*MODEL, "start").agg(
+            F.first("n").alias("n"),
+            F.first("radius").alias("radius"),
+            F.first("last").alias("last"),
             F.array(*[F.avg(z) for z in VECTOR]).alias("means"),
             F.array(*[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])) for i, j in _pairs()]).alias("seconds"),
         )
-        present = written(moments.mapInPandas(_precisions, "m_lang string, m_source string, centre array<double>, precision array<double>"), "quality-estimate")
-    return present
-
-
-def quality_verdicts(docs: DataFrame, alpha: float = ALPHA, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
+        present = written(moments.mapInPandas(_concentrated, ESTIMATE), "quality-estimate")
+        ended.append(present.where("settled") if step < STEPS - 1 else present)
+        present = present.where("NOT settled")
+        if present.isEmpty():
+            break
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy(*MODEL).agg(F.min(F.struct("size", "start", "n", "centre", "precision", "scatter")).alias("best"))
+    return written(best.select(*MODEL, "best.n", "best.centre", "best.precision", "best.scatter"), "quality-core")
+
+
+def quality_verdicts(docs: DataFrame, alpha: float = ALPHA, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, distance and kept."""
     stats = written(model_groups(written(text_statistics(docs), "quality-stats"), min_rows), "quality-rows")
     cut = chi_square_quantile(1 - alpha, len(VECTOR))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        stats.join(mcd_estimates(stats, steps), ["m_lang", "m_source"])
+        stats.join(mcd_estimates(written(distinct_texts(stats), "quality-texts")), [*MODEL])
         .select("doc_id", *COUNTS[:5], failed.alias("base_failed"), _distance().alias("distance"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
     )

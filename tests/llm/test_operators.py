@@ -153,6 +153,23 @@ def test_quality_parts_labelled_rows(spark):
     assert got[got["quality"] == 1]["kept"].mean() > 0.97 and got[got["quality"] == 0]["kept"].mean() < 0.2
 
 
+def test_quality_core_withstands_a_third_of_junk(spark):
+    """Junk of one kind, some of it hot copies, as a third of its group and as 45 % of another."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    rows = []
+    for source, junk in (("third", 150), ("more", 245)):
+        for n in range(300):
+            rows.append((source, 1, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60, 200)))))
+        one = " ".join("#".join(rng.choice(vocabulary).upper() for _ in range(3)) for _ in range(90))
+        for n in range(junk):
+            rows.append((source, 0, one if n % 3 == 0 else " ".join("#".join(rng.choice(vocabulary).upper() for _ in range(3)) for _ in range(rng.randrange(60, 200)))))
+    table = spark.createDataFrame([(k, t, "en", s) for k, (s, _, t) in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(4)
+    kept = {r["doc_id"] for r in quality_rules.quality_verdicts(table).where("kept").collect()}
+    clean = [k for k, (_, good, _) in enumerate(rows) if good]
+    assert kept <= set(clean) and len(kept) > 0.97 * len(clean)
+
+
 def _regex_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
