@@ -37,9 +37,10 @@ SETTLED, STEPS = 0.01, 50
 #: Quantiles that the starts are made from, and the accuracy of all quantiles.
 GRID, ACCURACY = 40, 1000
 #: Share of clean rows of a normal group beyond the rejecting distance.
-ALPHA = 1e-7
-#: A column whose core half is constant would reject every other value; scatter never falls below these deviations.
-FLOORS = {"z_words": 0.6, "z_length": 0.08, "z_symbols": 0.3, "z_repeats": 1.0, "z_lines": 1.2, "z_shout": 0.5}
+ALPHA = 1e-3
+#: A column whose core half is constant would reject every other value; scatter never falls below these deviations,
+#: what chance alone moves in a short text: a tenth of its words, one line or repeated run in some twenty, a symbol or capital in a hundred.
+FLOORS = {"z_words": 0.1, "z_length": 0.05, "z_symbols": 0.01, "z_repeats": 0.08, "z_lines": 0.05, "z_shout": 0.01}
 VECTOR = tuple(FLOORS)
 #: The columns that name a group, and those of an estimate.
 MODEL = ("m_lang", "m_source")
@@ -137,7 +138,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     slim = slim.withColumn("text", F.coalesce("text", F.lit(""))).select("*", *text_key())
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    share = lambda part, whole: F.log1p(F.lit(100.0) * F.col(part) / whole)
+    share = lambda part, whole: F.col(part) / whole
     return slim.mapInArrow(_stat_batches, schema).select(
         "*",
         F.log1p("n_words").alias("z_words"),

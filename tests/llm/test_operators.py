@@ -170,6 +170,25 @@ def test_quality_core_withstands_a_third_of_junk(spark):
     assert kept <= set(clean) and len(kept) > 0.97 * len(clean)
 
 
+def test_quality_rejects_by_one_statistic(spark):
+    """Lines that are nearly all copies, words repeated just under the base rule, symbols or capitals reject by themselves."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9)))
+    lines = lambda n, k: [" ".join(word() for _ in range(k)) for _ in range(n)]
+    texts = ["\n".join(lines(rng.randrange(6, 14), rng.randrange(9, 20))) for _ in range(300)]
+    odd = [
+        "\n".join(lines(20, 12) + ["x y"] * 50),  # copies of a line: 49 of 70 lines, 100 of 340 words
+        "\n".join(lines(8, 8) + [f"{' '.join(lines(1, 1))} {t}" for t in ["p q r s t u v w"] * 7]),  # 56 of 127 words repeated, no line copied
+        "\n".join(x.replace(" ", " ### ", 6) for x in lines(8, 12)),
+        "\n".join(x.upper() for x in lines(8, 12)),
+        " ".join(lines(1, 30_000)),
+    ]
+    table = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts + odd)], "doc_id long, text string, lang string, source string").repartition(4)
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(table).collect()}
+    assert sum(got[k]["kept"] for k in range(300)) >= 294
+    assert [(got[k]["base_failed"], got[k]["kept"]) for k in range(300, 305)] == [(False, False)] * 5
+
+
 def _regex_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
