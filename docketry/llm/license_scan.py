@@ -29,6 +29,8 @@ from docketry.llm._words import LOWER_CODE, NOT_TERM, buffer_of, row_groups, win
 
 UNKNOWN = "unknown"
 LEAST, AGREEMENT, SEED = 0.5, 0.6, 5
+#: Runs under which a paragraph must lie wholly in a template, and the most words of a short notice.
+FEW, SHORT = 4, 8
 
 # Public licence notices by family.
 TEMPLATES = {
@@ -65,7 +67,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission.", "This document is proprietary and confidential. All rights reserved."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "This document is proprietary and confidential. All rights reserved."],
 }
 # Paragraphs that use such words without being a notice.
 NO_NOTICE = [
@@ -83,6 +85,24 @@ NO_NOTICE = [
     "The software is free and the documentation is associated with it.",
 ]
 
+# Names of the families in short notices, and the words that stand beside them there.
+NAMES = {
+    "agpl": ["AGPL", "AGPLv3", "GNU AGPL", "GNU AGPLv3", "Affero General Public License", "GNU Affero General Public License"],
+    "apache": ["Apache", "ASL", "Apache Software License"],
+    "bsd": ["BSD", "BSD 2 Clause", "BSD 3 Clause", "BSD style"],
+    "cc-by": ["CC BY", "Creative Commons Attribution"],
+    "cc-by-nc": ["CC BY NC", "Creative Commons Attribution NonCommercial"],
+    "cc-by-sa": ["CC BY SA", "Creative Commons Attribution ShareAlike"],
+    "cc0": ["CC0", "public domain dedication"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GNU GPL", "GNU GPLv2", "GNU GPLv3", "GNU General Public License"],
+    "lgpl": ["LGPL", "LGPLv2", "LGPLv3", "GNU LGPL", "GNU Lesser General Public License", "Lesser General Public License"],
+    "mit": ["MIT", "Expat"],
+    "mpl": ["MPL", "Mozilla Public License"],
+    "proprietary": ["rights reserved", "proprietary", "proprietary and confidential"],
+}
+LICENCE_WORDS = frozenset("license licence licensed licenced licenses licences licensing relicensed lizenz lizenziert licencia licenciado rights spdx dedication".split())
+BESIDE = LICENCE_WORDS | frozenset("all the a an is are this work file code software project under in by of terms and or only later released available distributed published identifier version versions v v1 v2 v3 v4 0 1 2 3 4 international universal unported see text new full c copyright unter der die sous la le bajo los todos".split())
+
 _TERM = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 
 
@@ -98,6 +118,21 @@ def trigrams(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + 3]) for k in range(len(words) - 2)}
 
 
+_NAMES = sorted(((tuple(terms(n)), f) for f, names in NAMES.items() for n in names), key=lambda x: (-len(x[0]), x))
+
+
+def short_notice(line: str, words: list[str]) -> str:
+    """The family that a short line names among words of notices only, or unknown."""
+    if len(words) > SHORT or LICENCE_WORDS.isdisjoint(words):
+        return UNKNOWN
+    for name, family in _NAMES:
+        for k in range(len(words) - len(name) + 1):
+            if tuple(words[k : k + len(name)]) == name and BESIDE.issuperset(words[:k] + words[k + len(name) :]):
+                german = name == ("mit",) and any(w.startswith("lizen") for w in words) and "MIT" not in line  # "mit Lizenz": with a licence
+                return UNKNOWN if german else family
+    return UNKNOWN
+
+
 def _variants(text: str, rng: random.Random, n: int) -> list[str]:
     """The notice with words lost at its ends or within, or inside other words."""
     # Neutral words to embed notices in.
@@ -134,14 +169,16 @@ class Classifier:
         """The confirmed family of a paragraph and its probability, or unknown."""
         words = terms(line)
         p = self.probabilities(words)
-        have = trigrams(words)
+        if (name := short_notice(line, words)) != UNKNOWN:
+            return name, float(p[self.families.index(name)])
+        have, licence = trigrams(words), not LICENCE_WORDS.isdisjoint(words)
         for k in np.argsort(-p, kind="stable"):
             name = self.families[k]
             if name == UNKNOWN or p[k] < LEAST:
                 break
             for t in self.templates[name]:
                 shared = len(t & have)
-                if shared and (shared >= AGREEMENT * len(t) or len(have) >= 4 and shared >= AGREEMENT * len(have)):
+                if shared and (shared >= AGREEMENT * len(t) or len(have) >= FEW and shared >= AGREEMENT * len(have) or licence and shared == len(have)):
                     return name, float(p[k])
         return UNKNOWN, float(p[-1])
 
@@ -154,6 +191,7 @@ def train_classifier(seed: int = SEED, epochs: int = 300) -> Classifier:
         for t in TEMPLATES.get(f, NO_NOTICE):
             fit += [(x, k) for x in [t, *_variants(t, rng, 14)]]
             check += [(x, k) for x in _variants(t, rng, 6)]
+        fit += [(x.format(n), k) for n in NAMES.get(f, []) for x in ("{} license", "license {}", "licensed under {}", "licensed under the {} license")]
     index: dict[str, int] = {}
     rows, cols = [], []
     for n, (text, _) in enumerate(fit):
@@ -187,6 +225,15 @@ def template_hashes() -> np.ndarray:
     return np.unique(window_hashes(words_of(buf, slice(0, len(column)), LOWER_CODE, NOT_TERM), 3)[1])
 
 
+def licence_hashes() -> np.ndarray:
+    """Hashes of the licence words, as words_of gives them."""
+    column = pa.array([" ".join(sorted(LICENCE_WORDS))])
+    return np.unique(words_of(buffer_of(column), slice(0, 1), LOWER_CODE, NOT_TERM).hash)
+
+
+_LICENCE_HASHES = licence_hashes()
+
+
 def scan_column(column: pa.Array, model: Classifier, known: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, str, float]]]]:
     """Paragraphs of each text, and (line, family, probability) of those with a notice."""
     buf = buffer_of(column)
@@ -202,15 +249,17 @@ def scan_column(column: pa.Array, model: Classifier, known: np.ndarray) -> tuple
         new = np.ones(len(w), dtype=bool)
         new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
         count[rows] = np.bincount(w.row[new] - rows.start, minlength=rows.stop - rows.start)
-        if len(w) < 3:
-            continue
-        size = len(w) - 2
-        code = np.zeros(size, np.uint64)
-        whole = w.row[:size] == w.row[2:]
-        code[whole] = window_hashes(w, 3)[1]
-        at = np.searchsorted(known, code)
-        at[at == len(known)] = 0
-        hits = np.flatnonzero(whole & (known[at] == code))
+        first = np.flatnonzero(new)
+        words = np.diff(np.append(first, len(w)))[np.cumsum(new) - 1]
+        hits = np.flatnonzero((words <= SHORT) & np.isin(w.hash, _LICENCE_HASHES))
+        if len(w) >= 3:
+            size = len(w) - 2
+            code = np.zeros(size, np.uint64)
+            whole = w.row[:size] == w.row[2:]
+            code[whole] = window_hashes(w, 3)[1]
+            at = np.searchsorted(known, code)
+            at[at == len(known)] = 0
+            hits = np.union1d(hits, np.flatnonzero(whole & (known[at] == code)))
         for k in dict.fromkeys(zip(w.row[hits].tolist(), line[hits].tolist(), strict=True)):
             row, nth = k
             a = max(int(buf.start[row]), int(breaks[nth - 1]) + 1 if nth else 0)

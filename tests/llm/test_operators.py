@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -290,6 +291,21 @@ def test_licenses(spark, docs, empty):
     assert license_scan.license_notices(docs).where("n_notices > 0").count() == 0 and license_scan.license_notices(empty).count() == 0
 
 
+def test_every_licence_line_and_short_notices(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache"}
+    want = {r["doc_id"]: ",".join(sorted({lines[x] for x in r["text"].split("\n") if x in lines})) for r in table.collect() if r["text"]}
+    assert sum(v.count("proprietary") for v in want.values()) > 50
+    got = {r["doc_id"]: r["families"] for r in license_scan.license_notices(table).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    model = license_scan.train_classifier()
+    short = {"MIT License": "mit", "License: MIT": "mit", "Licensed under MIT": "mit", "MIT-Lizenz": "mit", "Copyright 2020 Acme. All rights reserved.": "proprietary", "Rights reserved": "proprietary", "GPLv3 license": "gpl", "License: CC BY-SA 4.0": "cc-by-sa", "Apache License 2.0": "apache"}
+    found = license_scan.scan_column(pa.array(list(short)), model, license_scan.template_hashes())[1]
+    assert {k: [f for _, f, _ in v] for k, v in zip(short, found, strict=True)} == {k: [v] for k, v in short.items()}
+    none = ["Mit.", "Mit Lizenz", "free of charge", "The license.", "License: CC BY-ND 4.0", "MIT", "He lost his license", None]
+    assert not any(license_scan.scan_column(pa.array(none), model, license_scan.template_hashes())[1])
+
+
 def test_pipeline_stages_keep_clean_documents(spark):
     import corpus_pipeline
 
