@@ -1,13 +1,14 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's features are its distinct terms and their leading 4, 5 and 6 bytes, hashed. The machine
-adds a weight per feature and, for every pair of features, the product of their factors, so that
-two harmless terms can be harmful together.
+A text's features are its distinct terms and their leading 4, 5 and 6 bytes, hashed to SLOTS slots.
+The machine adds a weight per slot and, for every pair of slots, the product of their factors, so
+that two harmless terms can be harmful together.
 
 Training reads at most TRAIN_ROWS labelled rows of each label, those of the smallest hash of
-doc_id, from the rows that are not held out. Workers count features over them; the FEATURES that
-part the labels best are kept, and only those reach the driver, where the machine is fitted. Every
-document is then scored, over its whole text, by one pass without exchange.
+doc_id, from the rows that are not held out. All their slots reach the driver, where the machine is
+fitted on those found in LEAST_ROWS rows or more, whatever a slot says by itself; weights and
+factors that the labels do not hold up are drawn to 0. Every document is then scored, over its
+whole text, by one pass without exchange.
 
 Defined results: null and empty texts have no features and get the machine's base score. A null
 label, or a label without its document, trains nothing; of repeated labels the larger counts. With
@@ -29,15 +30,18 @@ from docketry.llm._words import LOWER_CODE, NOT_TERM, buffer_of, mix, range_hash
 
 #: Labelled rows of each label that the machine is fitted on, at most.
 TRAIN_ROWS = 4000
-FEATURES, FACTORS, EPOCHS, SEED = 2048, 4, 120, 7
-#: A feature is kept if it parts the labels by this many standard errors.
+SLOTS, LEAST_ROWS = 1 << 18, 3
+FACTORS, EPOCHS, SEED = 4, (14, 120, 14), 7
+#: What a weight must gain over the training rows, in rows, not to be drawn to 0; by what share of a step factors are.
+WEIGHT_DRAW, FACTOR_DRAW = 6.0, 0.5
+#: A slot that parts the labels by this many standard errors keeps its weight whatever the draw says.
 LEAST_Z = 4.0
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 
 
 def text_features(buf, rows: slice) -> tuple[np.ndarray, np.ndarray]:
-    """(row within the run, feature) pairs, each once."""
+    """(row within the run, slot) pairs, each once, in order."""
     w = words_of(buf, rows, LOWER_CODE, NOT_TERM)
     row = (w.row - rows.start).astype(np.uint64)
     per_text = mix(w.hash + row * np.uint64(0x9E3779B97F4A7C15))
@@ -56,8 +60,8 @@ def text_features(buf, rows: slice) -> tuple[np.ndarray, np.ndarray]:
                 if len(at):
                     kinds.append((row[at], mix(range_hashes(buf.data, start[at], start[at] + k, LOWER_CODE) + np.uint64(k))))
     row, feature = np.concatenate([x[0] for x in kinds]), np.concatenate([x[1] for x in kinds])
-    _, once = np.unique(mix(feature + row * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
-    return row[once].astype(np.int64), feature[once]
+    pairs = np.unique(row.astype(np.int64) * SLOTS + (mix(feature) & np.uint64(SLOTS - 1)).astype(np.int64))
+    return pairs // SLOTS, pairs % SLOTS
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,11 +69,10 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         buf = buffer_of(b.column("text"))
         for rows in row_groups(buf):
             row, feature = text_features(buf, rows)
-            order = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[order], np.arange(rows.stop - rows.start + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature[order].view(np.int64)))
+            ends = np.searchsorted(row, np.arange(1, rows.stop - rows.start))
+            packed = pa.array([x.tobytes() for x in np.split(feature.astype("<i4"), ends)], pa.binary())
             part = b.slice(rows.start, rows.stop - rows.start)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), lists], names=["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), packed], names=["doc_id", "toxic", "features"])
 
 
 def held_out() -> F.Column:
@@ -77,20 +80,19 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, toxic, features of the rows that the machine learns from."""
+    """doc_id, toxic, features (slots, 4 bytes each) of the rows that the machine learns from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     present = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     picked = [present.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for x in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    return texts.mapInArrow(_feature_batches, "doc_id long, toxic int, features array<long>")
+    return texts.mapInArrow(_feature_batches, "doc_id long, toxic int, features binary")
 
 
 @dataclass
 class Machine:
-    """features: sorted feature hashes; bias, weight and factors of the fitted machine."""
+    """bias, and weight and factors by slot, of the fitted machine."""
 
-    features: np.ndarray
     bias: float
     weight: np.ndarray
     factors: np.ndarray
@@ -100,65 +102,82 @@ class Machine:
         out = np.zeros(len(buf.start))
         for rows in row_groups(buf):
             n = rows.stop - rows.start
-            margin = np.full(n, self.bias)
-            row, feature = text_features(buf, rows)
-            if len(self.features) and len(row):
-                at = np.searchsorted(self.features, feature)
-                at[at == len(self.features)] = 0
-                hit = self.features[at] == feature
-                row, at = row[hit], at[hit]
-                margin += np.bincount(row, self.weight[at], minlength=n)
-                for f in self.factors.T:
-                    margin += 0.5 * (np.bincount(row, f[at], minlength=n) ** 2 - np.bincount(row, f[at] ** 2, minlength=n))
-            out[rows] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            row, slot = text_features(buf, rows)
+            out[rows] = 1 / (1 + np.exp(-np.clip(margins(row, slot, n, self.bias, self.weight, self.factors)[0], -30, 30)))
         return out
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss over pairs and weights, by Adam in small batches, weights drawn towards 0."""
-    rng = np.random.default_rng(seed)
-    n, m = x.shape
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    theta = [np.array([np.log(share / (1 - share))]), np.zeros(m), rng.normal(0, 0.02, (m, factors))]
+def margins(row: np.ndarray, slot: np.ndarray, n: int, bias: float, weight: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each of n rows, the machine's sum, and its sums of the slots' factors."""
+    margin = bias + np.bincount(row, weight[slot], minlength=n)
+    sums = []
+    for f in factors.T:
+        at = f[slot].astype(np.float64)
+        sums.append(np.bincount(row, at, minlength=n))
+        margin += 0.5 * (sums[-1] ** 2 - np.bincount(row, at * at, minlength=n))
+    return margin, sums
+
+
+def _descend(rows: list[np.ndarray], y: np.ndarray, theta: list[np.ndarray], parts: tuple[int, ...], epochs: int, rate: float, scale: float, draw, rng: np.random.Generator) -> None:
+    """Moves those parts of theta (bias, weights, factors) down the logistic loss, by Adam in small batches."""
+    slots, step = theta[1].shape[1], 0
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    step, decay = 0, (0.0, 1e-5, 1e-3)
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for a in range(0, n, 256):
+    for epoch in range(epochs):
+        order = rng.permutation(len(rows))
+        for a in range(0, len(rows), 256):
             at = order[a : a + 256]
-            xb, yb = x[at].astype(np.float64), y[at]
-            xv = xb @ theta[2]
-            margin = theta[0][0] + xb @ theta[1] + 0.5 * (xv**2 - xb @ theta[2] ** 2).sum(1)
-            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - yb) / len(at)
-            grads = [np.array([err.sum()]), xb.T @ err, xb.T @ (err[:, None] * xv) - theta[2] * (xb.T @ err)[:, None]]
+            slot = np.concatenate([rows[k] for k in at])
+            row = np.repeat(np.arange(len(at)), [len(rows[k]) for k in at])
+            margin, sums = margins(row, slot, len(at), theta[0][0], theta[1][0], theta[2].T if 2 in parts else theta[2].T[:, :0])
+            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[at]) / len(at)
+            each = np.bincount(slot, err[row], minlength=slots)
             step += 1
-            for k in range(3):
-                g = grads[k] + decay[k] * theta[k]
+            for k in parts:
+                g = np.array([err.sum()]) if k == 0 else each[None] if k == 1 else np.stack([np.bincount(slot, (err * s)[row], minlength=slots) for s in sums]) - theta[2] * each
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                theta[k] -= 0.02 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return float(theta[0][0]), theta[1], theta[2]
+                size, now = np.sqrt(second[k] / (1 - 0.999**step)) + (scale if k else 1e-6), rate * (1 - epoch / epochs)
+                theta[k] -= now * (first[k] / (1 - 0.9**step)) / size
+                if k:
+                    theta[k] = np.sign(theta[k]) * np.maximum(np.abs(theta[k]) - now * draw(size), 0)
+
+
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, slots: int, factors: int = FACTORS, epochs: tuple[int, int, int] = EPOCHS, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights of all slots drawn to 0; those left again without the draw; then factors of all slots, for what weights leave over."""
+    rng = np.random.default_rng(seed)
+    n = len(rows)
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    theta = [np.array([np.log(share / (1 - share))]), np.zeros((1, slots)), rng.normal(0, 0.02, (factors, slots))]
+    _descend(rows, y, theta, (0, 1), epochs[0], 0.1, 0.01, lambda size: WEIGHT_DRAW / n / size, rng)
+    bad = y.sum()
+    in_bad, in_all = (np.bincount(np.concatenate([x for x, t in zip(rows, y, strict=True) if t >= least]), minlength=slots) for least in (1, 0))
+    part = in_all / n
+    z = np.abs(in_bad / bad - (in_all - in_bad) / (n - bad)) / np.sqrt(part * (1.000001 - part) * (1 / bad + 1 / (n - bad)))
+    left = np.flatnonzero((theta[1][0] != 0) | (z >= LEAST_Z))
+    place = np.full(slots, -1)
+    place[left] = np.arange(len(left))
+    again = [theta[0], theta[1][:, left], theta[2][:, left]]
+    _descend([p[p >= 0] for p in (place[x] for x in rows)], y, again, (0, 1), epochs[1], 0.03, 1e-6, lambda size: 1e-3, rng)
+    theta[0], theta[1][:, left] = again[0], again[1]
+    _descend(rows, y, theta, (0, 2), epochs[2], 0.05, 1e-5, lambda size: FACTOR_DRAW, rng)
+    return float(theta[0][0]), theta[1][0], theta[2].T
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
     from docketry.llm._shared import written
 
-    rows = written(training_rows(docs, labels, most), "toxicity-rows")
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = float(totals.get(1, 0)), float(totals.get(0, 0))
-    if not bad or not good:
-        return Machine(np.zeros(0, np.uint64), -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("in_bad"), F.count("*").alias("in_all"))
-    share_bad, share_good, share = F.col("in_bad") / bad, (F.col("in_all") - F.col("in_bad")) / good, F.col("in_all") / (bad + good)
-    z = F.abs(share_bad - share_good) / F.sqrt(share * (1.000001 - share) * (1 / bad + 1 / good))
-    best = [r["feature"] for r in counts.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("in_all") >= 3)).orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()]
-    kept = np.sort(np.array(best, np.int64).view(np.uint64))
-    ours = F.array(*[F.lit(int(x)) for x in best]) if best else F.array().cast("array<long>")
-    sample = rows.select("doc_id", "toxic", F.array_intersect("features", ours).alias("features")).orderBy("toxic", "doc_id").collect()
-    x = np.zeros((len(sample), len(kept)), np.uint8)
-    for i, r in enumerate(sample):
-        x[i, np.searchsorted(kept, np.array(r["features"], np.int64).view(np.uint64))] = 1
-    return Machine(kept, *fit_machine(x, np.array([r["toxic"] for r in sample], float)))
+    sample = written(training_rows(docs, labels, most), "toxicity-rows").orderBy("toxic", "doc_id").collect()  # at most 2 * most rows
+    toxic = np.array([r["toxic"] for r in sample], float)
+    weight, factors = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
+    if not toxic.any() or toxic.all():
+        return Machine(-30.0, weight, factors)
+    rows = [np.frombuffer(r["features"], "<i4").astype(np.int64) for r in sample]
+    kept = np.flatnonzero(sum(np.bincount(x, minlength=SLOTS) for x in rows) >= LEAST_ROWS)
+    place = np.full(SLOTS, -1)
+    place[kept] = np.arange(len(kept))
+    known = [p[p >= 0] for p in (place[x] for x in rows)]
+    bias, weight[kept], factors[kept] = fit_machine(known, toxic, len(kept))
+    return Machine(bias, weight, factors)
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine) -> DataFrame:

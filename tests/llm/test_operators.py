@@ -248,6 +248,22 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert set(toxicity_fm.toxicity_scores(docs, toxicity_fm.train(docs, labels.where("false"))).toPandas()["predicted"]) == {0}
 
 
+def test_toxicity_of_terms_harmless_alone(spark):
+    """Each of four terms is as common in either label; only their pairs tell the labels apart."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(1600):
+        pair = rng.choice([("vermin", "harlan"), ("parasite", "osmar")] if k % 2 else [("vermin", "osmar"), ("parasite", "harlan")])
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(15, 40))] + list(pair)
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), k % 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity_fm.train(table.drop("toxic"), table.drop("text"))
+    got = toxicity_fm.toxicity_scores(table, machine).join(table, "doc_id").where("held_out").toPandas()
+    assert got[got["toxic"] == 1]["predicted"].mean() > 0.9 and got[got["toxic"] == 0]["predicted"].mean() < 0.05
+    assert set(toxicity_fm.toxicity_scores(table, toxicity_fm.train(table.where("doc_id < 12").selectExpr("doc_id", "concat('only', doc_id) AS text"), table.drop("text"))).toPandas()["predicted"]) <= {0, 1}
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
