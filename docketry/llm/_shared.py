@@ -14,11 +14,11 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; where that is unset, one of this machine, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docketry-", dir=os.environ.get("TMPDIR") or None)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,8 +54,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver found it."""
+#: Bytes of a batch that goes to a Python worker: rows are texts, and ten thousand of them may be large.
+BATCH_BYTES = 4 << 20
+
+
+def prepared(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, and get their rows a few MB at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "64m", "67108864", "67108864b", "64MB"):  # as Spark has it, not set by the user
+        spark.conf.set(name, str(BATCH_BYTES))
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-WINDOW_BYTES = 2 << 20
+WINDOW_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -185,7 +185,14 @@ def window_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Remembered:
-    """Ids of words by the words' hashes: a large sorted table, a small one of late words, and their ids end to end."""
+    """Ids of words by the words' hashes: a large sorted table, a small one of late words, and their ids end to end.
+
+    It holds `most` words; words that come later are looked up anew each time, so what it holds
+    stays bounded and, words being as uneven as they are, serves nearly all of a corpus.
+    """
+
+    #: Late words that are put among the others.
+    LATE = 50_000
 
     def __init__(self, most: int):
         self.most = most
@@ -193,7 +200,10 @@ class Remembered:
 
     def forget(self) -> None:
         self.old, self.late = self._empty(), self._empty()
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.used = np.zeros(0, np.uint32), 0
+
+    def __len__(self) -> int:
+        return len(self.old[0]) + len(self.late[0])
 
     @staticmethod
     def _empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,14 +215,16 @@ class Remembered:
         order = np.argsort(keys, kind="stable")
         return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+    def _append(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(first, count) of each word's ids, put after those in use."""
         count = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-        first = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
-        self.late = self._merged(self.late, (keys, first, count))
-        if len(self.late[0]) > 200_000:
-            self.old, self.late = self._merged(self.old, self.late), self._empty()
-        self.ids = np.concatenate([self.ids, flat])
+        total = int(count.sum())
+        first = self.used + np.cumsum(count, dtype=np.int64) - count
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(total + self.used // 2, np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.used += total
+        return first, count
 
     def known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, first, count) of each key."""
@@ -234,12 +246,18 @@ class Remembered:
         inverse, keys = pd.factorize(hashes)
         seen = np.empty(len(keys), np.int64)
         seen[inverse[::-1]] = np.arange(len(hashes))[::-1]
-        if len(self.old[0]) + len(self.late[0]) + len(keys) > self.most:
-            self.forget()
         found, first, count = self.known(keys)
-        if not found.all():
-            self.add(keys[~found], learn(seen[~found]))
-            _, first, count = self.known(keys)
-        first, count = first[inverse], count[inverse]
-        spots = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return self.ids[spots], count
+        before = self.used
+        new = np.flatnonzero(~found)
+        if len(new):
+            first[new], count[new] = self._append(learn(seen[new]))
+        at, size = first[inverse], count[inverse]
+        spots = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        got = self.ids[spots]
+        if len(new) and len(self) + len(new) <= self.most:
+            self.late = self._merged(self.late, (keys[new], first[new], count[new].astype(np.int32)))
+            if len(self.late[0]) > self.LATE:
+                self.old, self.late = self._merged(self.old, self.late), self._empty()
+        else:
+            self.used = before
+        return got, size

@@ -33,13 +33,13 @@ CAPACITY, CLOSING_ID = 4096, 2
 #: A rest is cut until the bins of its class stay unfilled by at most 1 / FINEST.
 FINEST = 64
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 400_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordCodes:
-    """A tokenizer that remembers the ids of words."""
+    """A tokenizer that remembers the ids of words, for one task: a worker serves other stages after it."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,14 +132,11 @@ class Bins:
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(names, cols, strict=True)})
 
 
-_codes: dict[str, WordCodes] = {}
-
-
 def packed_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, finest: int = FINEST) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes.get(tokenizer_path) or _codes.setdefault(tokenizer_path, WordCodes(tokenizer_path))
+        codes = WordCodes(tokenizer_path)
         bins = Bins(TaskContext.get().partitionId(), capacity, finest)
         for b in batches:
             buf, names = buffer_of(b.column("text")), b.column("doc_id").to_pylist()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import dart_minhash, harmonic_packing, kd_shards, license_scan, pii_crf, quality_rules, sentencepiece_codec, threshold_topk, toxicity_fm, warc_archive
-from docketry.llm._shared import documents, read_table, workers_find_package
+from docketry.llm._shared import documents, read_table, prepared
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ready(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        workers_find_package(spark)
+        prepared(spark)
         return run(spark, sf_dir)
 
     return query

@@ -32,7 +32,7 @@ from docketry.llm._words import Buffer, Remembered, buffer_of, mix, range_hashes
 
 MARK = "▁"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

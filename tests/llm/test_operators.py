@@ -208,17 +208,55 @@ def test_base_spans_equal_the_patterns():
         assert sorted(pii_crf.base_spans(text)) == sorted(_regex_spans(text)), text
 
 
+def test_viterbi_equals_enumeration():
+    """Best labels of whole lines, with certain words cut out, against all label sequences."""
+    rng = np.random.default_rng(2)
+    few = len(pii_crf.LABELS)
+    for trial in range(40):
+        words = [f"w{k}" for k in range(12)]
+        scale = (0.5, 2.0, 6.0)[trial % 3]
+        field = pii_crf.Field({"word=" + "abcdefghijkl"[k]: rng.normal(0, scale, (3, few)) for k in range(12)}, rng.normal(0, 1, (few, few)))
+        words = ["abcdefghijkl"[k] for k in rng.integers(0, 12, 4)]
+        e = field.emissions(words)
+        best = max(np.ndindex(*[few] * 4), key=lambda y: sum(e[t, y[t]] for t in range(4)) + sum(field.pairs[y[t], y[t + 1]] for t in range(3)))
+        assert tuple(field.decode([words])[0]) == best
+    for trial in range(30):  # long lines: the cut decoding against one whole pass
+        field = pii_crf.Field({"word=" + "abcdefghijkl"[k]: rng.normal(0, 1, (3, few)) + np.eye(few)[0] * (6 * (k % 2)) for k in range(12)}, rng.normal(0, 1, (few, few)))
+        lines = [["abcdefghijkl"[k] for k in rng.integers(0, 12, n)] for n in rng.integers(1, 60, 20)]
+        for words, got in zip(lines, field.decode(lines), strict=True):
+            e = field.emissions(words)
+            assert (field.viterbi(e[None], np.ones((1, len(words)), dtype=bool))[0] == got).all()
+
+
 def test_field_finds_personal_data_it_was_not_fitted_on():
-    field = pii_crf.train_field(pii_crf.labelled_table())
-    held = pii_crf.labelled_table(seed=99)[:200]
+    field = pii_crf.default_field()
+    held = pii_crf.labelled_table(seed=99, sentences=400)
     best = field.decode([[w for w, _ in s] for s in held])
     pairs = [(pii_crf.LABELS[b], t) for s, p in zip(held, best, strict=True) for b, (_, t) in zip(p, s, strict=True)]
-    assert sum(a == b for a, b in pairs) / len(pairs) > 0.95
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.97
+    assert sum(a == b for a, b in pairs if b != "O") / sum(b != "O" for _, b in pairs) > 0.9
+    found = lambda text: {(k, text[a:b]) for _, out in pii_crf.all_spans(pa.array([text]), field) for _, base, more in out for k, a, b in base + more}
+    # forms and values that the table does not hold
+    assert found("Jane Doe lives at 12 Baker Street, London.") == {("name", "Jane Doe"), ("address", "12 Baker Street, London")}
+    assert found("Konto DE89 3704 0044 0532 0130 00 bitte") == {("id", "DE89 3704 0044 0532 0130 00")}
+    assert found("write john (at) example (dot) com") == {("email", "john (at) example (dot) com")}
+    assert {k for k, _ in found("password=hunter2")} | {k for k, _ in found("ghp_abcdef0123456789abcdef0123456789")} == {"secret"}
+    assert found("The Great War of 1914 was long. Paris is nice.") == set() == found("Version 2.0.1 costs $12.99 on 12/03/2021")
     text = "write to a.b@c.de or +1 (988) 555-2485 now"
-    base, added = pii_crf.all_spans([text], field)[0]
+    (_, ((_, base, added),)) = next(iter(pii_crf.all_spans(pa.array([text]), field)))
     assert "@" not in pii_crf.masked(text, base + added) and "555" not in pii_crf.masked(text, base + added)
 
 
+def test_shapes_of_words_from_bytes_equal_those_of_strings():
+    field = pii_crf.default_field()
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abZÉéß9.,\"(#@=-_xX") for _ in range(rng.randrange(1, 12))) for _ in range(3000)] + ["le", "Anna,", "...", "((a))", "É", "A", "AB", "Ab.", "street"]
+    buf = pii_crf.buffer_of(pa.array([" ".join(words)]))
+    w = pii_crf.words_of(buf, slice(0, 1))
+    row, table = field.rows_of(buf, w.start, w.end)
+    assert len(row) == len(words) and np.allclose(table[row], np.stack([field.emission(x) for x in words]), atol=1e-3)
+
+
 def test_personal_data_of_odd_texts(docs, empty):
     got = pii_crf.personal_data(docs).collect()
     assert len(got) == docs.count() and {r["base_sha256"] for r in got if r["doc_id"] == 300} == {hashlib.sha256(b"").hexdigest()}
