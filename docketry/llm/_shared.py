@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of `documents`, in order.
@@ -36,14 +36,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by `written` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+class Scratch:
+    """Tables of one computation in a folder of their own under the shared one; `clear` deletes those not kept."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_path(spark, name)
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        if not keep:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes the tables that no result reads any more."""
+        conf = self.spark._jsc.hadoopConfiguration()
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
+
+
+#: A key is hot if it has more than HOT_ROWS rows and more than one in HOT_KEYS of all, so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 2000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, rows_of_key: str = "n") -> DataFrame:
+    """rows joined with `table`, which has one row per key and the key's number of rows.
+
+    A hot key's rows stay where they are: the hot part of `table`, whose size has a bound, is
+    broadcast to them. All others meet by a shuffle in which no key has many rows.
+    """
+    hot = f"{rows_of_key} > {max(HOT_ROWS, total // HOT_KEYS)}"
+    few = F.broadcast(table.where(hot))
+    cold = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(f"NOT ({hot})"), on)
+    return rows.join(few, on).unionByName(cold)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +98,9 @@ def prepared(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
 
 
-def text_key() -> list:
+def text_key(text: Column | None = None) -> list[Column]:
     """Two independent 64-bit hashes and the length: the identity of a text in joins that need not carry it."""
-    text = F.col("text")
+    text = F.col("text") if text is None else text
     return [
         F.xxhash64(text).alias("key_a"),
         F.hash(text, F.length(text)).cast("long").alias("key_b"),

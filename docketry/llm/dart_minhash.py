@@ -15,6 +15,9 @@ group of thousands of near copies needs thousands of comparisons and not their s
 candidate pair is checked by the exact similarity of the whole sets, and classes linked by pairs of
 at least `threshold` form one group.
 
+No join puts a hot key's rows into one task: tables with one row per bucket, hub or text join by
+`spread_join`, and block pairs are dealt out in cells.
+
 Defined results: a text without words is a class with its exact equals only, and a null text is a
 class of its own row. class_id is the smallest doc_id of the group (null when it has none). Of rows
 that repeat a doc_id with one text, all are in one class. An empty table gives an empty result.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import discard, text_key, written
+from docketry.llm._shared import Scratch, spread_join, text_key
 from docketry.llm._words import buffer_of, mix, row_groups, window_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -43,6 +46,10 @@ SMALL_BUCKET = 12
 HUB_ROUNDS = 2
 #: Classes in a block, and elements of their sets, about.
 BLOCK, BLOCK_ELEMENTS = 128, 1 << 16
+#: Blocks along each side of a cell of block pairs.
+TILE = 4
+#: Pairs of one class that meet one copy of its set.
+PER_COPY = 512
 
 _POISSON = np.cumsum([np.exp(-1.0) / float(f) for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 _UNIT = 1.0 / (1 << 53)
@@ -170,36 +177,47 @@ def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
     return slim.mapInArrow(_signed(weights), schema).withColumn("uid", F.monotonically_increasing_id())
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, weights: str) -> DataFrame:
-    """uid, elements: the whole set of each wanted class, from one of its rows."""
-    ours = classes.join(wanted, "uid").select("uid", *KEY, F.col("doc_id").alias("row_id"))
+def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, weights: str, scratch: Scratch) -> DataFrame:
+    """uid, elements: the whole set of each wanted class, from one of its rows, found by its id and text."""
+    ours = classes.join(wanted, "uid").select("uid", *[F.col(k).alias(f"our_{k}") for k in KEY], F.col("doc_id").alias("row_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", *text_key()).where("text IS NOT NULL")
-    found = texts.join(ours, KEY).where(F.col("doc_id").eqNullSafe(F.col("row_id"))).select("uid", "text")
-    return written(found.mapInArrow(_sets(weights), "uid long, elements array<long>").dropDuplicates(["uid"]), "dedup-sets")
+    same = F.col("doc_id").eqNullSafe(F.col("row_id"))
+    for k in KEY:
+        same = same & (F.col(k) == F.col(f"our_{k}"))
+    found = texts.join(ours, same).select("uid", "text")
+    return scratch.written(found.mapInArrow(_sets(weights), "uid long, elements array<long>").dropDuplicates(["uid"]), "sets")
+
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, total: int) -> DataFrame:
+    """pairs with the whole set of their class `side`; a hub's set is copied once for every PER_COPY of its pairs."""
+    often = pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PER_COPY).cast("long"))
+    dealt = spread_join(pairs, often, [side], total).withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.col("copies"))).drop("n", "copies")
+    copied = sets.join(often.withColumnRenamed(side, "uid"), "uid").select(F.col("uid").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("elements").alias(f"e{side}"))
+    return dealt.join(copied, [side, "copy"]).drop("copy")
 
-def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+
+def _checked(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by intersecting the whole sets."""
-    left, right = sets.select(F.col("uid").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("uid").alias("b"), F.col("elements").alias("eb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ea", "eb")))
-    return written(joined.where(F.col("both") >= threshold * (F.size("ea") + F.size("eb") - F.col("both"))).select("a", "b"), "dedup-links")
+    total = pairs.count()
+    joined = _with_sets(_with_sets(pairs, sets, "a", total), sets, "b", total).withColumn("both", F.size(F.array_intersect("ea", "eb")))
+    return scratch.written(joined.where(F.col("both") >= threshold * (F.size("ea") + F.size("eb") - F.col("both"))).select("a", "b"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, root: the smallest uid that each linked uid reaches, by large-star and small-star rounds."""
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "dedup-edges")
+    edges, n = scratch.written(links.select("a", "b").where("a <> b").distinct(), "edges"), -1
+    n = edges.count()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select("b", "m").union(low.select("a", "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        new = written(small, "dedup-edges")
-        moved = new.exceptAll(edges).limit(1).count()
-        same = moved == 0 and new.count() == edges.count()
-        discard(edges)
-        edges = new
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("b > a"), least, ["a"], 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = scratch.written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "down")
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(down, low, ["a"], 2 * n).select("b", "m").union(low.select("a", "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        new = scratch.written(small, "edges")
+        now = new.count()
+        same = now == n and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges, n = new, now
         if same:
             break
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("root"))
@@ -210,36 +228,40 @@ def _alike(x: str, y: str, threshold: float) -> F.Column:
     return (F.least(F.col(x), F.col(y)) >= threshold * F.greatest(F.col(x), F.col(y))) & (F.greatest(F.col(x), F.col(y)) > 0)
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float, weights: str) -> DataFrame:
+BUCKET = ["band", "h"]
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float, weights: str, scratch: Scratch) -> DataFrame:
     """uid, root of the classes of different texts that belong together."""
+    total = classes.count()  # rows of a band; a hot bucket holds more than one in HOT_KEYS of them, so at most HOT_KEYS buckets a band are hot
     spread = classes.where("size > 0").select("uid", "size", F.posexplode("bands").alias("band", "h"))
-    full = spread.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    member = written(spread.join(full, ["band", "h"]), "dedup-buckets")
-    sets = _whole_sets(docs, classes, member.select("uid").distinct(), weights)
+    full = scratch.written(spread.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1"), "full")
+    member = scratch.written(spread_join(spread, full, BUCKET, total), "buckets")
+    sets = _whole_sets(docs, classes, member.select("uid").distinct(), weights, scratch)
     small = member.where(F.col("n") <= SMALL_BUCKET)
-    a = small.select("band", "h", F.col("uid").alias("a"), F.col("size").alias("sa"))
-    b = small.select("band", "h", F.col("uid").alias("b"), F.col("size").alias("sb"))
-    pairs = a.join(b, ["band", "h"]).where((F.col("a") < F.col("b")) & _alike("sa", "sb", threshold)).select("a", "b").distinct()
+    a = small.select(*BUCKET, F.col("uid").alias("a"), F.col("size").alias("sa"))
+    b = small.select(*BUCKET, F.col("uid").alias("b"), F.col("size").alias("sb"))
+    pairs = a.join(b, BUCKET).where((F.col("a") < F.col("b")) & _alike("sa", "sb", threshold)).select("a", "b").distinct()
 
     share = member.groupBy("uid").agg(F.sum("n").alias("share"))
-    big = member.where(F.col("n") > SMALL_BUCKET).join(share, "uid").select("band", "h", "uid", "size", "share", F.col("uid").alias("root"))
-    big = written(big.withColumn("first_hub", F.lit(None).cast("long")).withColumn("main", F.lit(None).cast("long")), "dedup-large")
+    big = member.where(F.col("n") > SMALL_BUCKET).join(share, "uid").select(*BUCKET, "n", "uid", "size", "share", F.col("uid").alias("root"))
+    big = scratch.written(big.withColumn("first_hub", F.lit(None).cast("long")).withColumn("main", F.lit(None).cast("long")), "large")
     links = None
     for _ in range(HUB_ROUNDS):
         unmet = F.col("main").isNull() | (F.col("root") != F.col("main"))  # a later hub is one that the first did not reach
         hub = F.max(F.when(unmet, F.struct("share", F.negate("uid").alias("least"), "size", "root")))
-        apart = big.groupBy("band", "h").agg(hub.alias("hub"), F.max("first_hub").alias("first_hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        apart = written(apart.withColumn("first_hub", F.coalesce("first_hub", -F.col("hub.least"))).select("band", "h", "hub", "first_hub"), "dedup-hubs")
-        star = big.drop("first_hub").join(apart, ["band", "h"]).where((F.col("root") != F.col("hub.root")) & _alike("size", "hub.size", threshold))
+        apart = big.groupBy(*BUCKET).agg(F.first("n").alias("n"), hub.alias("hub"), F.max("first_hub").alias("first_hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        apart = scratch.written(apart.withColumn("first_hub", F.coalesce("first_hub", -F.col("hub.least"))).select(*BUCKET, "n", "hub", "first_hub"), "hubs")
+        star = spread_join(big.drop("first_hub", "n"), apart, BUCKET, total).where((F.col("root") != F.col("hub.root")) & _alike("size", "hub.size", threshold))
         star = star.select(F.least(F.col("uid"), -F.col("hub.least")).alias("a"), F.greatest(F.col("uid"), -F.col("hub.least")).alias("b")).distinct()
-        more = _checked(star if links is not None else pairs.union(star).distinct(), sets, threshold)
-        links = more if links is None else written(links.union(more), "dedup-links")
-        roots = components(links)
-        heads = apart.select("band", "h", "first_hub").join(roots.select(F.col("uid").alias("first_hub"), F.col("root").alias("main")), "first_hub", "left")
+        more = _checked(scratch.written(star if links is not None else pairs.union(star).distinct(), "pairs"), sets, threshold, scratch)
+        links = more if links is None else scratch.written(links.union(more), "links")
+        roots = components(links, scratch)
+        heads = apart.select(*BUCKET, "n", "first_hub").join(roots.select(F.col("uid").alias("first_hub"), F.col("root").alias("main")), "first_hub", "left")
         heads = heads.withColumn("main", F.coalesce("main", "first_hub"))
-        moved = big.drop("root", "first_hub", "main").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        big = _still_apart(written(moved.join(heads, ["band", "h"]), "dedup-large"))
-    return components(links.union(_linked_in_blocks(big, sets, threshold)))
+        moved = big.drop("root", "first_hub", "main", "n").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        big = _still_apart(scratch.written(spread_join(moved, heads, BUCKET, total), "large"), total, scratch)
+    return components(links.union(_linked_in_blocks(big, sets, threshold, total, scratch)), scratch)
 
 
 def _linking(threshold: float):
@@ -287,42 +309,89 @@ def _linking(threshold: float):
     return run
 
 
-def _linked_in_blocks(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _linked_in_blocks(big: DataFrame, sets: DataFrame, threshold: float, total: int, scratch: Scratch) -> DataFrame:
     """a, b: links among the classes left in large buckets, by the exact similarity of whole sets.
 
     A bucket's classes lie in blocks of about BLOCK classes and at most about BLOCK_ELEMENTS
     elements. Classes that the first hub reached need no comparison with each other, so only the
     others' blocks are compared, with every block; no pair becomes a row unless it is a link.
+
+    The pairs of blocks form a table with a row and a column per block, cut into cells of TILE by TILE
+    blocks. A cell is a key of its own, so a bucket's work spreads over as many tasks as it has cells,
+    and a block travels once for each cell of its row or column.
     """
     sided = big.withColumn("met", F.col("root") == F.col("main"))
-    parts = sided.groupBy("band", "h", "met").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ELEMENTS)).alias("parts"))
-    placed = sided.join(parts, ["band", "h", "met"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(7)), F.col("parts")))
+    size = lambda met: F.ceil(F.greatest(F.count_if(met) / BLOCK, F.sum(F.when(met, F.col("size")).otherwise(0)) / BLOCK_ELEMENTS)).cast("long")
+    parts = sided.groupBy(*BUCKET).agg(F.first("n").alias("n"), size(F.col("met")).alias("met_blocks"), size(~F.col("met")).alias("own_blocks")).where("own_blocks > 0")
+    placed = spread_join(sided.drop("n"), parts, BUCKET, total)
+    # blocks of one bucket are numbered through: those to compare first, then those that the hub reached
+    first = F.pmod(F.xxhash64("uid", F.lit(7)), F.greatest(F.when(F.col("met"), F.col("met_blocks")).otherwise(F.col("own_blocks")), F.lit(1)))
+    placed = placed.withColumn("block", F.when(F.col("met"), F.col("own_blocks") + first).otherwise(first))
     rows = F.collect_list(F.struct("uid", "root", "size", "elements"))
-    blocks = written(placed.join(sets, "uid").groupBy("band", "h", "met", "block").agg(rows.alias("rows")), "dedup-blocks")
-    x = blocks.where("NOT met").select("band", "h", F.col("block").alias("i"), F.col("rows").alias("left_rows"))
-    y = blocks.select("band", "h", "met", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
-    both = x.join(y, ["band", "h"]).where("met OR i <= j").select("left_rows", "right_rows")
-    return written(both.mapInArrow(_linking(threshold), "a long, b long").distinct(), "dedup-links")
+    blocks = placed.join(sets, "uid").groupBy(*BUCKET, "block", "met", "own_blocks", "met_blocks").agg(rows.alias("rows"))  # about BLOCK classes each
+    blocks = scratch.written(blocks.withColumn("tile", F.floor(F.col("block") / TILE)), "blocks")
+    last = lambda n: F.greatest(F.ceil(F.col(n) / TILE) - 1, F.lit(0)).cast("long")
+    every = (F.ceil((F.col("own_blocks") + F.col("met_blocks")) / TILE) - 1).cast("long")
+    x = blocks.where("NOT met").select(*BUCKET, F.col("block").alias("i"), F.col("tile").alias("row_tile"), F.explode(F.sequence(F.col("tile"), every)).alias("column_tile"), F.col("rows").alias("left_rows"))
+    y = blocks.select(*BUCKET, "met", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(last("own_blocks"), F.col("tile")))).alias("row_tile"), F.col("tile").alias("column_tile"), F.col("rows").alias("right_rows"))
+    both = x.join(y, [*BUCKET, "row_tile", "column_tile"]).where("met OR i <= j").select("left_rows", "right_rows")
+    return scratch.written(both.mapInArrow(_linking(threshold), "a long, b long").distinct(), "links")
 
 
-def _still_apart(big: DataFrame) -> DataFrame:
+def _still_apart(big: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """The rows of buckets whose members do not yet share one root."""
-    apart = big.groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "h")
-    return written(big.join(apart, ["band", "h"]), "dedup-apart")
+    apart = big.groupBy(*BUCKET).agg(F.first("n").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*BUCKET, "n")
+    return scratch.written(spread_join(big.drop("n"), apart, BUCKET, total), "apart")
+
+
+OWN = "CASE WHEN key_n IS NULL THEN uid ELSE -1 END AS own"  # a null text equals no other
+
+
+def grouped_texts(docs: DataFrame, threshold: float, weights: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows: uid, doc_id and the text's key; classes of equal texts: uid, key, own, doc_id, copies, root)."""
+    signed = scratch.written(signatures(docs, weights), "signed", keep=True)
+    classes = signed.groupBy(*KEY, F.expr(OWN)).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = scratch.written(classes, "classes")
+    roots = linked_classes(docs, classes, threshold, weights, scratch)
+    rooted = classes.select("uid", *KEY, "own", "doc_id", "copies").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    return signed, scratch.written(rooted, "rooted")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
     """One row per document: doc_id, class_id, and class_size, the rows of its group."""
-    signed = written(signatures(docs, weights), "dedup-signed")
-    own = F.when(F.col("key_n").isNull(), F.col("uid")).otherwise(F.lit(-1))  # a null text equals no other
-    classes = written(signed.groupBy(*KEY, own.alias("own")).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "dedup-classes")
-    roots = linked_classes(docs, classes, threshold, weights)
-    grouped = classes.select("uid", *KEY, "own", "doc_id", "copies").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    named = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    homes = written(grouped.join(named, "root").select(*KEY, "own", "class_id", "class_size"), "dedup-homes")
-    rows = signed.select("doc_id", *KEY, own.alias("own"))
-    same = [rows[k].eqNullSafe(homes[k]) for k in KEY] + [rows["own"] == homes["own"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return rows.join(homes, cond).select(rows["doc_id"], "class_id", "class_size")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    signed, rooted = grouped_texts(docs, threshold, weights, scratch)
+    named = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    homes = spread_join(rooted, named, ["root"], rooted.count())
+    key = ["a", "b", "length", "own"]
+    flat = [F.coalesce("key_a", F.lit(0)).alias("a"), F.coalesce("key_b", F.lit(0)).alias("b"), F.coalesce("key_n", F.lit(-1)).alias("length")]
+    homes = scratch.written(homes.select(*flat, "own", F.col("copies").alias("n"), "class_id", "class_size"), "homes", keep=True)
+    rows = signed.select("doc_id", *flat, F.expr(OWN))
+    out = spread_join(rows, homes, key, signed.count()).select("doc_id", "class_id", "class_size")
+    scratch.clear()
+    return out
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
+    """The rows of docs, all their columns, without near-duplicates: of each group one row stays.
+
+    It is a row of the group's smallest doc_id, and of several such rows one of the smallest text
+    key; a group whose rows all lack an id keeps one of them. Rows with a null text all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    signed, rooted = grouped_texts(docs, threshold, weights, scratch)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *KEY)
+    chosen = rooted.where("key_n IS NOT NULL").groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.doc_id").alias("kept_id"), *[F.col(f"c.{k}").alias(f"kept_{k}") for k in KEY])
+    chosen = scratch.written(chosen, "chosen", keep=True)
+    mine = [F.col("doc_id").cast("long"), *text_key(F.col("text").cast("string"))]
+    named = docs.select("*", *[c.alias(f"own_{k}") for c, k in zip(mine, ["id", *KEY], strict=True)])
+    same = F.col("own_id").eqNullSafe(F.col("kept_id"))
+    for k in KEY:
+        same = same & (F.col(f"own_{k}") == F.col(f"kept_{k}"))
+    left = named.join(chosen, same, "left_semi")
+    often = signed.where("key_n IS NOT NULL").groupBy("doc_id", *KEY).agg(F.count("*").alias("n")).where("n > 1")
+    often = scratch.written(often.select(F.col("doc_id").alias("kept_id"), *[F.col(k).alias(f"kept_{k}") for k in KEY]), "often", keep=True)
+    once = left.join(often, same, "left_anti").select(*docs.columns)
+    repeated = left.join(often, same, "left_semi").dropDuplicates(["own_id", *[f"own_{k}" for k in KEY]]).select(*docs.columns)
+    scratch.clear()
+    return once.unionByName(repeated).unionByName(docs.where(F.col("text").isNull()))
