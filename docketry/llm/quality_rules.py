@@ -7,12 +7,17 @@ group's texts, their mean and covariance, and again until the radius settles. Th
 starts (medians and quartiles, each column's shortest half, spatial signs), and the core of the
 smallest determinant is taken: the least found, not proven to be the least of all subsets.
 Each step is two aggregations over one narrow row per text; no group is ever gathered.
+
+The same is done for each language and for all texts. A group is judged by a mean of its own
+estimate, its language's and the common one, where its own weighs n / (n + PRIOR_ROWS) for n texts
+and its language's likewise in what is left: a source of a few texts is judged nearly by its
+language, and nothing jumps as it grows.
+
 A text is rejected when its squared Mahalanobis distance passes a chi-square quantile.
 
-Defined results: a null text counts as empty; null lang or source count as ''. A (lang, source)
-with fewer than MIN_ROWS rows shares the estimate of its language's other small sources, and if
-those are too few as well, of all small ones. Repeated rows are judged alike. An empty table gives
-an empty result. Extra columns are ignored.
+Defined results: a null text counts as empty; null lang or source count as ''. Repeated rows are
+judged alike, whatever their ids. An empty table gives an empty result. Extra columns are ignored by
+the verdicts and kept by `kept_rows`.
 """
 
 from __future__ import annotations
@@ -27,24 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import text_key, written
+from docketry.llm._shared import Scratch, spread_join, text_key
 from docketry.llm._words import SEPARATOR, WINDOW_BYTES, buffer_of, mix, range_hashes, row_groups, window_hashes, words_of
 
-#: Share of a group's texts that a concentration step keeps, and the least rows of a group.
-H_SHARE, MIN_ROWS = 0.5, 200
+#: Share of a group's texts that a concentration step keeps.
+H_SHARE = 0.5
+#: Texts whose weight the estimate above has in a group's own.
+PRIOR_ROWS = 200
+#: Estimates that are broadcast to the texts, at most: some 10 MB. More are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 #: A start has settled when its radius moves by no more than this share; STEPS only guards against cycles.
 SETTLED, STEPS = 0.01, 50
 #: Quantiles that the starts are made from, and the accuracy of all quantiles.
 GRID, ACCURACY = 40, 1000
 #: Share of clean rows of a normal group beyond the rejecting distance.
 ALPHA = 1e-3
-#: A column whose core half is constant would reject every other value; scatter never falls below these deviations,
-#: what chance alone moves in a short text: a tenth of its words, one line or repeated run in some twenty, a symbol or capital in a hundred.
+#: What chance alone moves in a short text: a tenth of its words, one line or repeated run in some twenty, a symbol or capital
+#: in a hundred. Its variance is added to the core's, which may be 0 where half of a group's texts have one value.
 FLOORS = {"z_words": 0.1, "z_length": 0.05, "z_symbols": 0.01, "z_repeats": 0.08, "z_lines": 0.05, "z_shout": 0.01}
 VECTOR = tuple(FLOORS)
 #: The columns that name a group, and those of an estimate.
-MODEL = ("m_lang", "m_source")
-ESTIMATE = "m_lang string, m_source string, start int, n long, centre array<double>, precision array<double>, scatter array<double>, radius double, size double, settled boolean"
+MODEL = ("level", "m_lang", "m_source")
+ESTIMATE = "level int, m_lang string, m_source string, start int, n long, centre array<double>, precision array<double>, scatter array<double>, radius double, size double, settled boolean"
 TEXT = ("key_a", "key_b", "key_n")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -180,8 +189,7 @@ def _distance() -> F.Column:
 
 def _floored(cov: np.ndarray) -> np.ndarray:
     p = len(VECTOR)
-    floor = np.array([v * v for v in FLOORS.values()])
-    cov[:, range(p), range(p)] = np.maximum(cov[:, range(p), range(p)], floor) + 1e-9
+    cov[:, range(p), range(p)] += np.array([v * v for v in FLOORS.values()])
     return cov
 
 
@@ -240,55 +248,54 @@ def _sign_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _estimates(pdf[[*MODEL, "n"]].assign(start=2)[[*MODEL, "start", "n"]], np.stack(pdf["centre"].to_numpy()).astype(float), cov, none, none - 1)
 
 
-def model_groups(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """stats with m_lang, m_source: the group whose estimate judges the row."""
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    sized = stats.groupBy(lang.alias("g_lang"), source.alias("g_source")).agg(F.count("*").alias("n"))
-    pooled = sized.where(F.col("n") < min_rows).groupBy("g_lang").agg(F.sum("n").alias("n_rest"))
-    known = written(
-        sized.join(pooled, "g_lang", "left").select(
-            "g_lang",
-            "g_source",
-            F.when((F.col("n") >= min_rows) | (F.coalesce("n_rest", F.lit(0)) >= min_rows), F.col("g_lang")).otherwise(F.lit("*")).alias("m_lang"),
-            F.when(F.col("n") >= min_rows, F.col("g_source")).otherwise(F.lit("*")).alias("m_source"),
-        ),
-        "quality-groups",
-    )
-    return stats.join(known, (lang == known["g_lang"]) & (source == known["g_source"])).drop("g_lang", "g_source")
+def _of_group() -> list[F.Column]:
+    return [F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))]
 
 
 def distinct_texts(stats: DataFrame) -> DataFrame:
-    """Each text of a group once."""
-    return stats.groupBy(*MODEL, *TEXT).agg(*[F.first(z).alias(z) for z in VECTOR]).drop(*TEXT)
+    """Each text once for its (lang, source), its language, and all texts: levels 0, 1 and 2."""
+    lang, source = _of_group()
+    none = F.lit("")
+    group = lambda level, a, b: F.struct(F.lit(level).alias("level"), a.alias("m_lang"), b.alias("m_source"))
+    own = stats.groupBy(lang.alias("m_lang"), source.alias("m_source"), *TEXT).agg(*[F.first(z).alias(z) for z in VECTOR])
+    every = own.select(F.explode(F.array(group(0, F.col("m_lang"), F.col("m_source")), group(1, F.col("m_lang"), none), group(2, none, none))).alias("g"), *TEXT, *VECTOR)
+    return every.groupBy("g", *TEXT).agg(*[F.first(z).alias(z) for z in VECTOR]).select("g.*", *VECTOR)
 
 
-def mcd_starts(texts: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], total: int, size: int) -> DataFrame:
+    """rows with a table of estimates, which is broadcast only if it is small."""
+    return rows.join(F.broadcast(table), on) if size <= BROADCAST_ROWS else spread_join(rows, table, on, total)
+
+
+def mcd_starts(texts: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
     quantiles = texts.groupBy(*MODEL).agg(F.count("*").alias("n"), *[F.percentile_approx(z, grid, ACCURACY).alias(z) for z in VECTOR])
-    columns = written(quantiles.mapInPandas(_column_starts, ESTIMATE), "quality-starts")
+    columns = scratch.written(quantiles.mapInPandas(_column_starts, ESTIMATE), "starts")
     first = columns.where("start = 1")
     place = {k: n for n, k in enumerate(_pairs())}
     u = [(F.col(z) - F.col("centre")[i]) * F.sqrt(F.col("precision")[place[i, i]]) for i, z in enumerate(VECTOR)]
-    scaled = texts.join(first, [*MODEL]).select(*MODEL, *[x.alias(z) for x, z in zip(u, VECTOR, strict=True)])
+    scaled = _joined(texts, first, [*MODEL], total, columns.count()).select(*MODEL, *[x.alias(z) for x, z in zip(u, VECTOR, strict=True)])
     length = F.greatest(sum((F.col(z) * F.col(z) for z in VECTOR[1:]), F.col(VECTOR[0]) * F.col(VECTOR[0])), F.lit(1e-12))
     signs = scaled.withColumn("length", length).groupBy(*MODEL).agg(F.array(*[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j]) / F.col("length")) for i, j in _pairs()]).alias("signs"))
     return columns.unionByName(signs.join(first, [*MODEL]).mapInPandas(_sign_starts, ESTIMATE))
 
 
-def mcd_estimates(texts: DataFrame) -> DataFrame:
+def mcd_estimates(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Per group: n, centre, precision and scatter of the core of the smallest determinant, over all its texts."""
-    present, ended = written(mcd_starts(texts), "quality-estimate"), []
+    total = texts.count()
+    present, ended = scratch.written(mcd_starts(texts, total, scratch), "estimate"), []
     for step in range(STEPS):
-        near = texts.join(present.drop("n"), [*MODEL]).select(*MODEL, "start", F.col("radius").alias("last"), *VECTOR, _distance().alias("d2"))
-        radius = written(near.groupBy(*MODEL, "start").agg(F.count("*").alias("n"), F.percentile_approx("d2", F.lit(H_SHARE), ACCURACY).alias("radius")), "quality-radius")
-        moments = near.join(radius, [*MODEL, "start"]).where("d2 <= radius").groupBy(*MODEL, "start").agg(
+        near = _joined(texts, present, [*MODEL], 3 * total, present.count()).select(*MODEL, "start", F.col("radius").alias("last"), *VECTOR, _distance().alias("d2"))
+        radius = near.groupBy(*MODEL, "start").agg(F.count("*").alias("n"), F.percentile_approx("d2", F.lit(H_SHARE), ACCURACY).alias("radius"))
+        radius = scratch.written(radius, "radius")
+        moments = _joined(near, radius, [*MODEL, "start"], 3 * total, radius.count()).where("d2 <= radius").groupBy(*MODEL, "start").agg(
             F.first("n").alias("n"),
             F.first("radius").alias("radius"),
             F.first("last").alias("last"),
             F.array(*[F.avg(z) for z in VECTOR]).alias("means"),
             F.array(*[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])) for i, j in _pairs()]).alias("seconds"),
         )
-        present = written(moments.mapInPandas(_concentrated, ESTIMATE), "quality-estimate")
+        present = scratch.written(moments.mapInPandas(_concentrated, ESTIMATE), "estimate")
         ended.append(present.where("settled") if step < STEPS - 1 else present)
         present = present.where("NOT settled")
         if present.isEmpty():
@@ -297,16 +304,62 @@ def mcd_estimates(texts: DataFrame) -> DataFrame:
     for more in ended[1:]:
         every = every.unionByName(more)
     best = every.groupBy(*MODEL).agg(F.min(F.struct("size", "start", "n", "centre", "precision", "scatter")).alias("best"))
-    return written(best.select(*MODEL, "best.n", "best.centre", "best.precision", "best.scatter"), "quality-core")
+    return scratch.written(best.select(*MODEL, "best.n", "best.centre", "best.precision", "best.scatter"), "core")
 
 
-def quality_verdicts(docs: DataFrame, alpha: float = ALPHA, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, distance and kept."""
-    stats = written(model_groups(written(text_statistics(docs), "quality-stats"), min_rows), "quality-rows")
+def _blended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Centre and precision that judge a group, from its own estimate and those above it."""
+    for pdf in batches:
+        if len(pdf):
+            centres = [np.stack(pdf[f"centre{k}"].to_numpy()).astype(float) for k in range(3)]
+            scatters = [_squares(pdf[f"scatter{k}"]) for k in range(3)]
+            own, lang = (pdf[f"n{k}"].to_numpy(float) / (pdf[f"n{k}"].to_numpy(float) + PRIOR_ROWS) for k in range(2))
+            weights = [own, (1 - own) * lang, (1 - own) * (1 - lang)]
+            centre = sum(w[:, None] * c for w, c in zip(weights, centres, strict=True))
+            inverse = np.linalg.inv(sum(w[:, None, None] * s for w, s in zip(weights, scatters, strict=True)))
+            yield pdf[["m_lang", "m_source", "n"]].assign(centre=list(centre), precision=[[x[i, j] for i, j in _pairs()] for x in inverse])
+
+
+def group_models(stats: DataFrame, scratch: Scratch) -> DataFrame:
+    """m_lang, m_source, n (rows), centre, precision of every (lang, source)."""
+    core = mcd_estimates(scratch.written(distinct_texts(stats), "texts"), scratch)
+    of = lambda level: core.where(F.col("level") == level).select("m_lang", "m_source", *[F.col(k).alias(f"{k}{level}") for k in ("n", "centre", "scatter")])
+    lang, source = _of_group()
+    rows = stats.groupBy(lang.alias("m_lang"), source.alias("m_source")).agg(F.count("*").alias("n"))
+    models = rows.join(of(0), ["m_lang", "m_source"]).join(of(1).drop("m_source"), "m_lang").join(of(2).drop("m_lang", "m_source").withColumn("one", F.lit(1)), F.col("one") == 1)  # one row
+    return scratch.written(models.mapInPandas(_blended, "m_lang string, m_source string, n long, centre array<double>, precision array<double>"), "models", keep=True)
+
+
+def judged_texts(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """One row per document: doc_id, lang, source, the text's key, the counts, base_failed, distance and kept."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.written(text_statistics(docs), "stats", keep=True)
+    models = group_models(stats, scratch)
     cut = chi_square_quantile(1 - alpha, len(VECTOR))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        stats.join(mcd_estimates(written(distinct_texts(stats), "quality-texts")), [*MODEL])
-        .select("doc_id", *COUNTS[:5], failed.alias("base_failed"), _distance().alias("distance"))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
-    )
+    lang, source = _of_group()
+    named = stats.withColumn("m_lang", lang).withColumn("m_source", source)
+    rows = _joined(named, models, ["m_lang", "m_source"], stats.count(), models.count())
+    scratch.clear()
+    return rows.select("doc_id", "lang", "source", *TEXT, *COUNTS[:5], failed.alias("base_failed"), _distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
+
+
+def quality_verdicts(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """One row per document: doc_id, the base counts, base_failed, distance and kept."""
+    return judged_texts(docs, alpha).select("doc_id", *COUNTS[:5], "base_failed", "distance", "kept")
+
+
+def kept_rows(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The rows of docs, all their columns, that the rules keep.
+
+    A verdict depends on a row's text, lang and source; the row's id joins with them, so that no
+    text with many copies is one key.
+    """
+    good = judged_texts(docs, alpha).where("kept").select(*[F.col(k).alias(f"good_{k}") for k in ("doc_id", "lang", "source", *TEXT)]).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = {"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")} | dict(zip(TEXT, text_key(text), strict=True))
+    named = docs.select("*", *[c.alias(f"own_{k}") for k, c in own.items()])
+    same = F.lit(True)
+    for k in own:
+        same = same & F.col(f"own_{k}").eqNullSafe(F.col(f"good_{k}"))
+    return named.join(good, same, "left_semi").select(*docs.columns)

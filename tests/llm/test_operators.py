@@ -14,7 +14,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 pytest.importorskip("docketry.llm")
 
-from docketry.llm import dart_minhash, harmonic_packing, kd_shards, license_scan, pii_crf, quality_rules, sentencepiece_codec, threshold_topk, toxicity_fm, warc_archive  # noqa: E402
+from docketry.llm import _shared, dart_minhash, harmonic_packing, kd_shards, license_scan, pii_crf, quality_rules, sentencepiece_codec, threshold_topk, toxicity_fm, warc_archive  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 ODD = [None, "", " ", "one", "\n\n", "a" * 50_000, "é " * 3000, "x y z " * 400, "tail\x0b\x0cword", "<|endoftext|> A'LL b"]
@@ -84,8 +84,11 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert dart_minhash.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_that_share_a_common_passage(spark):
-    """Large buckets of texts that are alike, but not enough, hold groups that no hub reaches."""
+@pytest.mark.parametrize("hot_rows", [1000, 5])
+def test_near_duplicates_that_share_a_common_passage(spark, monkeypatch, hot_rows):
+    """Large buckets of texts that are alike, but not enough, hold groups that no hub reaches; with and without hot keys."""
+    monkeypatch.setattr(_shared, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 16)
     rng = random.Random(9)
     passage = [f"shared{k}" for k in range(44)]
     rows = []
@@ -111,6 +114,18 @@ def test_near_duplicates_that_share_a_common_passage(spark):
     assert len({find(d) for d in sets}) > 20
 
 
+def test_one_of_each_group_stays(docs, empty):
+    key = lambda r: (r["doc_id"], r["text"])
+    left = [key(r) for r in dart_minhash.one_of_each(docs).collect()]
+    rows, classes = docs.select("doc_id", "text").collect(), collections.defaultdict(set)
+    for r in dart_minhash.near_duplicates(docs.where("text IS NOT NULL AND doc_id IS NOT NULL")).collect():
+        classes[r["class_id"]].add(r["doc_id"])
+    whole = {k for k, t in left if t is not None and k is not None}
+    assert sum(t is None for _, t in left) == sum(r["text"] is None for r in rows)
+    assert sorted(whole) == sorted(classes) and len(whole) == sum(t is not None and k is not None for k, t in left)
+    assert all(min(v) == k for k, v in classes.items()) and dart_minhash.one_of_each(empty).count() == 0
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, 400).astype(np.uint64)
@@ -171,6 +186,41 @@ def test_quality_core_withstands_a_third_of_junk(spark):
     assert kept <= set(clean) and len(kept) > 0.97 * len(clean)
 
 
+def test_quality_core_is_the_least_determinant(spark):
+    """The core found in small groups against all halves of them; level 0 of three groups."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    p, rows, best = len(quality_rules.VECTOR), [], {}
+    floor = np.diag(np.array(list(quality_rules.FLOORS.values())) ** 2)
+    for g in range(3):
+        x = rng.normal(0, 1, (14, p)) * np.linspace(0.2, 1.0, p)
+        x[:4] += rng.normal(9, 0.3, p)  # four outliers of one kind
+        rows += [(0, "en", f"g{g}", *map(float, v)) for v in x]
+        halves = np.array(list(itertools.combinations(range(14), 7)))
+        part = x[halves] - x[halves].mean(1, keepdims=True)
+        trim = 0.5 / quality_rules.chi_square_cdf(quality_rules.chi_square_quantile(0.5, p), p + 2)
+        best[f"g{g}"] = np.sort(np.linalg.slogdet(np.einsum("hia,hib->hab", part, part) / 7 * trim + floor)[1])
+    table = spark.createDataFrame(rows, "level int, m_lang string, m_source string, " + ", ".join(f"{z} double" for z in quality_rules.VECTOR)).repartition(3)
+    scratch = _shared.Scratch(spark, "test")
+    for r in quality_rules.mcd_estimates(table, scratch).collect():
+        cov = quality_rules._squares(__import__("pandas").Series([np.array(r["scatter"])]))[0]
+        rank = np.searchsorted(best[r["m_source"]], np.linalg.slogdet(cov)[1] - 1e-6)
+        assert rank < 0.02 * len(best[r["m_source"]])  # among the best of 3432 halves
+        assert np.abs(np.array(r["centre"])).max() < 2  # no outlier has moved it
+
+
+def test_quality_kept_rows_by_row_and_not_by_id(docs, empty, spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, good, "en", "s", 1, "x"), (1, "too short", "en", "s", 1, "x"), (None, good + " more", "en", None, 1, "x"), (None, "short", None, None, 1, "x"), (2, None, "en", "s", 1, "x")]
+    table = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    judged = [(r["doc_id"], r["n_words"]) for r in quality_rules.quality_verdicts(table).where("kept").collect()]
+    left = quality_rules.kept_rows(table)
+    assert left.columns == table.columns
+    assert sorted(map(str, judged)) == sorted(str((r["doc_id"], len(brute_words(r["text"])))) for r in left.collect())
+    assert quality_rules.kept_rows(empty).count() == 0
+
+
 def test_quality_rejects_by_one_statistic(spark):
     """Lines that are nearly all copies, words repeated just under the base rule, symbols or capitals reject by themselves."""
     rng = random.Random(12)
