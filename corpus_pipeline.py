@@ -2,7 +2,8 @@
 personal data is masked, and the rest is packed into training sequences.
 
 Every stage takes the documents that the one before it kept. All but the last return the columns
-of `documents`.
+of `documents`. A row's verdict is its own: rows that share an id, or have none, are told apart by
+their texts.
 """
 
 from __future__ import annotations
@@ -11,46 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import dart_minhash, harmonic_packing, pii_crf, quality_rules, toxicity_fm
-from docketry.llm._shared import DOCUMENT_COLUMNS, read_table, workers_find_package, written
+from docketry.llm._shared import DOCUMENT_COLUMNS, read_table, prepared, written
 from docketry.llm.queries import tokenizer_file
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is listed in `ids`, null matching null."""
-    listed = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["kept_id"]), "left_semi").select(*DOCUMENT_COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_find_package(spark)
+    prepared(spark)
     machine = toxicity_fm.train(docs, read_table(spark, sf_dir, "labels"))
     return toxicity_fm.without_toxic(docs, machine).select(*DOCUMENT_COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_find_package(spark)
-    return _kept(docs, quality_rules.quality_verdicts(docs).where("kept"))
+    prepared(spark)
+    return quality_rules.kept_rows(docs).select(*DOCUMENT_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_find_package(spark)
-    classes = written(dart_minhash.near_duplicates(docs), "pipeline-classes")
-    one = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    often = one.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    left = _kept(docs, one)
-    repeated = _kept(left, often)
-    once = left.join(often.select(F.col("doc_id").alias("often_id")), left["doc_id"].eqNullSafe(F.col("often_id")), "left_anti")
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    prepared(spark)
+    return dart_minhash.one_of_each(docs).select(*DOCUMENT_COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_find_package(spark)
+    prepared(spark)
     clean = pii_crf.redacted(docs.select(*DOCUMENT_COLUMNS))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_find_package(spark)
+    prepared(spark)
     return harmonic_packing.packed_pieces(docs, tokenizer_file("word_bpe_49k.json"))
 
 
