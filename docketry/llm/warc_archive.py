@@ -1,13 +1,15 @@
 """WARC archives compressed record by record with a dictionary that each archive carries.
 
-A writer task buffers records, trains a Zstandard dictionary on the first of them, and writes an
-archive: a skippable frame that holds the dictionary, then one frame a record. A record can be read
+A writer task holds an archive's records, lightly compressed, until they are enough; it trains a
+Zstandard dictionary on records taken evenly from the whole archive, and writes a skippable frame
+that holds the dictionary, then one frame a record. A record can be read
 by seeking to its frame with only the archive's own dictionary. Archives go to the folder that the
 cluster shares, under a name of the task's attempt; only archives that a finished task has listed
 count, so a task that is lost and runs again leaves nothing twice.
 
 Equal payloads: the digests alone are grouped to find the smallest page_id of each payload that
-occurs more than once; those few digests join the pages, and Spark splits a hot digest's rows.
+occurs more than once. Digests of very many pages, of which there is a bounded number, are broadcast
+to the pages; the others join them by a shuffle in which no digest has many rows.
 
 Defined results: null html is an empty payload; a null url writes no target line. A null page_id
 takes part as the largest id: such a row is a revisit where its payload has another row with an id,
@@ -28,11 +30,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import shared_path, written
+from docketry.llm._shared import HOT_KEYS, HOT_ROWS, shared_path, written
 
-#: Raw bytes of an archive, of the records a dictionary is trained on, and of a dictionary.
+#: Raw bytes of an archive, of the records a dictionary is trained on (about), and of a dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 128 << 20, 4 << 20, 64 << 10
 LEVEL = 3
+#: Tasks that read archives, at most; up to there each has an archive of its own.
+READ_TASKS = 20_000
 #: Fixed values of the format: the magic number of a dictionary's skippable frame, and the date of records whose table has none.
 DICTIONARY_MAGIC = 0x184D2A5D
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -84,40 +88,32 @@ def train_dictionary(samples: list[bytes]):
 
 
 class ArchiveWriter:
-    """One archive at `path`; records wait until there are enough to train the dictionary."""
+    """One archive at `path`; its records wait, lightly compressed, until it is closed."""
 
     def __init__(self, fs: pafs.FileSystem, path: str):
-        self.fs, self.path, self.out = fs, path, None
-        self.waiting: list[bytes] = []
-        self.size = self.records = 0
+        import zstandard
+
+        self.fs, self.path = fs, path
+        self.light, self.waiting = zstandard.ZstdCompressor(level=1), []
+        self.size = 0
 
     def add(self, record: bytes) -> None:
         self.size += len(record)
-        self.records += 1
-        if self.out is None:
-            self.waiting.append(record)
-            if self.size >= SAMPLE_BYTES:
-                self._begin()
-        else:
-            self.out.write(self.packer.compress(record))
-
-    def _begin(self) -> None:
+        self.waiting.append(self.light.compress(record))
+
+    def close(self) -> int:
         import zstandard
 
-        dictionary = train_dictionary(self.waiting)
+        plain = zstandard.ZstdDecompressor()
+        every = -(-self.size // SAMPLE_BYTES)  # evenly over the archive
+        dictionary = train_dictionary([plain.decompress(x) for x in self.waiting[::every]])
         raw = dictionary.as_bytes()
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
-        self.out = self.fs.open_output_stream(self.path)
-        self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
-        for r in self.waiting:
-            self.out.write(self.packer.compress(r))
-        self.waiting = []
-
-    def close(self) -> int:
-        if self.out is None:
-            self._begin()
-        self.out.close()
-        return self.records
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
+        with self.fs.open_output_stream(self.path) as out:
+            out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+            for x in self.waiting:
+                out.write(packer.compress(plain.decompress(x)))
+        return len(self.waiting)
 
 
 def read_records(stream) -> Iterator[bytes]:
@@ -143,9 +139,14 @@ def read_records(stream) -> Iterator[bytes]:
 def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, refers_to: the smallest page_id of an equal payload, if that is another row."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
-    often = slim.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id")
-    found = slim.join(written(often, "warc-equal"), "digest", "left")
-    return found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    often = slim.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    often, hot = written(often, "warc-equal"), f"n > {max(HOT_ROWS, pages.count() // HOT_KEYS)}"
+    few = often.where(hot).select("digest", F.col("first_id").alias("hot_id"))  # at most HOT_KEYS rows
+    found = slim.join(F.broadcast(few), "digest", "left")
+    apart = F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "UTF-8"))  # no digest: spreads the hot rows
+    found = found.withColumn("sought", apart).join(often.where(f"NOT ({hot})").select(F.col("digest").alias("sought"), F.col("first_id").alias("cold_id")), "sought", "left")
+    first = F.coalesce("hot_id", "cold_id")
+    return found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(first), first).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
@@ -193,7 +194,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return archives.repartition("path").mapInArrow(read, names)
+    tasks = max(1, min(READ_TASKS, archives.count()))
+    return archives.repartition(tasks).mapInArrow(read, names)  # a number of its own, which is not made smaller
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
