@@ -325,6 +325,32 @@ def test_top_k_equals_brute_force(spark):
         assert got[q] == sorted(((k, int(v @ table[q])) for k, v in table.items() if k != q), key=lambda x: (-x[1], x[0]))[:5]
 
 
+def test_top_k_of_large_components_and_where_the_bound_stops(spark):
+    rng = np.random.default_rng(4)
+    big = [(k, [float(x) for x in v]) for k, v in enumerate(rng.normal(0, 1, (60, 3)) * 10.0 ** rng.integers(3, 17, (60, 1)))] + [(90, [1e17, 1.0, 0.0]), (91, [1e300, 0.0, 0.0]), (92, [1e17, 2.0, 0.0])]
+    vectors = threshold_topk.whole_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
+    table = {r["vec_id"]: [int(x) for x in r["v"]] for r in vectors.collect()}
+    assert 91 not in table and len(table) == 62
+    got = collections.defaultdict(list)
+    for r in threshold_topk.exact_top_k(vectors, vectors, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, v in table.items():
+        want = sorted(((k, sum(a * b for a, b in zip(v, w, strict=True))) for k, w in table.items() if k != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[q] == [(k, min(max(s, -(1 << 63)), (1 << 63) - 1)) for k, s in want]
+    few = rng.normal(0, 1, (4000, 4)) * np.array([8.0, 2.0, 0.5, 0.1])  # a direction that stands out
+    vectors = threshold_topk.whole_vectors(spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(few)], "vec_id long, embedding array<double>"))
+    queries = vectors.where("vec_id % 100 = 0")
+    n = threshold_topk.rows_scored(vectors, queries).first()
+    assert n["pairs"] == 40 * 4000 and n["scored"] < 0.5 * n["pairs"]
+    rows, asked = np.array([r["v"] for r in vectors.orderBy("vec_id").collect()]), {}
+    for r in threshold_topk.exact_top_k(vectors, queries).collect():
+        asked.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, found in asked.items():
+        s = rows @ rows[q]
+        best = [k for k in sorted(range(len(s)), key=lambda k: (-s[k], k)) if k != q][:20]
+        assert sorted(found) == [(n + 1, k, int(s[k])) for n, k in enumerate(best)]
+
+
 def test_toxicity_on_held_out_rows(spark, docs, empty):
     folder = "/root/testdata/sf0.1"
     table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -349,6 +375,9 @@ def test_toxicity_of_terms_harmless_alone(spark):
     machine = toxicity_fm.train(table.drop("toxic"), table.drop("text"))
     got = toxicity_fm.toxicity_scores(table, machine).join(table, "doc_id").where("held_out").toPandas()
     assert got[got["toxic"] == 1]["predicted"].mean() > 0.9 and got[got["toxic"] == 0]["predicted"].mean() < 0.05
+    linear = toxicity_fm.Machine(machine.bias, machine.weight, machine.factors * 0)
+    alone = toxicity_fm.toxicity_scores(table, linear).join(table, "doc_id").where("held_out").toPandas()
+    assert ((alone["score"] >= 0.5) == alone["toxic"]).mean() < 0.65 < 0.9 < ((got["score"] >= 0.5) == got["toxic"]).mean()
     assert set(toxicity_fm.toxicity_scores(table, toxicity_fm.train(table.where("doc_id < 12").selectExpr("doc_id", "concat('only', doc_id) AS text"), table.drop("text"))).toPandas()["predicted"]) <= {0, 1}
 
 
@@ -371,9 +400,11 @@ def test_packing(docs, empty):
     assert all(sum(harmonic_packing.cut_lengths(n)) == n for n in range(1, 9000, 7))
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("hot_rows", [1000, 4])
+def test_archives(spark, monkeypatch, hot_rows):
     rows = [(k, f"http://x/{k}", f"<p>{k % 7}</p>" * (k % 5)) for k in range(80)] + [(3, "http://x/3", "<p>3</p>" * 3), (90, None, None), (None, "u\nv", "<p>1</p>"), (None, None, "only here")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc_archive, "HOT_ROWS", hot_rows)
     first = {}
     for k, _, html in rows:
         if k is not None:
