@@ -11,7 +11,8 @@ factors that the labels do not hold up are drawn to 0. Every document is then sc
 whole text, by one pass without exchange.
 
 Defined results: null and empty texts have no features and get the machine's base score. A null
-label, or a label without its document, trains nothing; of repeated labels the larger counts. With
+label, or a label without its document, trains nothing; of repeated labels the larger counts, and of
+rows that repeat an id one is learnt from. With
 no labelled rows of both kinds every score is 0. Repeated rows are scored alike; a null doc_id is
 not held out. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -86,7 +87,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     picked = [present.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for x in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    return texts.mapInArrow(_feature_batches, "doc_id long, toxic int, features binary")
+    found = texts.mapInArrow(_feature_batches, "doc_id long, toxic int, features binary")
+    return found.groupBy("doc_id", "toxic").agg(F.min("features").alias("features"))  # of rows that repeat an id, one
 
 
 @dataclass
@@ -118,16 +120,41 @@ def margins(row: np.ndarray, slot: np.ndarray, n: int, bias: float, weight: np.n
     return margin, sums
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, theta: list[np.ndarray], parts: tuple[int, ...], epochs: int, rate: float, scale: float, draw, rng: np.random.Generator) -> None:
+@dataclass
+class Rows:
+    """The slots of many texts, end to end."""
+
+    slot: np.ndarray
+    size: np.ndarray
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row within the choice, slot) of some rows."""
+        size = self.size[at]
+        first = np.cumsum(self.size)[at] - size
+        return np.repeat(np.arange(len(at)), size), self.slot[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def limited(self, place: np.ndarray) -> Rows:
+        """The same with slots renamed by `place`; those without a place left out."""
+        new = place[self.slot]
+        have = np.zeros(len(new) + 1, np.int32)
+        np.cumsum(new >= 0, out=have[1:])
+        end = np.cumsum(self.size)
+        return Rows(new[new >= 0], have[end] - have[end - self.size])
+
+    def counts(self, at: np.ndarray, slots: int) -> np.ndarray:
+        """How many of some rows have each slot."""
+        return sum((np.bincount(self.of(at[a : a + 256])[1], minlength=slots) for a in range(0, len(at), 256)), np.zeros(slots, np.int64))
+
+
+def _descend(rows: Rows, y: np.ndarray, theta: list[np.ndarray], parts: tuple[int, ...], epochs: int, rate: float, scale: float, draw, rng: np.random.Generator) -> None:
     """Moves those parts of theta (bias, weights, factors) down the logistic loss, by Adam in small batches."""
     slots, step = theta[1].shape[1], 0
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for epoch in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(rows), 256):
+        order = rng.permutation(len(y))
+        for a in range(0, len(y), 256):
             at = order[a : a + 256]
-            slot = np.concatenate([rows[k] for k in at])
-            row = np.repeat(np.arange(len(at)), [len(rows[k]) for k in at])
+            row, slot = rows.of(at)
             margin, sums = margins(row, slot, len(at), theta[0][0], theta[1][0], theta[2].T if 2 in parts else theta[2].T[:, :0])
             err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[at]) / len(at)
             each = np.bincount(slot, err[row], minlength=slots)
@@ -142,41 +169,50 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, theta: list[np.ndarray], par
                     theta[k] = np.sign(theta[k]) * np.maximum(np.abs(theta[k]) - now * draw(size), 0)
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, slots: int, factors: int = FACTORS, epochs: tuple[int, int, int] = EPOCHS, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_machine(rows: Rows, y: np.ndarray, slots: int, factors: int = FACTORS, epochs: tuple[int, int, int] = EPOCHS, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
     """Weights of all slots drawn to 0; those left again without the draw; then factors of all slots, for what weights leave over."""
     rng = np.random.default_rng(seed)
-    n = len(rows)
+    n = len(y)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     theta = [np.array([np.log(share / (1 - share))]), np.zeros((1, slots)), rng.normal(0, 0.02, (factors, slots))]
     _descend(rows, y, theta, (0, 1), epochs[0], 0.1, 0.01, lambda size: WEIGHT_DRAW / n / size, rng)
     bad = y.sum()
-    in_bad, in_all = (np.bincount(np.concatenate([x for x, t in zip(rows, y, strict=True) if t >= least]), minlength=slots) for least in (1, 0))
+    in_bad, in_all = (rows.counts(np.flatnonzero(y >= least), slots) for least in (1, 0))
     part = in_all / n
     z = np.abs(in_bad / bad - (in_all - in_bad) / (n - bad)) / np.sqrt(part * (1.000001 - part) * (1 / bad + 1 / (n - bad)))
     left = np.flatnonzero((theta[1][0] != 0) | (z >= LEAST_Z))
-    place = np.full(slots, -1)
+    place = np.full(slots, -1, np.int32)
     place[left] = np.arange(len(left))
     again = [theta[0], theta[1][:, left], theta[2][:, left]]
-    _descend([p[p >= 0] for p in (place[x] for x in rows)], y, again, (0, 1), epochs[1], 0.03, 1e-6, lambda size: 1e-3, rng)
+    _descend(rows.limited(place), y, again, (0, 1), epochs[1], 0.03, 1e-6, lambda size: 1e-3, rng)
     theta[0], theta[1][:, left] = again[0], again[1]
     _descend(rows, y, theta, (0, 2), epochs[2], 0.05, 1e-5, lambda size: FACTOR_DRAW, rng)
     return float(theta[0][0]), theta[1][0], theta[2].T
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
-    from docketry.llm._shared import written
+    from docketry.llm._shared import Scratch
 
-    sample = written(training_rows(docs, labels, most), "toxicity-rows").orderBy("toxic", "doc_id").collect()  # at most 2 * most rows
-    toxic = np.array([r["toxic"] for r in sample], float)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.written(training_rows(docs, labels, most), "rows").orderBy("toxic", "doc_id", "features").select("toxic", "features").toArrow()  # at most 2 * most rows
+    scratch.clear()
+    toxic = sample.column("toxic").to_numpy().astype(float)
     weight, factors = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
     if not toxic.any() or toxic.all():
         return Machine(-30.0, weight, factors)
-    rows = [np.frombuffer(r["features"], "<i4").astype(np.int64) for r in sample]
-    kept = np.flatnonzero(sum(np.bincount(x, minlength=SLOTS) for x in rows) >= LEAST_ROWS)
-    place = np.full(SLOTS, -1)
+    texts = sample.column("features").combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    del sample
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1] // 4
+    rows = Rows(np.frombuffer(data, "<i4")[ends[0] : ends[-1]], np.diff(ends))
+    kept = np.flatnonzero(rows.counts(np.arange(len(toxic)), SLOTS) >= LEAST_ROWS)
+    place = np.full(SLOTS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    known = [p[p >= 0] for p in (place[x] for x in rows)]
-    bias, weight[kept], factors[kept] = fit_machine(known, toxic, len(kept))
+    rows = rows.limited(place)
+    del texts, data
+    pa.default_memory_pool().release_unused()
+    bias, weight[kept], factors[kept] = fit_machine(rows, toxic, len(kept))
     return Machine(bias, weight, factors)
 
 
