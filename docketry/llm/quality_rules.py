@@ -3,12 +3,13 @@
 Every text gets a vector of transformed statistics. Per (lang, source) a minimum-covariance-
 determinant estimate of centre and scatter is found over its distinct texts, so that copies do not
 weigh, by concentration steps: distances under the present estimate, the nearest H_SHARE of the
-group's texts, their mean and covariance, and again until the radius settles. They begin at three
-starts (medians and quartiles, each column's shortest half, spatial signs), and the core of the
-smallest determinant is taken: the least found, not proven to be the least of all subsets.
-Each step is two aggregations over one narrow row per text; no group is ever gathered.
+group's texts, their mean and covariance, and again until the determinant no longer falls. They begin
+at three starts (medians and quartiles, each column's shortest half, spatial signs), and the core of
+the smallest determinant is taken: the least found, not proven to be the least of all subsets.
+A step is one pass over one narrow row per text: moments are summed by bins of distance about 1 %
+wide, and the nearest bins that hold H_SHARE of the group make its core. No group is ever gathered.
 
-The same is done for each language and for all texts. A group is judged by a mean of its own
+The same is done, from the second start, for each language and for all texts. A group is judged by a mean of its own
 estimate, its language's and the common one, where its own weighs n / (n + PRIOR_ROWS) for n texts
 and its language's likewise in what is left: a source of a few texts is judged nearly by its
 language, and nothing jumps as it grows.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm._shared import Scratch, spread_join, text_key
@@ -41,8 +42,10 @@ H_SHARE = 0.5
 PRIOR_ROWS = 200
 #: Estimates that are broadcast to the texts, at most: some 10 MB. More are joined by a shuffle.
 BROADCAST_ROWS = 20_000
-#: A start has settled when its radius moves by no more than this share; STEPS only guards against cycles.
+#: A start has settled when the logarithm of its determinant falls by no more than this; STEPS only guards against cycles.
 SETTLED, STEPS = 0.01, 50
+#: Bins of squared distance to a doubling, and the doublings covered on either side of 1.
+BINS, DOUBLINGS = 64, 40
 #: Quantiles that the starts are made from, and the accuracy of all quantiles.
 GRID, ACCURACY = 40, 1000
 #: Share of clean rows of a normal group beyond the rejecting distance.
@@ -53,7 +56,7 @@ FLOORS = {"z_words": 0.1, "z_length": 0.05, "z_symbols": 0.01, "z_repeats": 0.08
 VECTOR = tuple(FLOORS)
 #: The columns that name a group, and those of an estimate.
 MODEL = ("level", "m_lang", "m_source")
-ESTIMATE = "level int, m_lang string, m_source string, start int, n long, centre array<double>, precision array<double>, scatter array<double>, radius double, size double, settled boolean"
+ESTIMATE = "level int, m_lang string, m_source string, start int, n long, centre array<double>, precision array<double>, scatter array<double>, size double, settled boolean"
 TEXT = ("key_a", "key_b", "key_n")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -193,11 +196,10 @@ def _floored(cov: np.ndarray) -> np.ndarray:
     return cov
 
 
-def _estimates(keys: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, radius: np.ndarray, last: np.ndarray) -> pd.DataFrame:
+def _estimates(keys: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, last: np.ndarray) -> pd.DataFrame:
     inverse, size = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
     flat = lambda m: [[x[i, j] for i, j in _pairs()] for x in m]
-    settled = np.abs(radius - last) <= SETTLED * np.maximum(last, 1e-9)
-    return keys.reset_index(drop=True).assign(centre=list(mean), precision=flat(inverse), scatter=flat(cov), radius=radius, size=size, settled=settled)
+    return keys.reset_index(drop=True).assign(centre=list(mean), precision=flat(inverse), scatter=flat(cov), size=size, settled=np.abs(last - size) <= SETTLED)
 
 
 def _squares(flat: pd.Series) -> np.ndarray:
@@ -216,7 +218,7 @@ def _concentrated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(pdf):
             mean = np.stack(pdf["means"].to_numpy()).astype(float)
             cov = _floored((_squares(pdf["seconds"]) - mean[:, :, None] * mean[:, None, :]) * trim)
-            yield _estimates(pdf[[*MODEL, "start", "n"]], mean, cov, pdf["radius"].to_numpy(float), pdf["last"].to_numpy(float))
+            yield _estimates(pdf[[*MODEL, "start", "n"]], mean, cov, pdf["last"].to_numpy(float))
 
 
 def _column_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,8 +235,7 @@ def _column_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for start, mean, spread in ((0, q[:, half], quartiles), (1, (low + high) / 2, high - low)):
             cov = np.zeros((len(pdf), len(VECTOR), len(VECTOR)))
             cov[:, range(len(VECTOR)), range(len(VECTOR))] = np.maximum(spread / 1.349, floor) ** 2
-            none = np.full(len(pdf), -1.0)
-            yield _estimates(pdf[[*MODEL, "n"]].assign(start=start)[[*MODEL, "start", "n"]], mean, cov, none, none - 1)
+            yield _estimates(pdf[[*MODEL, "n"]].assign(start=start)[[*MODEL, "start", "n"]], mean, cov, np.full(len(pdf), np.inf))
 
 
 def _sign_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,8 +245,7 @@ def _sign_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(pdf):
             wide = np.sqrt(np.diagonal(_squares(pdf["scatter"]), axis1=1, axis2=2))
             cov = _floored(_squares(pdf["signs"]) * p * wide[:, :, None] * wide[:, None, :])
-            none = np.full(len(pdf), -1.0)
-            yield _estimates(pdf[[*MODEL, "n"]].assign(start=2)[[*MODEL, "start", "n"]], np.stack(pdf["centre"].to_numpy()).astype(float), cov, none, none - 1)
+            yield _estimates(pdf[[*MODEL, "n"]].assign(start=2)[[*MODEL, "start", "n"]], np.stack(pdf["centre"].to_numpy()).astype(float), cov, np.full(len(pdf), np.inf))
 
 
 def _of_group() -> list[F.Column]:
@@ -264,41 +264,46 @@ def distinct_texts(stats: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, table: DataFrame, on: list[str], total: int, size: int) -> DataFrame:
     """rows with a table of estimates, which is broadcast only if it is small."""
-    return rows.join(F.broadcast(table), on) if size <= BROADCAST_ROWS else spread_join(rows, table, on, total)
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on)
+    table.most_rows_of_a_key = table.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return spread_join(rows, table, on, total)
 
 
 def mcd_starts(texts: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
     quantiles = texts.groupBy(*MODEL).agg(F.count("*").alias("n"), *[F.percentile_approx(z, grid, ACCURACY).alias(z) for z in VECTOR])
     columns = scratch.written(quantiles.mapInPandas(_column_starts, ESTIMATE), "starts")
-    first = columns.where("start = 1")
+    first, size = columns.where("start = 1"), columns.count()
     place = {k: n for n, k in enumerate(_pairs())}
     u = [(F.col(z) - F.col("centre")[i]) * F.sqrt(F.col("precision")[place[i, i]]) for i, z in enumerate(VECTOR)]
-    scaled = _joined(texts, first, [*MODEL], total, columns.count()).select(*MODEL, *[x.alias(z) for x, z in zip(u, VECTOR, strict=True)])
+    scaled = _joined(texts.where("level = 0"), first, [*MODEL], total, size).select(*MODEL, *[x.alias(z) for x, z in zip(u, VECTOR, strict=True)])
     length = F.greatest(sum((F.col(z) * F.col(z) for z in VECTOR[1:]), F.col(VECTOR[0]) * F.col(VECTOR[0])), F.lit(1e-12))
     signs = scaled.withColumn("length", length).groupBy(*MODEL).agg(F.array(*[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j]) / F.col("length")) for i, j in _pairs()]).alias("signs"))
-    return columns.unionByName(signs.join(first, [*MODEL]).mapInPandas(_sign_starts, ESTIMATE))
+    return columns.where("level = 0 OR start = 1").unionByName(signs.join(first, [*MODEL]).mapInPandas(_sign_starts, ESTIMATE))
 
 
 def mcd_estimates(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Per group: n, centre, precision and scatter of the core of the smallest determinant, over all its texts."""
     total = texts.count()
-    present, ended = scratch.written(mcd_starts(texts, total, scratch), "estimate"), []
+    left = F.count_if(~F.col("settled"))
+    present, seen = scratch.measured(mcd_starts(texts, total, scratch), "estimate", n=F.count("*"), left=left)
+    size, ended = seen["n"], []  # none is added later
+    key, moments = [*MODEL, "start"], [f"m{k}" for k in range(len(VECTOR) + len(_pairs()))]
+    bin_of = F.greatest(F.least(F.floor(F.log2(F.greatest("d2", F.lit(1e-300))) * BINS), F.lit(DOUBLINGS * BINS)), F.lit(-DOUBLINGS * BINS))
+    nearer = Window.partitionBy(*key).orderBy("bin")
     for step in range(STEPS):
-        near = _joined(texts, present, [*MODEL], 3 * total, present.count()).select(*MODEL, "start", F.col("radius").alias("last"), *VECTOR, _distance().alias("d2"))
-        radius = near.groupBy(*MODEL, "start").agg(F.count("*").alias("n"), F.percentile_approx("d2", F.lit(H_SHARE), ACCURACY).alias("radius"))
-        radius = scratch.written(radius, "radius")
-        moments = _joined(near, radius, [*MODEL, "start"], 3 * total, radius.count()).where("d2 <= radius").groupBy(*MODEL, "start").agg(
-            F.first("n").alias("n"),
-            F.first("radius").alias("radius"),
-            F.first("last").alias("last"),
-            F.array(*[F.avg(z) for z in VECTOR]).alias("means"),
-            F.array(*[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])) for i, j in _pairs()]).alias("seconds"),
-        )
-        present = scratch.written(moments.mapInPandas(_concentrated, ESTIMATE), "estimate")
+        near = _joined(texts, present, [*MODEL], 3 * total, size).select(*key, F.col("size").alias("last"), *VECTOR, _distance().alias("d2"))
+        values = [F.col(z) for z in VECTOR] + [F.col(VECTOR[i]) * F.col(VECTOR[j]) for i, j in _pairs()]
+        binned = near.groupBy(*key, bin_of.alias("bin")).agg(F.count("*").alias("k"), F.first("last").alias("last"), *[F.sum(v).alias(m) for v, m in zip(values, moments, strict=True)])
+        core = binned.withColumn("n", F.sum("k").over(Window.partitionBy(*key))).withColumn("before", F.sum("k").over(nearer) - F.col("k")).where(F.col("before") < H_SHARE * F.col("n"))
+        of_core = core.groupBy(*key).agg(F.first("n").alias("n"), F.first("last").alias("last"), F.sum("k").alias("k"), *[F.sum(m).alias(m) for m in moments])
+        means = F.array(*[F.col(m) / F.col("k") for m in moments])
+        found = of_core.select(*key, "n", "last", F.slice(means, 1, len(VECTOR)).alias("means"), F.slice(means, len(VECTOR) + 1, len(_pairs())).alias("seconds"))
+        present, seen = scratch.measured(found.mapInPandas(_concentrated, ESTIMATE), "estimate", left=left)
         ended.append(present.where("settled") if step < STEPS - 1 else present)
         present = present.where("NOT settled")
-        if present.isEmpty():
+        if not seen["left"]:
             break
     every = ended[0]
     for more in ended[1:]:
