@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of `documents`, in order.
@@ -50,6 +50,18 @@ class Scratch:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, keep: bool = False, **what: Column) -> tuple[DataFrame, dict]:
+        """`written`, and aggregates of the table that are taken while it is written."""
+        seen = Observation()
+        table = self.written(df.observe(seen, *[c.alias(k) for k, c in what.items()]), name, keep)
+        return table, seen.get
+
+    def by_key(self, df: DataFrame, name: str, rows_of_key: str = "n", keep: bool = False) -> DataFrame:
+        """`written`, for `spread_join`: a table with one row per key and the key's number of rows."""
+        table, seen = self.measured(df, name, keep, most=F.coalesce(F.max(rows_of_key), F.lit(0)))
+        table.most_rows_of_a_key = seen["most"]
+        return table
+
     def clear(self) -> None:
         """Deletes the tables that no result reads any more."""
         conf = self.spark._jsc.hadoopConfiguration()
@@ -64,15 +76,17 @@ HOT_ROWS, HOT_KEYS = 1000, 2000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, rows_of_key: str = "n") -> DataFrame:
-    """rows joined with `table`, which has one row per key and the key's number of rows.
+    """rows joined with `table` (from `Scratch.by_key`), which has one row per key and the key's number of rows.
 
     A hot key's rows stay where they are: the hot part of `table`, whose size has a bound, is
     broadcast to them. All others meet by a shuffle in which no key has many rows.
     """
-    hot = f"{rows_of_key} > {max(HOT_ROWS, total // HOT_KEYS)}"
-    few = F.broadcast(table.where(hot))
-    cold = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(f"NOT ({hot})"), on)
-    return rows.join(few, on).unionByName(cold)
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if table.most_rows_of_a_key <= limit:
+        return rows.join(table, on)
+    hot = table.where(F.col(rows_of_key) > limit)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(rows_of_key) <= limit), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +99,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Bytes of a batch that goes to a Python worker: rows are texts, and ten thousand of them may be large.
 BATCH_BYTES = 4 << 20
+#: Characters of a plan's text. The driver keeps the texts of the last thousand queries, and iterations make many.
+PLAN_CHARS = 20_000
 
 
 def prepared(spark: SparkSession) -> None:
@@ -92,6 +108,8 @@ def prepared(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, "64m", "67108864", "67108864b", "64MB"):  # as Spark has it, not set by the user
         spark.conf.set(name, str(BATCH_BYTES))
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", str(PLAN_CHARS + 1))) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):

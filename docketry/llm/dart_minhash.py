@@ -188,9 +188,9 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, weights:
     return scratch.written(found.mapInArrow(_sets(weights), "uid long, elements array<long>").dropDuplicates(["uid"]), "sets")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, total: int) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, total: int, scratch: Scratch, often: DataFrame | None = None) -> DataFrame:
     """pairs with the whole set of their class `side`; a hub's set is copied once for every PER_COPY of its pairs."""
-    often = pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PER_COPY).cast("long"))
+    often = often or scratch.by_key(pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PER_COPY).cast("long")), "often")
     dealt = spread_join(pairs, often, [side], total).withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.col("copies"))).drop("n", "copies")
     copied = sets.join(often.withColumnRenamed(side, "uid"), "uid").select(F.col("uid").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("elements").alias(f"e{side}"))
     return dealt.join(copied, [side, "copy"]).drop("copy")
@@ -198,26 +198,26 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, total: int) -> Data
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by intersecting the whole sets."""
-    total = pairs.count()
-    joined = _with_sets(_with_sets(pairs, sets, "a", total), sets, "b", total).withColumn("both", F.size(F.array_intersect("ea", "eb")))
+    pairs, seen = scratch.measured(pairs, "pairs", n=F.count("*"))
+    one = _with_sets(pairs, sets, "a", seen["n"], scratch)
+    often = scratch.by_key(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PER_COPY).cast("long")), "often")
+    joined = _with_sets(one, sets, "b", seen["n"], scratch, often).withColumn("both", F.size(F.array_intersect("ea", "eb")))
     return scratch.written(joined.where(F.col("both") >= threshold * (F.size("ea") + F.size("eb") - F.col("both"))).select("a", "b"), "links")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, root: the smallest uid that each linked uid reaches, by large-star and small-star rounds."""
-    edges, n = scratch.written(links.select("a", "b").where("a <> b").distinct(), "edges"), -1
-    n = edges.count()
+    edges, seen = scratch.measured(links.select("a", "b").where("a <> b").distinct(), "edges", n=F.count("*"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = spread_join(both.where("b > a"), least, ["a"], 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = scratch.by_key(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = spread_join(both.where("b > a"), least, ["a"], 2 * seen["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = scratch.written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "down")
-        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = spread_join(down, low, ["a"], 2 * n).select("b", "m").union(low.select("a", "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        new = scratch.written(small, "edges")
-        now = new.count()
-        same = now == n and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges, n = new, now
+        low = scratch.by_key(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = spread_join(down, low, ["a"], 2 * seen["n"]).select("b", "m").union(low.select("a", "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        new, now = scratch.measured(small, "edges", n=F.count("*"))
+        same = now["n"] == seen["n"] and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges, seen = new, now
         if same:
             break
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("root"))
@@ -235,7 +235,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float, weight
     """uid, root of the classes of different texts that belong together."""
     total = classes.count()  # rows of a band; a hot bucket holds more than one in HOT_KEYS of them, so at most HOT_KEYS buckets a band are hot
     spread = classes.where("size > 0").select("uid", "size", F.posexplode("bands").alias("band", "h"))
-    full = scratch.written(spread.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1"), "full")
+    full = scratch.by_key(spread.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1"), "full")
     member = scratch.written(spread_join(spread, full, BUCKET, total), "buckets")
     sets = _whole_sets(docs, classes, member.select("uid").distinct(), weights, scratch)
     small = member.where(F.col("n") <= SMALL_BUCKET)
@@ -251,14 +251,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float, weight
         unmet = F.col("main").isNull() | (F.col("root") != F.col("main"))  # a later hub is one that the first did not reach
         hub = F.max(F.when(unmet, F.struct("share", F.negate("uid").alias("least"), "size", "root")))
         apart = big.groupBy(*BUCKET).agg(F.first("n").alias("n"), hub.alias("hub"), F.max("first_hub").alias("first_hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        apart = scratch.written(apart.withColumn("first_hub", F.coalesce("first_hub", -F.col("hub.least"))).select(*BUCKET, "n", "hub", "first_hub"), "hubs")
+        apart = scratch.by_key(apart.withColumn("first_hub", F.coalesce("first_hub", -F.col("hub.least"))).select(*BUCKET, "n", "hub", "first_hub"), "hubs")
         star = spread_join(big.drop("first_hub", "n"), apart, BUCKET, total).where((F.col("root") != F.col("hub.root")) & _alike("size", "hub.size", threshold))
         star = star.select(F.least(F.col("uid"), -F.col("hub.least")).alias("a"), F.greatest(F.col("uid"), -F.col("hub.least")).alias("b")).distinct()
-        more = _checked(scratch.written(star if links is not None else pairs.union(star).distinct(), "pairs"), sets, threshold, scratch)
+        more = _checked(star if links is not None else pairs.union(star).distinct(), sets, threshold, scratch)
         links = more if links is None else scratch.written(links.union(more), "links")
         roots = components(links, scratch)
         heads = apart.select(*BUCKET, "n", "first_hub").join(roots.select(F.col("uid").alias("first_hub"), F.col("root").alias("main")), "first_hub", "left")
-        heads = heads.withColumn("main", F.coalesce("main", "first_hub"))
+        heads = scratch.by_key(heads.withColumn("main", F.coalesce("main", "first_hub")), "heads")
         moved = big.drop("root", "first_hub", "main", "n").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         big = _still_apart(scratch.written(spread_join(moved, heads, BUCKET, total), "large"), total, scratch)
     return components(links.union(_linked_in_blocks(big, sets, threshold, total, scratch)), scratch)
@@ -323,6 +323,7 @@ def _linked_in_blocks(big: DataFrame, sets: DataFrame, threshold: float, total:
     sided = big.withColumn("met", F.col("root") == F.col("main"))
     size = lambda met: F.ceil(F.greatest(F.count_if(met) / BLOCK, F.sum(F.when(met, F.col("size")).otherwise(0)) / BLOCK_ELEMENTS)).cast("long")
     parts = sided.groupBy(*BUCKET).agg(F.first("n").alias("n"), size(F.col("met")).alias("met_blocks"), size(~F.col("met")).alias("own_blocks")).where("own_blocks > 0")
+    parts = scratch.by_key(parts, "parts")
     placed = spread_join(sided.drop("n"), parts, BUCKET, total)
     # blocks of one bucket are numbered through: those to compare first, then those that the hub reached
     first = F.pmod(F.xxhash64("uid", F.lit(7)), F.greatest(F.when(F.col("met"), F.col("met_blocks")).otherwise(F.col("own_blocks")), F.lit(1)))
@@ -341,7 +342,7 @@ def _linked_in_blocks(big: DataFrame, sets: DataFrame, threshold: float, total:
 def _still_apart(big: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """The rows of buckets whose members do not yet share one root."""
     apart = big.groupBy(*BUCKET).agg(F.first("n").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*BUCKET, "n")
-    return scratch.written(spread_join(big.drop("n"), apart, BUCKET, total), "apart")
+    return scratch.written(spread_join(big.drop("n"), scratch.by_key(apart, "still"), BUCKET, total), "apart")
 
 
 OWN = "CASE WHEN key_n IS NULL THEN uid ELSE -1 END AS own"  # a null text equals no other
@@ -361,11 +362,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str
     """One row per document: doc_id, class_id, and class_size, the rows of its group."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     signed, rooted = grouped_texts(docs, threshold, weights, scratch)
-    named = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = scratch.by_key(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "named")
     homes = spread_join(rooted, named, ["root"], rooted.count())
     key = ["a", "b", "length", "own"]
     flat = [F.coalesce("key_a", F.lit(0)).alias("a"), F.coalesce("key_b", F.lit(0)).alias("b"), F.coalesce("key_n", F.lit(-1)).alias("length")]
-    homes = scratch.written(homes.select(*flat, "own", F.col("copies").alias("n"), "class_id", "class_size"), "homes", keep=True)
+    homes = scratch.by_key(homes.select(*flat, "own", F.col("copies").alias("n"), "class_id", "class_size"), "homes", keep=True)
     rows = signed.select("doc_id", *flat, F.expr(OWN))
     out = spread_join(rows, homes, key, signed.count()).select("doc_id", "class_id", "class_size")
     scratch.clear()
