@@ -210,6 +210,13 @@ def test_quality_core_is_the_least_determinant(spark):
         assert np.abs(np.array(r["centre"])).max() < 2  # no outlier has moved it
 
 
+def test_quality_verdicts_without_broadcast(docs, monkeypatch):
+    want = sorted(map(str, quality_rules.quality_verdicts(docs).drop("distance").collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_shared, "HOT_ROWS", 8)
+    assert sorted(map(str, quality_rules.quality_verdicts(docs).drop("distance").collect())) == want
+
+
 def test_quality_kept_rows_by_row_and_not_by_id(docs, empty, spark):
     good = " ".join(f"word{k}" for k in range(80))
     rows = [(1, good, "en", "s", 1, "x"), (1, "too short", "en", "s", 1, "x"), (None, good + " more", "en", None, 1, "x"), (None, "short", None, None, 1, "x"), (2, None, "en", "s", 1, "x")]
