@@ -1,8 +1,8 @@
-"""Accounting periods from text: one nested CASE over normalised text.
+"""Accounting periods from text: the first rule that matches decides.
 
-The first rule that matches decides. Kept as they are: a label with year and month cuts months 10
-to 12 to 1 (`exact_months=True` corrects it), and the rules for month names and for six-digit
-periods do not check the range of years.
+A period is year * 100 + month. Kept as they are: a label with year and month cuts months 10 to 12 to
+1 (`exact_months=True` corrects it), and the rules for month names and for six-digit periods do not
+check the range of years. All rules want a year, so a text without one is settled by one look.
 """
 
 from __future__ import annotations
@@ -10,57 +10,125 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.dialect import SPARK, Dialect
-from docketry.functions.text import normal_period
+from docketry.functions.text import normal_period, normal_route, period_of_route, quoted, settled
 from docketry.operators.dims import MONTH_NAMES
 
+# Years and months as they are written.
 YEAR, MONTH = "(20[2-3][0-9])", "(0?[1-9]|1[0-2])"
 NAMES = "|".join(v for names in MONTH_NAMES.values() for v in names)
 # Words before a month and year of pay, and labels of a period.
 PAY_WORDS = r"(?:sub\s+refeicao|subsidio\s+alimentacao|subs?\s+alimentacao|refeicao|vencimento|vencimentos|salario|salarios|remuneracao|remuneracoes|ordenado|ordenados)"
 LABELS = "(?:ano mes de referencia|ano mes ref|ano mes|periodo|referencia|competencia|mes)"
 NEAR_WORDS = "subsidio|refeicao|cartao|vencimento|salario|ordenado|ajuda"
+# Labels of the routing rules, and of the dates of an operation.
+ROUTE_LABELS = "(?:ano mes de referencia|ano mes ref|ano mes|periodo|referencia)"
+OPERATION_LABELS = "(?:data valor|data do movimento|data de movimento|data emissao|data de emissao)"
+# Patterns of the period rules.
+PAY = rf"{PAY_WORDS}\s+{MONTH}\s+{YEAR}\b"
+LABEL_YEAR, LABEL_MONTH = rf"{LABELS}\s+{YEAR}\s+{MONTH}", rf"{LABELS}\s+{MONTH}\s+{YEAR}"
+NAMED, NAMED_CLOSE = rf"\b({NAMES})(?:\s+de)?\s+{YEAR}\b", rf"\b({NAMES})\s+{YEAR}\b"
+ALONE, SOME_YEAR = rf"\b({NAMES})\b", rf"\b{YEAR}\b"
+DAY_FIRST, YEAR_FIRST = rf"\b([0-9]{{1,2}})\s+{MONTH}\s+{YEAR}\b", rf"\b{YEAR}\s+{MONTH}\s+[0-9]{{1,2}}\b"
+YEAR_MONTH, MONTH_YEAR, COMPACT = rf"\b{YEAR}\s+{MONTH}\b", rf"\b{MONTH}\s+{YEAR}\b", rf"\b{YEAR}(0[1-9]|1[0-2])\b"
+ROUTE_LABEL, LABEL_BEHIND = rf"{ROUTE_LABELS}\s+{YEAR}\s+{MONTH}", rf"{YEAR}\s+{MONTH}\s+(?:periodo|referencia)"
+OPERATION, OPERATION_ISO = rf"{OPERATION_LABELS}\s+([0-9]{{1,2}})\s+{MONTH}\s+{YEAR}", rf"{OPERATION_LABELS}\s+{YEAR}\s+{MONTH}\s+[0-9]{{1,2}}"
 
 
-def period_sql(t: str, d: Dialect = SPARK, standalone_dates: bool = True, exact_months: bool = False) -> str:
-    """year * 100 + month, or null; `t` is a column of text in the period's normal form."""
+def _like(t: str, pattern: str) -> str:
+    return f"({t} RLIKE {quoted(pattern)})"
 
-    def at(pattern: str, year: int, month: int) -> str:
-        return f"(CAST({d.get(t, pattern, year)} AS INT) * 100 + CAST({d.get(t, pattern, month)} AS INT))"
 
-    def held(pattern: str, year: int, month: int) -> str:
-        value = at(pattern, year, month)
-        return f"CASE WHEN CAST({d.get(t, pattern, year)} AS INT) BETWEEN 2020 AND 2035 THEN {value} END"
+def _part(t: str, pattern: str, group: int) -> str:
+    return f"CAST(regexp_extract({t}, {quoted(pattern)}, {group}) AS INT)"
 
-    def numbered(name: str) -> str:
-        return "CASE " + " ".join(f"WHEN {name} IN ({', '.join(d.text(v) for v in names)}) THEN {n}" for n, names in MONTH_NAMES.items()) + " END"
 
-    pay = rf"{PAY_WORDS}\s+{MONTH}\s+{YEAR}\b"
-    year_first = rf"{LABELS}\s+{YEAR}\s+{MONTH}" + (r"\b" if exact_months else "")
-    month_first = rf"{LABELS}\s+{MONTH}\s+{YEAR}"
-    named = rf"\b({NAMES})(?:\s+de)?\s+{YEAR}\b"
-    alone, some_year = rf"\b({NAMES})\b", rf"\b{YEAR}\b"
-    full, iso = rf"\b([0-9]{{1,2}})\s+{MONTH}\s+{YEAR}\b", rf"\b{YEAR}\s+{MONTH}\s+[0-9]{{1,2}}\b"
-    spot = f"length({d.get(t, rf'^(.*?)\b(?:{NAMES})\b', 1)})"
-    near = f"substring({t}, CAST(greatest({spot} - 35, 0) + 1 AS INT), CAST({spot} + 35 - greatest({spot} - 35, 0) AS INT))"
-    in_range = lambda p, g: f"{d.like(t, p)} AND CAST({d.get(t, p, g)} AS INT) BETWEEN 2020 AND 2035"
+def _value(t: str, pattern: str, year: int, month: int) -> str:
+    return f"({_part(t, pattern, year)} * 100 + {_part(t, pattern, month)})"
+
+
+def _in_range(t: str, pattern: str, year: int) -> str:
+    return f"{_part(t, pattern, year)} BETWEEN 2020 AND 2035"
+
+
+def _held(t: str, pattern: str, year: int, month: int) -> str:
+    """The value if its year is in range, else null: the rule ends the search either way."""
+    return f"CASE WHEN {_in_range(t, pattern, year)} THEN {_value(t, pattern, year, month)} END"
+
+
+def _named(t: str, pattern: str, year_pattern: str, year: int) -> str:
+    name = f"regexp_extract({t}, {quoted(pattern)}, 1)"
+    number = f"CASE {name} " + " ".join(f"WHEN '{v}' THEN {n}" for n, names in MONTH_NAMES.items() for v in names) + " END"
+    return f"{_part(t, year_pattern, year)} * 100 + {number}"
+
+
+def _far_month(t: str) -> tuple[str, str]:
+    """A month's name and a year anywhere, unless a whole date competes and no word of pay stands near the name."""
+    spot = f"length(regexp_extract({t}, {quoted(rf'(?s)^(.*?){ALONE}')}, 1))"
+    near = f"substring({t}, greatest({spot} - 35, 0) + 1, {spot} + 35 - greatest({spot} - 35, 0))"
+    return f"{_like(t, ALONE)} AND {_like(t, SOME_YEAR)} AND (NOT {_like(t, DAY_FIRST)} OR {_like(near, NEAR_WORDS)})", _named(t, ALONE, SOME_YEAR, 1)
+
+
+def _first_of(t: str, rules: list[tuple[str, str]]) -> str:
+    return f"CASE WHEN {t} IS NULL OR NOT {_like(t, '20[23][0-9]')} THEN NULL " + " ".join(f"WHEN {when} THEN {then}" for when, then in rules) + " END"
+
+
+def period_case(t: str, standalone_dates: bool = True, exact_months: bool = False) -> str:
+    """The period in `t`, a column of text in the period's normal form."""
+    year_first = LABEL_YEAR + (r"\b" if exact_months else "")
     rules = [
-        (d.like(t, pay), held(pay, 2, 1)),
-        (in_range(year_first, 1), at(year_first, 1, 2)),
-        (in_range(month_first, 2), at(month_first, 2, 1)),
-        (d.like(t, named), f"CAST({d.get(t, named, 2)} AS INT) * 100 + {numbered(d.get(t, named, 1))}"),
-        (f"{d.like(t, alone)} AND {d.like(t, some_year)} AND (NOT {d.like(t, full)} OR {d.like(near, NEAR_WORDS)})", f"CAST({d.get(t, some_year, 1)} AS INT) * 100 + {numbered(d.get(t, alone, 1))}"),
+        (_like(t, PAY), _held(t, PAY, 2, 1)),
+        (f"{_like(t, year_first)} AND {_in_range(t, year_first, 1)}", _value(t, year_first, 1, 2)),
+        (f"{_like(t, LABEL_MONTH)} AND {_in_range(t, LABEL_MONTH, 2)}", _value(t, LABEL_MONTH, 2, 1)),
+        (_like(t, NAMED), _named(t, NAMED, NAMED, 2)),
+        _far_month(t),
     ]
     if standalone_dates:
-        rules += [(d.like(t, full), held(full, 3, 2)), (d.like(t, iso), held(iso, 1, 2))]
-    year_month, month_year, compact = rf"\b{YEAR}\s+{MONTH}\b", rf"\b{MONTH}\s+{YEAR}\b", rf"\b{YEAR}(0[1-9]|1[0-2])\b"
-    rules += [(d.like(t, year_month), held(year_month, 1, 2)), (d.like(t, month_year), held(month_year, 2, 1)), (d.like(t, compact), at(compact, 1, 2))]
-    return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in rules) + " END"
+        rules += [(_like(t, DAY_FIRST), _held(t, DAY_FIRST, 3, 2)), (_like(t, YEAR_FIRST), _held(t, YEAR_FIRST, 1, 2))]
+    rules += [(_like(t, YEAR_MONTH), _held(t, YEAR_MONTH, 1, 2)), (_like(t, MONTH_YEAR), _held(t, MONTH_YEAR, 2, 1)), (_like(t, COMPACT), _value(t, COMPACT, 1, 2))]
+    return _first_of(t, rules)
+
+
+def late_route_case(a: str) -> str:
+    """P2 after P1 has found nothing: the routing rules, over text in the route's normal form."""
+    rules = [(f"{_like(a, p)} AND {_in_range(a, p, 1)}", _value(a, p, 1, 2)) for p in (ROUTE_LABEL, LABEL_BEHIND)]
+    rules += [
+        (_like(a, NAMED_CLOSE), _named(a, NAMED_CLOSE, NAMED_CLOSE, 2)),
+        _far_month(a),
+        (_like(a, COMPACT), _value(a, COMPACT, 1, 2)),
+        (_like(a, OPERATION), _held(a, OPERATION, 3, 2)),
+        (_like(a, OPERATION_ISO), _held(a, OPERATION_ISO, 1, 2)),
+    ]
+    return _first_of(a, rules)
+
+
+def routing_case(a: str, b: str) -> str:
+    """The period of a text whose normal forms for routes and periods are `a` and `b`."""
+    return f"coalesce({period_case(b)}, {late_route_case(a)})"
+
+
+def period_sql(text: str, standalone_dates: bool = True, exact_months: bool = False) -> str:
+    """P1 of a raw text given as SQL."""
+    return settled(normal_period(text), period_case("t", standalone_dates, exact_months))
 
 
 def period(text: str, standalone_dates: bool = True, exact_months: bool = False) -> Column:
-    """The period of a column of raw text, as year * 100 + month."""
-    return F.expr(period_sql(normal_period(text), SPARK, standalone_dates, exact_months))
+    """The period of a column of raw text."""
+    return F.expr(period_sql(text, standalone_dates, exact_months))
+
+
+def routing_period(text: str) -> Column:
+    """The routing period of a column of raw text."""
+    return F.expr(settled(normal_route(text), settled(period_of_route("a"), routing_case("a", "b"), "b"), "a"))
+
+
+def first_period(texts: str) -> str:
+    """P5, as SQL over an array of raw texts: the first that tells a period without whole dates, else the first with them.
+
+    A struct of period and evidence (180 characters of the text's normal form), or null.
+    """
+    normal = f"transform({texts}, x -> {normal_period('x')})"
+    found = lambda whole: f"filter(transform({normal}, t -> named_struct('period', {period_case('t', whole)}, 'evidence', substring(t, 1, 180))), f -> f.period IS NOT NULL)"
+    return f"coalesce(get({found(False)}, 0), get({found(True)}, 0))"
 
 
 # Month words of folder names, Portuguese and English.

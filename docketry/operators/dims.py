@@ -118,4 +118,54 @@ PATTERNS = {
 }
 
 # Layers of the funnel, in order.
-FUNNEL_LAYERS = ("exact_hash_cache", "learned_rules", "similarity_hint", "pattern_score", "payslip_signal", "pdf_text_layout", "unmatched", "review")
+FUNNEL_LAYERS = ("input", "cache", "learned_sections", "filename_taxonomy", "pdf_text_layout", "period_gate", "confidence_gate", "cluster_bucket")
+
+# Groups of codes that compete with each other.
+COMPETITORS = (("TV", "EBV", "TSA", "EBSA", "EBI"), ("SSR", "SSD", "PSS"), ("GIR", "LIR", "PIR"), ("RV", "LC"))
+
+# Terms that learned terms are not scored by, and stop words of learning.
+GENERIC_TERMS = ("eur", "agix", "lda", "513256180", "pagina", "page", "total", "valor", "data", "conta", "nome", "nif")
+LEARNING_STOP = ("para", "com", "por", "dos", "das", "uma", "sem", "mes", "ano", "pagina", "total", "valor", "data", "numero", "nome", "que", "nos", "nao", "este", "essa", "outro", "outra", "ser", "ter", "foi", "mais", "sobre")
+
+# Further terms of a folder on a page, by code.
+PAGE_TERMS = {
+    "RV": ("recibo vencimento", "folha vencimento", "payslip", "remuneracao"),
+    "LC": ("lancamento contabilistico", "contabilidade", "diario"),
+    "TV": ("transferencia vencimento", "transferencias vencimento", "salario", "ordenado"),
+    "EBV": ("extrato vencimento", "extrato salario", "banco vencimento"),
+    "TSA": ("transferencia subsidio alimentacao", "subsidio alimentacao", "refeicao"),
+    "EBSA": ("extrato subsidio alimentacao", "extrato refeicao"),
+    "SSR": ("dmr resumo", "seguranca social resumo", "resumo dmr"),
+    "SSD": ("dmr detalhe", "seguranca social detalhe", "detalhe dmr", "trabalhador"),
+    "GIR": ("guia irs", "documento unico cobranca", "duc irs"),
+    "LIR": ("listagem irs", "relacao irs", "retencoes fonte"),
+    "PSS": ("pagamento seguranca social", "pagamento ss", "taxa social unica"),
+    "PIR": ("pagamento irs", "autoridade tributaria pagamento"),
+    "EBI": ("extrato impostos", "extrato irs", "extrato seguranca social", "autoridade tributaria", "pagamento ao estado"),
+}
+
+# Patterns of a folder on a page (pattern, weight, label), by code.
+PAGE_PATTERNS = {
+    "RV": ((r"recibo de vencimento", 1.4, "recibo de vencimento"), (r"data de processamento.*entidade patronal.*empregado", 1.0, "payroll receipt layout")),
+    "LC": ((r"extracto de contas|extrato de contas", 1.3, "extracto de contas"), (r"centro custo.*conta.*datas", 0.9, "accounting cost-center layout"), (r"int salarios processamento|processamento 901", 0.7, "salary accounting posting")),
+    "TV": ((r"comprovativo de operacao.*transferencia|dados da operacao.*conta destino", 1.2, "bank transfer proof"), (r"n[oº]? de transferencia|transferencia.*venc|descricao venc", 0.9, "salary transfer signal")),
+    "EBV": ((r"extrato ?d ?o|extracto ?d ?o", 0.16, "bank statement layout"), (r"periodo.*data ?mov.*data ?valor", 0.16, "bank statement movement table"), (r"venc|salario|ordenado|trfdehoraindustria|trf de hora industria", 0.9, "salary movement in bank statement")),
+    "TSA": ((r"carregamento de cartoes pre pagos|cartao caixa break", 1.3, "meal card loading proof"), (r"subsidio de refeicao|subsidio alimentacao|conta cartao", 1.0, "meal allowance card signal")),
+    "EBSA": ((r"extrato ?d ?o|extracto ?d ?o", 0.16, "bank statement layout"), (r"refeicao|subsidio alimentacao|cartao", 0.9, "meal allowance bank movement")),
+    "SSR": ((r"entrega de declaracao de remuneracoes.*extrato de resumo", 1.5, "DMR summary header"), (r"total de remuneracoes.*total de contribuicoes", 0.9, "DMR totals")),
+    "SSD": ((r"extracto da declaracao de remuneracoes|extrato da declaracao de remuneracoes", 1.3, "DMR detail header"), (r"nome do trabalhador.*ano mes ref.*dias.*valor", 1.0, "DMR worker detail table")),
+    "GIR": ((r"identificacao do sujeito passivo.*importancia a pagar", 1.2, "IRS guide/payment document"), (r"referencia.*certificacao do pagamento|documento unico de cobranca", 0.9, "tax guide reference")),
+    "LIR": ((r"mapa de liquidacao de irs|liquidacao de irs", 1.4, "IRS liquidation map"), (r"funcionario.*n[oº]?contribuinte.*liquidado", 1.0, "IRS employee list table")),
+    "PSS": ((r"pagamento.*seguranca social|comprovativo.*seguranca social|taxa social unica", 1.2, "social security payment proof"),),
+    "PIR": ((r"pagamento.*irs|comprovativo.*irs|autoridade tributaria.*pagamento", 1.2, "IRS payment proof"),),
+    "EBI": ((r"extrato ?d ?o|extracto ?d ?o", 0.16, "bank statement layout"), (r"autoridade tributaria|seguranca social|irs|pagamento ao estado|pagamento estado", 0.9, "tax/social-security bank movement")),
+}
+# What a page shows that goes on, or that is only a bank statement.
+CONTINUATION = r"continua|continuacao|transporte|pag\s*[0-9]+\s*/\s*[0-9]+|pag[0-9]+/[0-9]+|pag\.\s*[0-9]+"
+BANK_PAGE = r"extrato ?d ?o|extracto ?d ?o|datamov|data mov|saldo contabilistico|saldo contabil"
+# Marker of a folder's number on a page, and weights of a page's score.
+PAGE_NUMBER_MARKER = r"(?:pasta|folder|grupo|sec(?:c|ç)ao|section)\s*0?{0}\b"
+PAGE_SCORE = {"number": 0.6, "code": 0.45, "phrase": 0.35, "term": 0.16, "least": 0.42}
+# Labels of a page that follows another, and stop words of sample tokens.
+BANK_AFTER_TAX, PAGE_GOES_ON = ("bank statement after tax/IRS section", "sequence/order inference"), "continuation page"
+SAMPLE_STOP = ("para", "com", "por", "dos", "das", "uma", "sem", "mes", "ano")

@@ -5,52 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions.dialect import DUCK
-from docketry.functions.period import period, period_sql
+from docketry.functions.period import period, routing_period
 from docketry.functions.text import normal_period, section_tokens
 from docketry.operators import classify, cluster, learn, quality, segment
-from docketry.operators.dims import FOLDER_OF, FOLDERS
+from docketry.operators.dims import FOLDER_OF, FOLDERS, FUNNEL_LAYERS
+from docketry.plans import checking
 from docketry.plans.inputs import table, with_inputs
 from docketry.plans.registry import register
 
 YEAR, MONTH = 2025, 6
 
 
-def duck_routes(select: str) -> str:
-    """The cascade as nested selects, then `select` over `routes`."""
-    steps, source = [], "doc_inputs"
-    for k, stage in enumerate(classify.route_stages(DUCK)):
-        steps.append(f"s{k} AS (SELECT *, {', '.join(f'{v} AS {n}' for n, v in stage.items())} FROM {source})")
-        source = f"s{k}"
-    routes = ", ".join(f"{v} AS {n}" for n, v in classify.route_columns(YEAR, MONTH, DUCK).items())
-    steps.append(f"routes AS (SELECT doc_id, file_name, {routes} FROM {source})")
-    bucket = "CASE " + " ".join(f"WHEN document_code = '{c}' AND confidence >= 0.34 THEN '{c}'" for c in FOLDER_OF) + " ELSE 'OUTLIERS' END"
-    steps.append(f"bucketed AS (SELECT *, {bucket} AS bucket FROM routes)")
-    return with_inputs(f"WITH {', '.join(steps)} {select}", "doc_inputs")
+def duck_routes(select: str, ignore_period: bool = True) -> str:
+    """`select` over `routes` and `bucketed`, as the checking engine makes them."""
+    return with_inputs(f"WITH {checking.route_tables(YEAR, MONTH, ignore_period)} {select}", "doc_inputs")
 
 
-def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.local_route(table(spark, sf_dir, "doc_inputs"), YEAR, MONTH)
+def routes(spark: SparkSession, sf_dir: str, ignore_period: bool = True) -> DataFrame:
+    """Routes as clustering a folder makes them, or with `ignore_period=False` as classifying for one month does."""
+    return classify.local_route(table(spark, sf_dir, "doc_inputs"), YEAR, MONTH, ignore_period)
 
 
-PERIOD_SQL = f"SELECT doc_id, {period_sql(normal_period('body', DUCK), DUCK)} AS period FROM doc_inputs"
+PERIOD_TABLES = "WITH n AS (SELECT doc_id, " + checking.normal_period("body") + " AS pt FROM doc_inputs), " + checking.period_tables("n", "doc_id", "pt", "periods")
+ROUTING_TABLES = f"WITH n AS (SELECT doc_id, {checking.normal_route('body')} AS st FROM doc_inputs), m AS (SELECT *, {checking.normal_period('st')} AS pt FROM n), {checking.period_tables('m', 'doc_id, st', 'pt', 'p')}, {checking.late_tables('p', 'doc_id', 'st', 'periods')}"
 
 
-@register("route_documents", duck_routes("SELECT doc_id, document_code, round(confidence, 6) AS confidence, stage, target_year, target_month FROM routes"))
+@register("route_documents", duck_routes("SELECT doc_id, document_code, round(confidence, 6) AS confidence, stage, target_year, target_month FROM routes", False))
 def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes(spark, sf_dir).select("doc_id", "document_code", F.round("confidence", 6).alias("confidence"), "stage", "target_year", "target_month")
+    return routes(spark, sf_dir, False).select("doc_id", "document_code", F.round("confidence", 6).alias("confidence"), "stage", "target_year", "target_month")
 
 
-@register("period_by_document", with_inputs(PERIOD_SQL, "doc_inputs"))
+@register("period_by_document", with_inputs(PERIOD_TABLES + " SELECT doc_id, CAST(p1 AS INTEGER) AS period FROM periods", "doc_inputs"))
 def period_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "doc_inputs").select("doc_id", period("body").alias("period"))
 
 
-@register("period_counts", with_inputs(f"SELECT period, count(*) AS n FROM ({PERIOD_SQL}) GROUP BY period", "doc_inputs"))
+@register("period_counts", with_inputs(PERIOD_TABLES + " SELECT CAST(p1 AS INTEGER) AS period, count(*) AS n FROM periods GROUP BY 1", "doc_inputs"))
 def period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_by_document(spark, sf_dir).groupBy("period").agg(F.count("*").alias("n"))
 
 
+@register("routing_periods", with_inputs(ROUTING_TABLES + " SELECT doc_id, CAST(period AS INTEGER) AS period FROM periods", "doc_inputs"))
+def routing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "doc_inputs").select("doc_id", routing_period("body").alias("period"))
+
+
 EVERY = ", ".join(f"({n}, '{c}')" for n, c, _ in FOLDERS) + ", (14, 'OUTLIERS')"
 
 
@@ -69,14 +68,37 @@ def cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.totals(routes(spark, sf_dir))
 
 
-@register("funnel_summary", duck_routes("SELECT CASE stage WHEN 'hint' THEN 'similarity_hint' WHEN 'pattern' THEN 'pattern_score' WHEN 'payslip' THEN 'payslip_signal' ELSE 'unmatched' END AS layer, count(*) AS matched, count(*) FILTER (WHERE bucket = 'OUTLIERS') AS rejected FROM bucketed GROUP BY 1"))
+LAYERS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(FUNNEL_LAYERS))
+TRACES = f"""SELECT doc_id, place, l.layer, CASE WHEN place IN (0, 5) THEN 'matched' WHEN place > 5 THEN CASE WHEN bucket = 'OUTLIERS' THEN 'rejected' ELSE 'matched' END
+  WHEN l.layer = b.layer THEN 'matched' WHEN place < b.at OR b.at = -1 AND place > 1 THEN 'missed' ELSE 'skipped' END AS status
+  FROM (SELECT *, CASE stage WHEN 'hint' THEN 'filename_taxonomy' WHEN 'pattern' THEN 'pdf_text_layout' WHEN 'payslip' THEN 'pdf_text_layout' ELSE 'unmatched' END AS layer, CASE stage WHEN 'hint' THEN 3 WHEN 'pattern' THEN 4 WHEN 'payslip' THEN 4 ELSE -1 END AS at FROM bucketed) b, (VALUES {LAYERS}) l(place, layer)"""
+
+
+@register("funnel_traces", duck_routes(TRACES))
+def funnel_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.funnel_traces(routes(spark, sf_dir))
+
+
+@register("funnel_summary", duck_routes(f"SELECT place, layer, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'missed') AS missed FROM ({TRACES}) GROUP BY 1, 2"))
 def funnel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.funnel(routes(spark, sf_dir))
 
 
-@register("review_split", duck_routes(f"SELECT document_code, CASE WHEN document_code IN ('RV', 'UNKNOWN') OR confidence < 0.7 OR coalesce(target_year <> {YEAR}, false) OR coalesce(target_month <> {MONTH}, false) THEN 'review' ELSE 'approved' END AS status, count(*) AS items FROM routes GROUP BY 1, 2"))
+@register(
+    "cluster_evidence",
+    duck_routes(
+        f"""SELECT doc_id, array_to_string(list_filter(['No learned section fingerprints yet', 'Filename pattern analysis', 'PDF text/layout/metadata signal analysis',
+    CASE WHEN target_year <> {YEAR} OR target_month <> {MONTH} THEN 'Period mismatch detected but not blocking global clustering' WHEN target_year IS NOT NULL THEN 'Period detection' END,
+    CASE bucket WHEN 'OUTLIERS' THEN 'Outlier gate: low confidence, unknown, or non-target family' WHEN 'RV' THEN 'Accepted into folder 1 payslip cluster for Final Join' ELSE 'Accepted into folder 2-13 cluster' END], lambda x: x IS NOT NULL), '|') AS evidence FROM bucketed"""
+    ),
+)
+def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.evidence(routes(spark, sf_dir), YEAR, MONTH).select("doc_id", F.array_join("evidence", "|").alias("evidence"))
+
+
+@register("review_split", duck_routes(f"SELECT document_code, CASE WHEN document_code IN ('RV', 'UNKNOWN') OR confidence < 0.7 OR coalesce(target_year <> {YEAR}, false) OR coalesce(target_month <> {MONTH}, false) THEN 'review' ELSE 'approved' END AS status, count(*) AS items FROM routes GROUP BY 1, 2", False))
 def review_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.review_split(routes(spark, sf_dir), YEAR, MONTH)
+    return cluster.review_split(routes(spark, sf_dir, False), YEAR, MONTH)
 
 
 NUMBER_SQL = "CASE {} " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in FOLDER_OF.items()) + " END"
@@ -116,7 +138,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("reference_id", "section", F.posexplode(section_tokens(F.col("t"))).alias("seq", "token"))
 
 
-TOKENS_SQL = f"""WITH t AS (SELECT conv_id AS reference_id, turn AS section, list_filter(string_split({normal_period('text', DUCK)}, ' '), lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9]+$')) AS ts FROM conversations),
+TOKENS_SQL = f"""WITH t AS (SELECT conv_id AS reference_id, turn AS section, list_filter(string_split({checking.normal_period('text')}, ' '), lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9]+$')) AS ts FROM conversations),
  e AS (SELECT reference_id, section, unnest(ts) AS token, unnest(range(len(ts))) AS seq FROM t)"""
 
 

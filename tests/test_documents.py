@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.functions.period import folder_period, period
+from docketry.functions.period import folder_period, period, routing_period
 from docketry.operators import classify, cluster, learn, quality, segment, state
 from docketry.sources import files
 
@@ -13,6 +13,7 @@ PERIODS = [
     ("Junho 2025", 202506), ("Julho 2025", 202507), ("Agosto 2024", 202408), ("Setembro 2025", 202509), ("Outubro 2025", 202510), ("Novembro 2025", 202511), ("Dezembro 2025", 202512),
     ("Vencimento 01 2025", 202501), ("Salario 12 2024", 202412), ("Jan 2025", 202501), ("Dez 2025", 202512), ("Subsidio Alimentacao Junh 2025", 202506), ("2025", None), ("Invoice document", None), ("Jan 2019", None), ("Jan 2099", None), ("Relatório 2025", None),
     ("Recibo de Vencimento Janeiro 2025", 202501), ("06-2025", 202506), ("15.03.2025", 202503), ("Subsídio Alimentação 03 2025", 202503), ("Sub Refeicao Mar 2025", 202503), ("Cartao Refeicao Junh 2025", 202506), ("Janeiro 2019", None), ("Dezembro 2099", None), ("Comprovativo de Pagamento", None),
+    ("Marc\u0327o 2025", 202503), ("Mar\u00e7o 2025", 202503), ("Setembro\u00a02025", 202509), ("MARÇO DE 2024", 202403),
     ("Periodo 2025 12", 202501), ("Periodo 12/2025", 202512), ("Dezembro 2037", 203712), ("vencimento 05 2037 ref 2025 03", None), ("Cartao Refeicao Junh-D46RP717 04-07-2025", 202506), ("pagina outubro saldo e mais texto sem nada a ver aqui 30.09.2025", 202509),
 ]
 
@@ -35,16 +36,67 @@ def test_normal_forms_and_scalars(spark):
     assert spark.range(1).select(folder_period(F.lit("03 marco"), 2025), folder_period(F.lit("2024-11"), 2025), folder_period(F.lit("fotos"), 2025)).first()[:] == (202503, 202411, None)
 
 
-def test_route_stages(spark):
+ROUTING = [
+    # the routing rules after the period rules have found nothing
+    ("vencimento 05 2037 ref periodo 2025 03", 202503), ("vencimento 05 2037 maio 2025", 202505), ("vencimento 05 2037 2025 03 periodo", 202503), ("vencimento 05 2037 202504", 202504), ("vencimento 05 2037 data valor 15 03 2025", 202503), ("vencimento 05 2037 data emissao 2025 03 15", 202503),
+    ("vencimento 05 2037", None), ("06/2025", 202506), (None, None), ("", None),
+]
+
+
+def test_routing_periods(spark):
+    df = spark.createDataFrame(ROUTING, "t string, want int").withColumn("got", routing_period("t"))
+    assert df.where("NOT (want <=> got)").collect() == []
+
+
+# doc_id, file name, body, (code, confidence, stage, year, month) asked for June 2025, worked by hand
+ROUTES = [
+    (1, "a.pdf", "Dados da operação pagamento TSU 06/2025", ("PSS", 0.68, "proof", 2025, 6)),
+    (2, "b.pdf", "Dados da operação Multi Imposto março 2024", ("PIR", 0.64, "proof", 2024, 3)),
+    (3, "c.pdf", "Extrato conta período 03/2025 autoridade tributária", ("EBI", 0.58, "proof", 2025, 3)),
+    (4, "d.pdf", "Entrega de ficheiro de remunerações - extrato de resumo", ("SSR", 0.66, "proof", None, None)),
+    (5, "m.pdf", "mapa de liquidação de IRS 202504", ("LIR", 0.66, "proof", 2025, 4)),
+    (6, "05_TSA_cartao.pdf", "junho 2025", ("TSA", 0.88, "hint", 2025, 6)),  # 0.54 + 0.5, held at 0.88
+    (7, "x.pdf", "cartao refeicao maio 2025", ("UNKNOWN", 0.35, "unknown", 2025, 5)),  # terms in the text: 0.2; weak hit: 0.05
+    (8, "cartao refeicao.pdf", "maio 2025", ("TSA", 0.44, "hint", 2025, 5)),
+    (9, "doc.pdf", "recibo de remunerac Junho 2025", ("RV", 0.64, "payslip", 2025, 6)),
+    (10, "lancamento contabil.pdf", "balancete junho 2025", ("LC", 0.44, "hint", 2025, 6)),
+    (11, "transferencia.pdf", "transferencia vencimento junho 2025", ("TV", 0.63, "pattern", 2025, 6)),  # 0.36 + 0.08 + 2 x 0.05, and 0.04 + 0.05 for the period
+    (12, "x.pdf", "nada", ("UNKNOWN", 0.35, "unknown", None, None)),
+    (13, None, None, ("UNKNOWN", 0.35, "unknown", None, None)),
+]
+
+
+def test_routes_worked_by_hand(spark):
+    docs = spark.createDataFrame([r[:3] for r in ROUTES], "doc_id long, file_name string, body string")
+    got = {r["doc_id"]: (r["document_code"], round(r["confidence"], 6), r["stage"], r["target_year"], r["target_month"]) for r in classify.local_route(docs, 2025, 6).collect()}
+    assert got == {r[0]: r[3] for r in ROUTES}
+    buckets = {r["bucket"]: r["items"] for r in cluster.buckets(classify.local_route(docs, 2025, 6)).collect()}
+    assert len(buckets) == 14 and sum(buckets.values()) == 13 and buckets["OUTLIERS"] == 0 + sum(r[3][0] == "UNKNOWN" for r in ROUTES)
+
+
+def test_learned_branches_and_periods(spark):
+    marks = lambda code, period, rated=True: {code: (period, rated)}
     rows = [
-        (1, "a.pdf", "Dados da operação pagamento TSU"), (2, "05_TSA_cartao.pdf", "cartao refeicao"), (3, "doc.pdf", "recibo de remunerac"), (4, "x.pdf", "nada"),
-        (5, "m.pdf", "mapa de liquidação de IRS"), (6, None, None),
-    ]
-    got = {r["doc_id"]: r for r in classify.local_route(spark.createDataFrame(rows, "doc_id long, file_name string, body string"), 2025, 6).collect()}
-    assert [got[k]["document_code"] for k in (1, 2, 3, 4, 5, 6)] == ["PSS", "TSA", "RV", "UNKNOWN", "LIR", "UNKNOWN"]
-    assert got[1]["confidence"] == 0.68 and got[4]["confidence"] == 0.35
-    buckets = {r["bucket"]: r["items"] for r in cluster.buckets(classify.local_route(spark.createDataFrame(rows, "doc_id long, file_name string, body string"), 2025, 6)).collect()}
-    assert len(buckets) == 14 and sum(buckets.values()) == 6
+        (1, "a.pdf", "dados da operacao pagamento tsu 05/2025", None, None, marks("PSS", 202506), None, None),  # the mark's period, +0.1
+        (2, "a.pdf", "dados da operacao pagamento tsu 06/2025", None, None, marks("PSS", 202505), None, None),  # another period: -0.15
+        (3, "a.pdf", "dados da operacao pagamento tsu 06/2025", None, None, marks("PSS", None), None, None),  # mark without result: text's period
+        (4, "x.pdf", "nada 06/2025", "GIR", 0.5, None, None, None),  # learned section: +0.04 + 0.05
+        (5, "x.pdf", "nada 05/2025", "GIR", 0.5, None, None, None),  # +0.04 - 0.18
+        (6, "x.pdf", "nada 05/2025", "GIR", 0.3, marks("GIR", 202506), None, None),  # 0.38 + 0.1
+        (7, "x.pdf", "nada 05/2025", "GIR", 0.5, marks("GIR", 202504), None, None),  # - 0.25
+        (8, "x.pdf", "nada", None, None, None, None, True),  # scanned
+        (9, "guia.pdf", "guia retencao na fonte autoridade tributaria", None, None, marks("GIR", 202506, False), {"GIR": 1.0}, None),
+    ]
+    schema = "doc_id long, file_name string, body string, learned_code string, learned_score double, learned_periods map<string,struct<period:int,rated:boolean>>, example_scores map<string,double>, ocr boolean"
+    docs = spark.createDataFrame(rows, schema)
+    got = {r["doc_id"]: (r["document_code"], round(r["confidence"], 4), r["stage"], r["target_month"]) for r in classify.local_route(docs, 2025, 6).collect()}
+    assert [got[k] for k in range(1, 9)] == [("PSS", 0.78, "proof", 6), ("PSS", 0.53, "proof", 5), ("PSS", 0.68, "proof", 6), ("GIR", 0.59, "learned", 6), ("GIR", 0.36, "learned", 5), ("GIR", 0.48, "learned", 6), ("GIR", 0.25, "learned", 4), ("UNKNOWN", 0.18, "unknown", None)]
+    assert got[9][0] == "GIR" and got[9][3] is None  # a mark that is not rated does not date a pattern's route
+    layers = {r["doc_id"]: r["layer"] for r in cluster.with_layer(classify.local_route(docs, 2025, 6)).collect()}
+    assert layers[1] == "unmatched" and layers[4] == "learned_sections" and layers[8] == "pdf_text_layout"
+    traces = {(r["doc_id"], r["layer"]): r["status"] for r in cluster.funnel_traces(classify.local_route(docs, 2025, 6)).collect()}
+    assert traces[4, "cache"] == "missed" and traces[4, "filename_taxonomy"] == "skipped" and traces[1, "learned_sections"] == "missed" and traces[1, "cache"] == "skipped" and traces[8, "cluster_bucket"] == "rejected"
+    assert len(traces) == 9 * 8
 
 
 def _sequential(pages):
