@@ -167,6 +167,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return seen.withColumns({"name_words": F.expr(words_in("name_text", "words")), "body_words": F.expr(words_in("body_text", "words")), "period": F.expr(routing_case("both_text", "period_text"))})
 
 
+def settled_rows(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, whose expressions the optimizer does not copy into later ones."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def local_route(docs: DataFrame, year: int, month: int, ignore_period: bool = False) -> DataFrame:
     """doc_id, file_name, document_code, confidence, stage, target_year, target_month of (doc_id, file_name, body).
 
@@ -208,4 +213,4 @@ def local_route(docs: DataFrame, year: int, month: int, ignore_period: bool = Fa
         F.expr(f"CAST(floor({target} / 100) AS INT)").alias("target_year"), F.expr(f"CAST({target} % 100 AS INT)").alias("target_month"), F.coalesce("ocr", F.lit(False)).alias("ocr"),
     )
     # a generator: filters and constraints of later steps would copy all these expressions, again and again
-    return routes.select(F.inline(F.array(F.struct(*routes.columns))))
+    return settled_rows(routes)

@@ -26,7 +26,15 @@ PHRASES = (
 
 SLUGS = ("01_RV_recibo", "02_LC_mapa", "05_TSA_cartao", "scan", "pasta 9 guia", "tsu_comprovativo", "ebi", "documento")
 
+# Phrases put before pages, one for each branch of the page rules.
+PAGE_PHRASES = (
+    "Recibo de vencimento", "Extracto de contas pasta 2", "Comprovativo de operação transferência vencimento", "Extrato D.O. salário período data mov data valor", "Carregamento de cartões pré-pagos", "Extrato D O cartão refeição 06/2025",
+    "Entrega de declaração de remunerações - extrato de resumo Junho 2025", "Extracto da declaração de remunerações", "Identificação do sujeito passivo, importância a pagar 202503", "Mapa de liquidação de IRS data valor", "Comprovativo segurança social", "Pagamento de IRS período 2025 06",
+    "Extrato D.O. autoridade tributária", "continua", "data mov saldo contabilístico", "", "",
+)
+
 VIEWS = {
+    "page_texts": f"""SELECT conv_id AS reference_id, CAST(turn + 1 AS BIGINT) AS page, concat(CASE CAST((conv_id * 7 + turn * 3) % {len(PAGE_PHRASES)} AS INT) {' '.join(f"WHEN {k} THEN '{p} '" for k, p in enumerate(PAGE_PHRASES))} END, text) AS text FROM conversations""",
     "doc_inputs": f"""SELECT doc_id, concat(CASE CAST(doc_id % {len(SLUGS)} AS INT) {' '.join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SLUGS))} END, '_', CAST(doc_id AS VARCHAR(20)), '.pdf') AS file_name,
         concat(CASE CAST(doc_id % 24 AS INT) {' '.join(f"WHEN {k} THEN '{p} '" for k, p in enumerate(PHRASES))} ELSE '' END, text) AS body
         FROM documents""",
@@ -45,10 +53,16 @@ VIEWS = {
     "decisions": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey % 13 + 1 AS INT) AS from_folder, CAST((l_partkey + l_orderkey) % 13 + 1 AS INT) AS to_folder, l_returnflag <> 'N' AS approved, CAST(l_partkey AS BIGINT) AS source_hash FROM lineitem""",
     "reviews": """SELECT CAST(o_custkey AS BIGINT) AS workspace_key, CAST(o_orderkey AS BIGINT) AS seq, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status FROM orders""",
     "signals": """SELECT CAST(user_id % 200 AS BIGINT) AS section, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 7 < 4 THEN event_type END AS format, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'header' WHEN 1 THEN 'footer' END AS position FROM events""",
+    "workspace_rows": """SELECT CAST(s_suppkey AS BIGINT) AS workspace_key, CAST(s_nationkey % 5 AS BIGINT) AS company_id, CAST(s_suppkey % 3 AS BIGINT) AS project_id, CAST(2023 + s_suppkey % 3 AS INT) AS year, CAST(s_suppkey % 12 + 1 AS INT) AS month, CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'current' WHEN 1 THEN 'ready' WHEN 2 THEN 'blocked' ELSE 'needs_confirmation' END AS status, CAST(s_suppkey % 17 AS BIGINT) AS intake FROM supplier""",
+    "employees": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, concat('E', CAST(l_linenumber AS VARCHAR(4)), '_', CAST(l_orderkey AS VARCHAR(12))) AS employee_code, concat('Name ', CAST(l_partkey % 50 AS VARCHAR(4))) AS employee_name, CASE l_returnflag WHEN 'A' THEN 'current' WHEN 'R' THEN 'ready' ELSE CASE WHEN l_linenumber > 3 THEN 'ready_with_warnings' ELSE 'blocked' END END AS final_status, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_partkey AS BIGINT) END AS payslip_hash FROM lineitem""",
+    "folder_states": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_partkey % 13 + 1 AS INT) AS folder_number, CASE WHEN l_linenumber = 1 THEN 'approved' WHEN l_linenumber = 2 THEN 'passed' WHEN l_linenumber = 3 THEN 'confirmed_missing' ELSE 'review' END AS status FROM lineitem""",
+    "cache_rows": """SELECT CAST(p_partkey % 20 AS BIGINT) AS company_id, CAST(p_partkey AS BIGINT) AS source_hash, CASE CAST(p_size % 5 AS INT) WHEN 0 THEN 'GIR' WHEN 1 THEN 'LC' WHEN 2 THEN 'UNKNOWN' ELSE 'PIR' END AS document_code, CAST(p_size AS DOUBLE) / 50 AS confidence, CAST(p_size % 3 AS INT) AS rules_version, CASE WHEN p_size % 4 = 0 THEN 'operator' ELSE 'rules' END AS route_source FROM part""",
+    "route_rows": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey % 20 AS BIGINT) AS company_id, CAST(l_partkey AS BIGINT) AS source_hash, CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'RV' WHEN 1 THEN 'GIR' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'PSS' WHEN 4 THEN 'LC' ELSE 'EBI' END AS document_code, CAST(l_quantity AS DOUBLE) / 50 AS confidence, CASE WHEN l_returnflag = 'A' THEN 'cache' WHEN l_returnflag = 'R' THEN 'rules' ELSE 'heuristic' END AS route_source,
+        CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE year(l_shipdate) END AS INT) AS target_year, CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE month(l_shipdate) END AS INT) AS target_month, CAST(l_partkey % 14 AS INT) AS folder_number FROM lineitem""",
     "corrections": """SELECT o_orderstatus AS from_code, o_orderpriority AS to_code FROM orders""",
 }
 
-TABLES = {"doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
+TABLES = {"workspace_rows": "supplier", "employees": "lineitem", "folder_states": "lineitem", "cache_rows": "part", "route_rows": "lineitem", "page_texts": "conversations", "doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
