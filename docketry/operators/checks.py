@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import normal_period
+from docketry.operators.classify import settled_rows
 
 # Weights of the confidence model, penalties and their caps, and its bands.
 WEIGHTS = {"type_confidence": 0.30, "entity_confidence": 0.20, "period_confidence": 0.15, "evidence_confidence": 0.15, "boundary_confidence": 0.10, "source_quality_confidence": 0.10}
@@ -82,7 +83,8 @@ def like_headers(docs: DataFrame, threshold: float = 0.8, size: int = 3) -> Data
     words = F.filter(F.split(F.expr(normal_period("edge")), " "), lambda w: w != "")
     one = docs.withColumn("words", words).where(F.size("words") >= size).groupBy("words").agg(F.min("doc_id").alias("doc_id"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda k: F.array_join(F.slice("words", k + 1, size), " ")))
-    hashed = HashingTF(inputCol="runs", outputCol="features", numFeatures=1 << 18, binary=True).transform(one.select("doc_id", runs.alias("runs")))
+    edges = settled_rows(one.select("doc_id", runs.alias("runs")))  # no later filter is tried on texts that are too short
+    hashed = HashingTF(inputCol="runs", outputCol="features", numFeatures=1 << 18, binary=True).transform(edges)
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=8, seed=7).fit(hashed)
     near = model.approxSimilarityJoin(hashed, hashed, 1 - threshold, "distance").where("datasetA.doc_id < datasetB.doc_id")
     both = F.size(F.array_intersect("datasetA.runs", "datasetB.runs"))
