@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators import learn, segment
+from docketry.functions.text import normal_route
+from docketry.operators import learn, learned, segment
 from docketry.operators.dims import BANK_PAGE, CONTINUATION, FOLDER_OF, FOLDERS, LEARNING_STOP, PAGE_NUMBER_MARKER, PAGE_PATTERNS, PAGE_TERMS, SAMPLE_STOP
+from docketry.plans import checking
 from docketry.plans.checking import normal_period
-from docketry.plans.inputs import table, with_inputs
+from docketry.plans.inputs import held, table, with_inputs
 from docketry.plans.registry import register
 
 
@@ -184,6 +186,27 @@ def learned_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("trained_companies")
 def trained_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     # both are read a dozen times: their lineage ends here
-    rich = instances(spark, sf_dir, True).where("company_id % 3 <> 0").checkpoint()  # the other companies learn from plain sections
+    rich = held(instances(spark, sf_dir, True).where("company_id % 3 <> 0"))  # the other companies learn from plain sections
     rules = spark.range(20).select(F.col("id").alias("company_id"), F.lit(1).alias("rules_version"))
-    return learn.trained_companies(rich, instances(spark, sf_dir).checkpoint(), rules).select("company_id", "rules_version", "rounds", "quality", F.size("prints").alias("n"))
+    return learn.trained_companies(rich, held(instances(spark, sf_dir)), rules).select("company_id", "rules_version", "rounds", "quality", F.size("prints").alias("n"))
+
+
+CODES = "CASE CAST(conv_id % 13 AS INT) " + " ".join(f"WHEN {n - 1} THEN '{c}'" for n, c, _ in FOLDERS) + " END"
+
+
+@register(
+    "learned_hints",
+    with_inputs(
+        f"""WITH f AS (SELECT CAST(conv_id % 20 AS BIGINT) AS company_id, conv_id * 100 + turn AS seq, {CODES} AS code, string_split({checking.normal_route('text')}, ' ') AS w FROM conversations), p AS (SELECT *, CASE WHEN len(w) > 1 THEN w[1] || ' ' || w[2] ELSE w[1] END AS head, list_filter(w[3:14], lambda t: length(t) > 2) AS tokens, row_number() OVER (PARTITION BY company_id ORDER BY seq DESC) AS age FROM f),
+    d AS (SELECT doc_id, CAST(doc_id % 20 AS BIGINT) AS company_id, {checking.normal_route("coalesce(file_name, '')")} || ' ' || {checking.normal_route("coalesce(body, '')")} AS t FROM doc_inputs),
+    s AS (SELECT doc_id, seq, code, CASE WHEN head <> '' AND contains(t, head) THEN CASE WHEN contains(head, ' ') THEN CAST(0.28 AS DOUBLE) ELSE 0.12 END ELSE 0 END + CASE WHEN len(tokens) > 0 THEN least(CAST(0.55 AS DOUBLE), CAST(len(list_filter(tokens, lambda x: contains(' ' || t || ' ', ' ' || x || ' '))) AS DOUBLE) / len(tokens) * CAST(1.2 AS DOUBLE)) ELSE 0 END AS score FROM d JOIN p ON d.company_id = p.company_id AND age <= 80),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score > 0.92 DESC, CASE WHEN score > 0.92 THEN -seq ELSE -score END, seq) AS nth FROM s)
+    SELECT d.doc_id AS doc_id, CASE WHEN score >= 0.3 THEN code END AS learned_code, CASE WHEN score >= 0.3 THEN round(least(0.92, score), 6) END AS learned_score FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND nth = 1""",
+        "doc_inputs",
+    ),
+)
+def learned_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.expr(normal_route("text")), " ")
+    prints = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("long").alias("company_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(CODES).alias("document_code"), F.array(F.array_join(F.slice(words, 1, 2), " ")).alias("header_terms"), F.slice(words, 3, 12).alias("sample_tokens"))
+    docs = learned.normal_texts(table(spark, sf_dir, "doc_inputs").withColumn("company_id", (F.col("doc_id") % 20).cast("long")))
+    return learned.section_hint(docs, prints).select("doc_id", "learned_code", F.round("learned_score", 6).alias("learned_score"))
