@@ -123,8 +123,8 @@ FUNNEL_LAYERS = ("input", "cache", "learned_sections", "filename_taxonomy", "pdf
 # Groups of codes that compete with each other.
 COMPETITORS = (("TV", "EBV", "TSA", "EBSA", "EBI"), ("SSR", "SSD", "PSS"), ("GIR", "LIR", "PIR"), ("RV", "LC"))
 
-# Terms that learned terms are not scored by, and stop words of learning.
-GENERIC_TERMS = ("eur", "agix", "lda", "513256180", "pagina", "page", "total", "valor", "data", "conta", "nome", "nif")
+# Terms that learned terms are not scored by (besides an owner's own name, which is a parameter), and stop words of learning.
+GENERIC_TERMS = ("eur", "lda", "pagina", "page", "total", "valor", "data", "conta", "nome", "nif")
 LEARNING_STOP = ("para", "com", "por", "dos", "das", "uma", "sem", "mes", "ano", "pagina", "total", "valor", "data", "numero", "nome", "que", "nos", "nao", "este", "essa", "outro", "outra", "ser", "ter", "foi", "mais", "sobre")
 
 # Further terms of a folder on a page, by code.

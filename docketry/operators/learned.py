@@ -49,15 +49,16 @@ def section_hint(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
 ENRICHED = (("required_terms", 15, 0.5, 0.5, True), ("header_terms", 10, 0.3, 0.14, False), ("tfidf_terms", 12, 0.2, 0.2, True), ("ngrams", 8, 0.45, 0.45, False), ("llm_descriptors", 6, 0.4, 0.4, False), ("optional_terms", 10, 0.08, 0.08, True), ("negative_terms", 8, -0.28, -0.28, False))
 
 
-def enriched_hint(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def enriched_hint(docs: DataFrame, prints: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
     """The same from enriched fingerprints, which take the place of C2's where they are switched on.
 
-    prints: company_id, seq, document_code and the lists of ENRICHED. Scores are held between 0 and
+    prints: company_id, seq, document_code and the lists of ENRICHED. own_names: further words that
+    tell nothing, as the owner's name on every document. Scores are held between 0 and
     0.98 before they are compared, so the first of the best wins.
     """
     company = _latest(prints.where(F.col("document_code").isin(*FOLDER_OF)), FINGERPRINTS, "document_code", *[F.expr(f"slice(coalesce({n}, CAST(array() AS ARRAY<STRING>)), 1, {k})").alias(n) for n, k, *_ in ENRICHED])
     both = docs.join(company, "company_id", "left").withColumn("both", F.concat_ws(" ", "name_text", "body_text"))
-    generic = ", ".join(map(quoted, GENERIC_TERMS))
+    generic = ", ".join(map(quoted, (*GENERIC_TERMS, *own_names)))
     score = "0D"
     for name, _, many, one, useful in ENRICHED:
         weight = f"{many}D" if many == one else f"CASE WHEN contains(t.raw, ' ') THEN {many}D ELSE {one}D END"
