@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import dart_minhash, harmonic_packing, kd_shards, license_scan, pii_crf, quality_rules, sentencepiece_codec, threshold_topk, toxicity_fm, warc_archive
+from docketry.llm import bradley_terry, conversation_repair, dart_minhash, filter_audit, harmonic_packing, kd_shards, license_scan, pii_crf, quality_rules, sentencepiece_codec, threshold_topk, toxicity_fm, warc_archive
 from docketry.llm._shared import documents, read_table, prepared
 
 
@@ -58,6 +58,19 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return bradley_terry.quality_scores(docs, bradley_terry.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(read_table(spark, sf_dir, "conversations"))
+
+
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity,
         "op9_packing": packing,
         "op10_warc": warc,
+        "op11_quality_classifier": quality_model,
+        "op12_conversation_repair": repair,
+        "op13_filter_audit": filters,
         "pipeline": pipeline,
     }
     return {name: _ready(run) for name, run in found.items()}
@@ -108,4 +124,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": TOP_K_SQL}
+    return {"op7_top_k": TOP_K_SQL, "op13_filter_audit": filter_audit.SQL}
