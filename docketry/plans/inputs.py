@@ -35,7 +35,26 @@ PAGE_PHRASES = (
     "Extrato D.O. autoridade tributária", "continua", "data mov saldo contabilístico", "", "",
 )
 
+# Texts put on pages, dates among them.
+DATED_ITEMS = ("Período 06/2025", "emitido 15.03.2025", "2024-11", "Março de 2025", "vencimento 2025/02", "31-12-2023", "pagamento 07/2024", "mês")
+
+
+def _page_items(words: str) -> str:
+    """Words of a turn placed on a page by a law: eight to a line, some lines numbered and indented, some items dates or blank."""
+    number = "CAST(((line // 9) * 5 + line % 9 - 1) % 17 + 1 AS INT)"
+    numbered = "col = 0 AND line % 9 BETWEEN 1 AND 5"
+    digits = f"CAST({number} AS VARCHAR(4))"
+    dates = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(DATED_ITEMS))
+    text = f"""CASE WHEN {numbered} THEN concat({digits}, CASE CAST({number} % 3 AS INT) WHEN 0 THEN ' -' WHEN 1 THEN '.' ELSE ')' END) WHEN col = 5 AND line % 6 = 2 THEN CASE CAST((doc_id + page + line) % {len(DATED_ITEMS)} AS INT) {dates} END WHEN col = 3 AND line % 4 = 0 THEN '  ' ELSE word END"""
+    placed = f"SELECT CAST(conv_id // 4 AS BIGINT) AS doc_id, CAST(turn * 4 + conv_id % 4 + 1 AS INT) AS page, CAST(seq AS BIGINT) AS seq, CAST(seq // 8 AS BIGINT) AS line, CAST(seq % 8 AS BIGINT) AS col, word FROM ({words}) AS w"
+    return f"""SELECT doc_id, page, seq, text, CAST(40 + ((col * 5) % 8) * 60 + CASE WHEN line % 9 BETWEEN 1 AND 5 THEN 30 ELSE 0 END AS DOUBLE) AS x,
+        CAST(800 - 12 * line + CASE WHEN line % 5 = 0 AND col = 7 THEN 2 ELSE seq % 3 - 1 END AS DOUBLE) AS y, CAST(length(text) AS DOUBLE) * 5.5 AS width FROM (SELECT *, {text} AS text FROM ({placed}) AS p) AS t"""
+
+
 VIEWS = {
+    "page_items": _page_items("SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS seq FROM conversations"),
+    "page_sizes": """SELECT CAST(conv_id // 4 AS BIGINT) AS doc_id, CAST(turn * 4 + conv_id % 4 + 1 AS INT) AS page, CAST(CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN 842 WHEN 1 THEN 600 ELSE 595 END AS DOUBLE) AS width, CAST(CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN 595 WHEN 1 THEN 590 ELSE 842 END AS DOUBLE) AS height FROM conversations""",
+    "document_programs": """SELECT DISTINCT CAST(conv_id // 4 AS BIGINT) AS doc_id, CASE CAST(conv_id // 4 % 3 AS INT) WHEN 1 THEN 'Ártis (Softe) v2.5' WHEN 2 THEN 'Writer' END AS creator, CASE CAST(conv_id // 4 % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'Pdf/Lib_2' END AS producer FROM conversations""",
     "page_texts": f"""SELECT conv_id AS reference_id, CAST(turn + 1 AS BIGINT) AS page, concat(CASE CAST((conv_id * 7 + turn * 3) % {len(PAGE_PHRASES)} AS INT) {' '.join(f"WHEN {k} THEN '{p} '" for k, p in enumerate(PAGE_PHRASES))} END, text) AS text FROM conversations""",
     "doc_inputs": f"""SELECT doc_id, concat(CASE CAST(doc_id % {len(SLUGS)} AS INT) {' '.join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SLUGS))} END, '_', CAST(doc_id AS VARCHAR(20)), '.pdf') AS file_name,
         concat(CASE CAST(doc_id % 24 AS INT) {' '.join(f"WHEN {k} THEN '{p} '" for k, p in enumerate(PHRASES))} ELSE '' END, text) AS body
@@ -64,7 +83,14 @@ VIEWS = {
     "corrections": """SELECT o_orderstatus AS from_code, o_orderpriority AS to_code FROM orders""",
 }
 
-TABLES = {"workspace_rows": "supplier", "employees": "lineitem", "folder_states": "lineitem", "cache_rows": "part", "route_rows": "lineitem", "page_texts": "conversations", "doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
+#: Inputs that Spark spells in another way: integer division is `div` there.
+SPARK_VIEWS = {
+    "page_items": _page_items("SELECT conv_id, turn, word, seq FROM conversations LATERAL VIEW posexplode(split(text, ' ')) AS seq, word").replace("//", "div"),
+    "page_sizes": VIEWS["page_sizes"].replace("//", "div"),
+    "document_programs": VIEWS["document_programs"].replace("//", "div"),
+}
+
+TABLES = {"page_items": "conversations", "page_sizes": "conversations", "document_programs": "conversations", "workspace_rows": "supplier", "employees": "lineitem", "folder_states": "lineitem", "cache_rows": "part", "route_rows": "lineitem", "page_texts": "conversations", "doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +100,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/{TABLES[name]}.parquet")
     if name == "doc_inputs" and len(source.inputFiles()) < (cores := spark.sparkContext.defaultParallelism):
         source = source.repartition(cores)  # few files may have fewer row groups than there are cores; rules over whole texts are worth the exchange
-    return spark.sql(VIEWS[name].replace(f"FROM {TABLES[name]}", "FROM {source}"), source=source)
+    return spark.sql(SPARK_VIEWS.get(name, VIEWS[name]).replace(f"FROM {TABLES[name]}", "FROM {source}"), source=source)
 
 
 def held(df: DataFrame) -> DataFrame:
