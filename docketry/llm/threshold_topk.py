@@ -12,7 +12,8 @@ one candidate block and QUERY_TILE query blocks: the candidates travel once per
 queries once per candidate block, and a block's lists are sorted once in a cell.
 
 Where vectors have no direction that stands out, as random ones of 64 dimensions, each list's next
-value stays so large that every row turns up before the bound can stop; `rows_scored` counts them.
+value stays so large that every row turns up before the bound can stop; `rows_scored` counts them:
+one for every inner product that is made.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor
 does one with a component whose integer a long cannot hold; neither do vectors of null id; vectors of
@@ -35,8 +36,6 @@ from docketry.llm._shared import written
 CANDIDATE_ROWS, QUERY_ROWS, QUERY_TILE = 8192, 1024, 8
 #: Entries of every list read before the bound is looked at for the first time.
 DEPTH = 16
-#: Queries of a batch, and the share of a block's rows from which scores come as one matrix product.
-BATCH, MANY = 128, 0.05
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -94,15 +93,9 @@ class SortedLists:
         rows, q = self.rows.astype(kind), queries.astype(kind)
         reads = [_Reading(self, rows, int(i), queries[n], q[n], k) for n, i in enumerate(query_ids)]
         for r in reads:
-            r.go_on(None)
-        # where the lists already gave many rows, the scores of those to come are cheaper as one product
-        left = [n for n, r in enumerate(reads) if not r.done]
-        many = [n for n in left if reads[n].n_seen > MANY * len(self.ids)]
-        product = dict(zip(many, q[many] @ rows.T, strict=True)) if many else {}
-        for n in left:
-            while not reads[n].done:
-                reads[n].go_on(product.get(n))
-        self.scored += sum(r.n_seen for r in reads)
+            while not r.done:
+                r.go_on()
+        self.scored += sum(r.n_scored for r in reads)
         return [(r.ids, r.scores) for r in reads]
 
 
@@ -113,12 +106,12 @@ class _Reading:
         self.lists, self.rows, self.own, self.q, self.k = lists, rows, own, q, k
         self.up, self.down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
         self.weights = [q[self.up], q[self.down]]
-        self.seen, self.n_seen = np.zeros(len(lists.ids), dtype=bool), 0
+        self.seen, self.n_scored = np.zeros(len(lists.ids), dtype=bool), 0
         self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, q.dtype)
         self.at, self.step, self.done = 0, DEPTH, False
 
-    def go_on(self, product: np.ndarray | None) -> None:
-        """Reads all lists some entries deeper; product: the scores of all rows, where they are known."""
+    def go_on(self) -> None:
+        """Reads all lists some entries deeper and scores the rows that turn up in them for the first time, no others."""
         lists, n = self.lists, len(self.seen)
         stop = min(self.at + self.step, n)
         if not len(self.up) and not len(self.down):
@@ -130,14 +123,14 @@ class _Reading:
             new[lists.order[self.down, n - stop : n - self.at].ravel()] = True
             fresh = np.flatnonzero(new & ~self.seen)
         self.seen[fresh] = True
-        self.n_seen += len(fresh)
-        got = self.rows[fresh] @ self.q if product is None else product[fresh]
+        got = self.rows[fresh] @ self.q
+        self.n_scored += len(got)
         if len(self.ids) == self.k:
             near = got >= self.scores[-1]
             fresh, got = fresh[near], got[near]
         other = lists.ids[fresh] != self.own
         self._keep(np.concatenate([self.ids, lists.ids[fresh[other]]]), np.concatenate([self.scores, got[other]]))
-        if stop == n or self.n_seen == n:
+        if stop == n or self.n_scored == n:
             self.done = True
         elif len(self.ids) == self.k:
             kind = np.float64 if self.q.dtype != object else object
@@ -171,13 +164,11 @@ def _matches(k: int, count: bool):
                 query_ids, rows = _unpacked(r)
                 if count:
                     asked += len(query_ids)
-                for a in range(0, len(query_ids), BATCH):
-                    some = query_ids[a : a + BATCH]
-                    for q, (ids, scores) in zip(some, lists.top(some, rows[a : a + BATCH], k), strict=True):
-                        out["query_id"].append(np.full(len(ids), q))
-                        out["vec_id"].append(ids)
-                        out["score"].append(_longs(scores))
-                        out["exact"] += [str(x) if not _LONG[0] <= x <= _LONG[1] else None for x in scores] if scores.dtype == object else [None] * len(ids)
+                for q, (ids, scores) in zip(query_ids, lists.top(query_ids, rows, k), strict=True):
+                    out["query_id"].append(np.full(len(ids), q))
+                    out["vec_id"].append(ids)
+                    out["score"].append(_longs(scores))
+                    out["exact"] += [str(x) if not _LONG[0] <= x <= _LONG[1] else None for x in scores] if scores.dtype == object else [None] * len(ids)
             if count:
                 return pd.DataFrame({"pairs": [asked * len(lists.ids)], "scored": [lists.scored]})
         return pd.DataFrame({c: np.concatenate(v) if c != "exact" else pd.Series(v, dtype=object) for c, v in out.items()})

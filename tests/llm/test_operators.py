@@ -347,6 +347,18 @@ def test_top_k_of_large_components_and_where_the_bound_stops(spark):
     few = rng.normal(0, 1, (4000, 4)) * np.array([8.0, 2.0, 0.5, 0.1])  # a direction that stands out
     vectors = threshold_topk.whole_vectors(spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(few)], "vec_id long, embedding array<double>"))
     queries = vectors.where("vec_id % 100 = 0")
+    made = []
+    lists = threshold_topk.SortedLists(np.arange(4000), np.array([r["v"] for r in vectors.orderBy("vec_id").collect()]))
+
+    class Counted(np.ndarray):
+        def __matmul__(self, q):
+            made.append(len(self))
+            return np.asarray(self) @ np.asarray(q)
+
+    whole = lists.rows
+    lists.rows = type("Rows", (), {"astype": lambda self, kind: whole.astype(kind).view(Counted)})()
+    lists.top(np.arange(0, 4000, 100), whole[::100], 20)
+    assert lists.scored == sum(made) < 0.5 * 40 * 4000  # every product is counted, and no others are made
     n = threshold_topk.rows_scored(vectors, queries).first()
     assert n["pairs"] == 40 * 4000 and n["scored"] < 0.5 * n["pairs"]
     rows, asked = np.array([r["v"] for r in vectors.orderBy("vec_id").collect()]), {}
