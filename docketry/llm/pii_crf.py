@@ -4,7 +4,8 @@ The patterns (email, ip, card, phone) are the base. The field labels every word
 its own shape and its neighbours' shapes; it is trained here from a small labelled table and decoded
 by Viterbi over many word sequences at once. A labelled run that meets no base span becomes a span
 of its own: further emails, addresses, numbers and phones, and the kinds `id`, `secret`, `name` (two
-words or more) and `address` (with a digit), which are the field's alone.
+words or more) and `address` (with a digit), which are the field's alone. Names end at a mark and
+addresses at a sentence, whatever the labels say; digests without a key beside them are no secrets.
 
 Most words of a text are certain to lie outside: their score there leads every other label's by more
 than two label pairs can make up, whatever stands beside them. They cut a line into short
@@ -144,10 +145,10 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 # Given names and family names common in four languages, and words of addresses.
-GIVEN = "anna emma marie julia laura sofia maria elena clara louise alice camille ines lucia carmen isabel jane mary susan linda john peter james robert michael david thomas daniel paul martin lukas felix jonas hans klaus jean pierre michel luc antoine hugo jose luis carlos miguel javier pablo diego george henry".split()
-FAMILY = "smith johnson brown taylor miller davis wilson clark doe white schmidt schneider fischer weber meyer wagner becker hoffmann dubois laurent bernard moreau girard lefebvre mercier garcia martinez lopez sanchez romero torres navarro ruiz".split()
+GIVEN = "ahmed mohammed omar fatima aisha yusuf mehmet elif priya raj anita wei mei yuki hiroshi olga ivan dmitri sven ingrid joao ana rui pedro tiago beatriz marco giulia paolo kofi amara anna emma marie julia laura sofia maria elena clara louise alice camille ines lucia carmen isabel jane mary susan linda john peter james robert michael david thomas daniel paul martin lukas felix jonas hans klaus jean pierre michel luc antoine hugo jose luis carlos miguel javier pablo diego george henry".split()
+FAMILY = "silva santos ferreira pereira costa oliveira hassan khan demir yilmaz raman patel singh kumar zhang wang chen nguyen kim tanaka ivanov novak kowalski jensen hansen rossi okafor mensah smith johnson brown taylor miller davis wilson clark doe white schmidt schneider fischer weber meyer wagner becker hoffmann dubois laurent bernard moreau girard lefebvre mercier garcia martinez lopez sanchez romero torres navarro ruiz".split()
 STREET_AFTER = "street road avenue lane drive court square boulevard way".split()
-STREET_BEFORE = "rue avenue boulevard calle plaza avenida paseo chemin".split()
+STREET_BEFORE = "rua praça travessa via rue avenue boulevard calle plaza avenida paseo chemin".split()
 STREET_END = "strasse straße weg platz gasse allee".split()
 CITIES = "london paris berlin madrid lyon hamburg munich sevilla boston leeds york nantes lisboa porto vienna".split()
 # Plain words of the four languages, and words that announce a kind.
@@ -159,7 +160,7 @@ CUES = {
     "phone": "phone call tel mobile fax telefon teléfono ring".split(),
     "id": "ssn nif iban passport id steuernummer dni insee konto account".split(),
     "secret": "password token key secret passwort clave credential apikey".split(),
-    "name": "mr mrs dr ms herr frau monsieur madame señor señora mme sr".split(),
+    "name": "mr mrs dr ms herr frau monsieur madame señor señora mme sr name contact signed dear".split(),
     "address": "address adresse dirección at lives wohnt".split(),
 }
 
@@ -217,22 +218,53 @@ def labelled_table(seed: int = SEED, sentences: int = SENTENCES) -> list[list[tu
             return pick([f"{d(3)}-{d(2)}-{d(4)}", iban + d(16, 22), f"{iban} {d(4)} {d(4)} {d(4)} {d(4)}" + pick(["", f" {d(2)}"]), f"{d(8)}{pick(letters)}", f"{pick(letters)}{d(7, 8)}", f"{d(1)} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)}"])
         if kind == "secret":
             word, long = pick(["password", "passwd", "pwd", "token", "api_key", "apikey", "secret", "access_token", "auth", "client_secret", "private_key"]), some(mixed, 20, 64)
-            random_part = pick([some(hexed, 24, 64), long, some(mixed + "+/", 24, 44) + "=", some(mixed, 12, 24), some(mixed + "_-", 16, 40)])
+            random_part = pick([some(hexed, 24, 64), some(hexed, 40), long, some(mixed + "+/", 24, 44) + "=", some(mixed, 12, 24), some(mixed + "_-", 16, 40)])
+            bare = pick([long, some(mixed + "+/", 24, 44) + "=", some(mixed, 24, 36)])
             weak = invented() + d(1, 4) + pick(["", "!", "#", invented(2), some(mixed, 2, 5)])
-            return pick([f"{word}={weak}", f"{word}={random_part}", f"{word}:{random_part}", f'"{random_part}"', random_part, f"ghp_{some(mixed, 36)}", f"sk-{some(mixed, 24, 48)}", f"{some(lower, 2, 4)}_{pick([some(hexed, 20, 40), long])}", f"xoxb-{d(10, 12)}-{some(mixed, 20, 24)}", some(letters, 4) + some(letters + "0123456789", 12, 16), f"eyJ{some(mixed, 16, 30)}.eyJ{some(mixed, 16, 40)}.{some(mixed + '_-', 20, 43)}", f"AIza{some(mixed + '_-', 35)}"])
+            return pick([f"{word}={weak}", f"{word}={random_part}", f"{word}:{random_part}", f'"{bare}"', bare, f"ghp_{some(mixed, 36)}", f"sk-{some(mixed, 24, 48)}", f"{some(lower, 2, 4)}_{pick([some(hexed, 20, 40), long])}", f"xoxb-{d(10, 12)}-{some(mixed, 20, 24)}", some(letters, 4) + some(letters + "0123456789", 12, 16), f"eyJ{some(mixed, 16, 30)}.eyJ{some(mixed, 16, 40)}.{some(mixed + '_-', 20, 43)}", f"AIza{some(mixed + '_-', 35)}"])
         if kind == "name":
             return name()
         city = pick([pick(CITIES).capitalize(), invented(4).capitalize()])
         road = invented(4).capitalize()
-        street = pick([f"{d(1, 3)} {road} {pick(STREET_AFTER).capitalize()}", f"{d(1, 3)} {pick(STREET_BEFORE)} {pick(['de', 'du', 'de la', 'del'])} {road}", f"{pick(STREET_BEFORE).capitalize()} {road} {d(1, 3)}", f"{road}{pick(STREET_END)} {d(1, 3)}", f"{road} {pick(STREET_END).capitalize()} {d(1, 3)}"])
+        house = d(1, 3) + pick(["", "", "", pick("abB")])
+        street = pick([f"{house} {road} {pick(STREET_AFTER).capitalize()}", f"{d(1, 3)} {pick(STREET_BEFORE)} {pick(['de', 'du', 'de la', 'del'])} {road}", f"{pick(STREET_BEFORE).capitalize()} {road} {house}", f"{pick(STREET_BEFORE).capitalize()} {pick(['das', 'dos', 'da', 'do', 'de', 'della'])} {road} {house}", f"{road}{pick(STREET_END)} {house}", f"{road} {pick(STREET_END).capitalize()} {d(1, 3)}"])
         return pick([street, f"{street}, {city}", f"{street}, {d(5)} {city}"])
 
     def other() -> str:
         """What looks like personal data and is none."""
         return pick([d(1) + ".", f"{d(1)}.0.", f"{d(1)}.{d(1)}", f"19{d(2)}", f"20{d(2)}", f"${d(2)}.{d(2)}", f"{d(1, 3)},{d(3)}", f"{d(1, 2)}%", f"v{d(1)}.{d(2)}.{d(1)}", f"{d(2)}/{d(2)}/20{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"#{d(4)}", f"@{invented()}", d(2, 6), f"{d(2)}:{d(2)}", f"chapter {d(1, 2)}", f"{d(1, 2)} {invented()}", f"{invented().capitalize()} {d(1, 2)}", f"{invented()}-{invented()}", f"{invented()}'{invented()}", f"{invented()}.{invented().capitalize()}", f"{invented()}_{invented()}", f"https://www.{invented()}.com/{invented()}/{d(1, 4)}", f"www.{invented()}.org", f"{invented()}.html", f"{invented()}={d(1, 3)}", f"{invented()} = {invented()}", f"{invented()}/{invented()}", f"{d(1, 3)}{pick(['km', 'kg', 'm', 'th', 'nd', 'px'])}", f"({d(1, 2)})", f"[{d(1, 2)}]", "=", "-", "--", f"<{invented()}>", f"{pick(STREET_AFTER).capitalize()} {invented()}", f"{pick(FAMILY).capitalize()}", pick(CITIES).capitalize(), f"The {invented().capitalize()} {invented().capitalize()}", f"{invented().capitalize()} {invented().capitalize()}", f"{some(letters, 2)} {some(letters, 2)}-{some(letters, 2)} {d(1)}.{d(1)}", f"{pick(['version', 'Version', 'v.', 'Release', 'No.', 'page', 'Art.'])} {d(1)}{pick(['', '.' + d(1)])}", f"{pick(STREET_BEFORE)} {invented()}", f"{pick(['De', 'La', 'Del', 'Du', 'El'])} {invented()}", some(letters, 2, 5)])
 
+    def repeated() -> list[str]:
+        """One word many times over."""
+        w = invented() if chance() < 0.8 else pick(PLAIN)
+        w = (w.capitalize() if chance() < 0.6 else w) + pick(["", "", ".", ","])
+        return [w] * rng.randrange(2, 12) + ([invented().capitalize()] * rng.randrange(2, 6) if chance() < 0.4 else [])
+
+    def headline() -> list[str]:
+        """Sentences of one or two words, each with its capital."""
+        return [w + pick([".", ".", "!", ","]) if chance() < 0.7 else w for w in (invented().capitalize() for _ in range(rng.randrange(2, 7)))]
+
+    def licence() -> list[str]:
+        """Notices: capitals in a row beside versions, and no personal data."""
+        title = " ".join(invented(4).capitalize() for _ in range(rng.randrange(1, 4)))
+        kind = pick(["License", "License", "Public License", "General Public License", "Agreement", "Licence"])
+        start = pick(["This work is licensed under the", "Licensed under the", "Released under the", "Distributed under the terms of the", "See the", "This program comes under the"])
+        return f"{start} {title} {kind}, {pick(['version', 'Version', 'v.'])} {d(1)}{pick(['', '.' + d(1)])}{pick(['.', '', ' or later.'])}".split()
+
+    def digest() -> list[str]:
+        """Digests and revisions of public things."""
+        hexes = pick([some(hexed, 40), some(hexed, 64), some(hexed, 32), some(hexed, 7, 12)])
+        return pick([f"commit {hexes}", f"see {hexes} for", f"sha256:{hexes}", f"md5: {hexes}", f"revision {hexes}.", hexes, f"{invented()} {hexes} {invented()}", f"checksum {hexes}"]).split()
+
     table = []
     for n in range(sentences):
+        if chance() < 0.12:  # what is often taken for a name, an address or a secret
+            table.append([(w, "O") for w in pick([repeated, headline, licence, digest])()])
+            continue
+        if chance() < 0.04:  # a person and where they live
+            cue = [(pick(CUES["name"]).capitalize() + pick(["", ":", "."]), "O")] if chance() < 0.5 else []
+            table.append([*cue, *((w, "name") for w in (name() + ",").split()), *((w, "address") for w in value("address").split())])
+            continue
         if chance() < 0.15:  # a line of few words
             table.append([(w, "O") for w in prose()[: pick([1, 2, 3, 4])]])
             continue
@@ -469,6 +501,33 @@ def default_field() -> Field:
     return train_field(labelled_table())
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _parts(kind: str, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """A labelled run in pieces: a name ends with a word that has a mark behind it, an address with a sentence; initials and short forms go on."""
+    if kind not in ("name", "address"):
+        yield a, b
+        return
+    ends, start = (EDGE if kind == "name" else ".!?"), None
+    for m in _WORD.finditer(text, a, b):
+        start = m.start() if start is None else start
+        short = m[0].endswith(".") and len(m[0].strip(EDGE)) <= (1 if kind == "name" else 3)
+        if m[0][-1] in ends and not short:
+            yield start, m.end()
+            start = None
+    if start is not None:
+        yield start, b
+
+
+def _able(kind: str, inside: str) -> bool:
+    """A name has two words or more, no two alike, and begins and ends with a capital, not with an initial; an address has a digit."""
+    if kind == "name":
+        words = [w.strip(EDGE) for w in inside.split()]
+        return len(words) > 1 and len(set(words)) == len(words) and len(words[0]) > 1 and words[0][0].isupper() and words[-1][:1].isupper()
+    return kind != "address" or bool(_DIGIT.search(inside))
+
+
 def all_spans(column: pa.Array, field: Field) -> Iterator[tuple[slice, list[tuple[str, list[Span], list[Span]]]]]:
     """Runs of rows, and (text, base spans, added spans) of each of their texts."""
     buf = buffer_of(column)
@@ -494,14 +553,13 @@ def all_spans(column: pa.Array, field: Field) -> Iterator[tuple[slice, list[tupl
         for k, (s, e) in enumerate(zip(buf.start[rows].tolist(), buf.end[rows].tolist(), strict=True)):
             text = buf.data[s:e].tobytes().decode("utf-8", "surrogatepass")
             base, added = base_spans(text), []
-            for kind, a, b in found[k]:
-                inside = text[a:b]
-                a += len(inside) - len(inside.lstrip(EDGE))
-                b -= len(inside) - len(inside.rstrip(EDGE))
-                if kind == "name" and len(text[a:b].split()) < 2 or kind == "address" and not _DIGIT.search(text, a, b):
-                    continue
-                if a < b and not any(x < b and a < y for _, x, y in base):
-                    added.append((kind, a, b))
+            for kind, whole_a, whole_b in found[k]:
+                for a, b in _parts(kind, text, whole_a, whole_b):
+                    inside = text[a:b]
+                    a += len(inside) - len(inside.lstrip(EDGE))
+                    b -= len(inside) - len(inside.rstrip(EDGE))
+                    if a < b and _able(kind, text[a:b]) and not any(x < b and a < y for _, x, y in base):
+                        added.append((kind, a, b))
             out.append((text, base, added))
         yield rows, out
 
