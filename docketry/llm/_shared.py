@@ -89,6 +89,17 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, ro
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Names that are no column's, one for each stem, whatever the user's table is called."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

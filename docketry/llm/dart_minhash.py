@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import Scratch, spread_join, text_key
+from docketry.llm._shared import Scratch, spread_join, text_key, unused
 from docketry.llm._words import buffer_of, mix, row_groups, window_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -381,18 +381,17 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "s
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
     signed, rooted = grouped_texts(docs, threshold, weights, scratch)
+    own, kept = unused(docs.columns, "own", "kept")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *KEY)
-    chosen = rooted.where("key_n IS NOT NULL").groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.doc_id").alias("kept_id"), *[F.col(f"c.{k}").alias(f"kept_{k}") for k in KEY])
-    chosen = scratch.written(chosen, "chosen", keep=True)
+    least = rooted.where("key_n IS NOT NULL").groupBy("root").agg(F.min(order).alias("c"))
+    chosen = scratch.written(least.select(F.struct("c.doc_id", *[f"c.{k}" for k in KEY]).alias(kept)), "chosen", keep=True)
     mine = [F.col("doc_id").cast("long"), *text_key(F.col("text").cast("string"))]
-    named = docs.select("*", *[c.alias(f"own_{k}") for c, k in zip(mine, ["id", *KEY], strict=True)])
-    same = F.col("own_id").eqNullSafe(F.col("kept_id"))
-    for k in KEY:
-        same = same & (F.col(f"own_{k}") == F.col(f"kept_{k}"))
+    named = docs.withColumn(own, F.struct(*[c.alias(k) for c, k in zip(mine, ["doc_id", *KEY], strict=True)])).where(F.col("text").isNotNull())
+    same = F.col(own).eqNullSafe(F.col(kept))
     left = named.join(chosen, same, "left_semi")
     often = signed.where("key_n IS NOT NULL").groupBy("doc_id", *KEY).agg(F.count("*").alias("n")).where("n > 1")
-    often = scratch.written(often.select(F.col("doc_id").alias("kept_id"), *[F.col(k).alias(f"kept_{k}") for k in KEY]), "often", keep=True)
+    often = scratch.written(often.select(F.struct("doc_id", *KEY).alias(kept)), "often", keep=True)
     once = left.join(often, same, "left_anti").select(*docs.columns)
-    repeated = left.join(often, same, "left_semi").dropDuplicates(["own_id", *[f"own_{k}" for k in KEY]]).select(*docs.columns)
+    repeated = left.join(often, same, "left_semi").dropDuplicates([own]).select(*docs.columns)
     scratch.clear()
     return once.unionByName(repeated).unionByName(docs.where(F.col("text").isNull()))

@@ -1,14 +1,15 @@
-"""Licence notices: a trained paragraph classifier, confirmed against templates.
+"""Licence notices: a trained paragraph classifier, confirmed against templates and names.
 
-A paragraph is a line. Sparse logistic regression over its word n-grams (1 to 3 words) gives each
-licence family, and "unknown", a probability; the regression is fitted here on the templates,
-shortened and embedded variants of them, and paragraphs without a notice, and its temperature is
-set on variants it was not fitted on. A family counts only if its probability reaches LEAST and one
-of its templates agrees with the paragraph: enough of the template's three-word runs lie in the
-paragraph, or enough of the paragraph's in the template.
+A paragraph is a line. Sparse logistic regression over counts of word n-grams (1 to 3 words) gives
+every window of WINDOW words of every line a probability for each licence family and for "unknown";
+the regression is fitted here on templates, shortened and embedded variants of them, names in the
+frames of short notices, and lines that are no notice, and its temperature is set on variants that
+it was not fitted on. Scores of all windows come from array lookups of n-gram hashes, so no line is
+passed over before it is classified.
 
-A line that shares no three-word run with any template cannot be confirmed, so those lines, nearly
-all, are passed over by one array lookup.
+Where a window is a notice with probability LEAST or more, its families are those that a template
+or a name confirms and that the classifier gives LEAST or more once the words that name the other
+families are left out; a window, and a line, may have several.
 
 Defined results: a null or empty text has no paragraphs and no families. Repeated rows are scanned
 alike. An empty table gives an empty result. Extra columns are ignored.
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 
 from docketry.llm._words import LOWER_CODE, NOT_TERM, buffer_of, row_groups, window_hashes, words_of
 
+#: Words of a window and between the starts of two: a notice of STRIDE words lies wholly in one, whatever the line's length.
+WINDOW, STRIDE = 32, 16
+GRAMS = (1, 2, 3)
+
 UNKNOWN = "unknown"
 LEAST, AGREEMENT, SEED = 0.5, 0.6, 5
-#: Runs under which a paragraph must lie wholly in a template, and the most words of a short notice.
-FEW, SHORT = 4, 8
+#: Runs under which a window must lie wholly in a template.
+FEW = 4
 
 # Public licence notices by family.
 TEMPLATES = {
@@ -85,23 +90,29 @@ NO_NOTICE = [
     "The software is free and the documentation is associated with it.",
 ]
 
-# Names of the families in short notices, and the words that stand beside them there.
+# Names of the families. Those of PLAIN_NAMES count beside a word of licences only, as they mean other things too.
 NAMES = {
-    "agpl": ["AGPL", "AGPLv3", "GNU AGPL", "GNU AGPLv3", "Affero General Public License", "GNU Affero General Public License"],
-    "apache": ["Apache", "ASL", "Apache Software License"],
+    "agpl": ["AGPL", "AGPLv3", "AGPL 3.0", "GNU AGPL", "GNU AGPLv3", "Affero General Public License", "GNU Affero General Public License"],
+    "apache": ["Apache", "ASL", "ASL 2.0", "Apache 2.0", "Apache License", "Apache License 2.0", "Apache Software License"],
     "bsd": ["BSD", "BSD 2 Clause", "BSD 3 Clause", "BSD style"],
-    "cc-by": ["CC BY", "Creative Commons Attribution"],
-    "cc-by-nc": ["CC BY NC", "Creative Commons Attribution NonCommercial"],
-    "cc-by-sa": ["CC BY SA", "Creative Commons Attribution ShareAlike"],
-    "cc0": ["CC0", "public domain dedication"],
-    "gpl": ["GPL", "GPLv2", "GPLv3", "GNU GPL", "GNU GPLv2", "GNU GPLv3", "GNU General Public License"],
-    "lgpl": ["LGPL", "LGPLv2", "LGPLv3", "GNU LGPL", "GNU Lesser General Public License", "Lesser General Public License"],
+    "cc-by": ["CC BY", "CC BY 4.0", "Creative Commons Attribution"],
+    "cc-by-nc": ["CC BY NC", "CC BY NC 4.0", "Creative Commons Attribution NonCommercial"],
+    "cc-by-sa": ["CC BY SA", "CC BY SA 4.0", "Creative Commons Attribution ShareAlike"],
+    "cc0": ["CC0", "CC0 1.0", "public domain dedication"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL 3.0", "GNU GPL", "GNU GPLv2", "GNU GPLv3", "GNU General Public License"],
+    "lgpl": ["LGPL", "LGPLv2", "LGPLv3", "LGPL 2.1", "GNU LGPL", "GNU Lesser General Public License", "Lesser General Public License"],
     "mit": ["MIT", "Expat"],
-    "mpl": ["MPL", "Mozilla Public License"],
+    "mpl": ["MPL", "MPL 2.0", "Mozilla Public License"],
     "proprietary": ["rights reserved", "proprietary", "proprietary and confidential"],
 }
+PLAIN_NAMES = {"Apache", "ASL", "BSD", "BSD style", "MIT", "Expat", "MPL", "proprietary", "public domain dedication"}
+# Names that hold one of those above and are of no family here.
+OTHER_NAMES = ["CC BY ND", "CC BY NC ND", "CC BY NC SA", "Creative Commons Attribution NoDerivatives", "Creative Commons Attribution NonCommercial ShareAlike", "Creative Commons Attribution NonCommercial NoDerivatives"]
 LICENCE_WORDS = frozenset("license licence licensed licenced licenses licences licensing relicensed lizenz lizenziert licencia licenciado rights spdx dedication".split())
-BESIDE = LICENCE_WORDS | frozenset("all the a an is are this work file code software project under in by of terms and or only later released available distributed published identifier version versions v v1 v2 v3 v4 0 1 2 3 4 international universal unported see text new full c copyright unter der die sous la le bajo los todos".split())
+# Frames of short notices.
+FRAMES = ("{} license", "{} licence", "{} lizenz", "{} lizenz", "{} lizenz siehe", "license {}", "license: {}", "licence: {}", "licensed under {}", "licensed under the {} license", "released under {}", "released under the {} licence", "distributed under the terms of the {} licence", "distributed under {}", "available under the {} license", "the code is under the {} license", "dual licensed under {}", "dual licensed under {} and", "spdx license identifier {}", "copyright 2020 {} license", "see the {} license", "unter der {} lizenz", "bajo licencia {}", "sous licence {}", "the files are available under the {} license and docs under")
+#: Frames that a name needs no word of licences for.
+BARE_FRAMES = ("{}", "the {}", "{} only", "under {}", "docs under {}", "and {}", "der {}", "la {}")
 
 _TERM = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 
@@ -110,27 +121,31 @@ def terms(text: str) -> list[str]:
     return [x.lower() for x in _TERM.findall(text)]
 
 
-def grams(words: list[str]) -> set[str]:
-    return {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
+def grams(words: list[str]) -> list[str]:
+    """The n-grams of a window, each as often as it occurs."""
+    return [" ".join(words[k : k + n]) for n in GRAMS for k in range(len(words) - n + 1)]
 
 
 def trigrams(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + 3]) for k in range(len(words) - 2)}
 
 
-_NAMES = sorted(((tuple(terms(n)), f) for f, names in NAMES.items() for n in names), key=lambda x: (-len(x[0]), x))
+_NAMES = sorted(((tuple(terms(n)), f, n in PLAIN_NAMES) for f, names in [*NAMES.items(), (UNKNOWN, OTHER_NAMES)] for n in names), key=lambda x: (-len(x[0]), x))
 
 
-def short_notice(line: str, words: list[str]) -> str:
-    """The family that a short line names among words of notices only, or unknown."""
-    if len(words) > SHORT or LICENCE_WORDS.isdisjoint(words):
-        return UNKNOWN
-    for name, family in _NAMES:
+def named(words: list[str], raw: list[str]) -> dict[str, set[int]]:
+    """The families that are named, and at which words; longer names hide shorter ones. raw: the words as they are written."""
+    licence, taken, found = not LICENCE_WORDS.isdisjoint(words), set(), {}
+    for name, family, plain in _NAMES:
         for k in range(len(words) - len(name) + 1):
-            if tuple(words[k : k + len(name)]) == name and BESIDE.issuperset(words[:k] + words[k + len(name) :]):
-                german = name == ("mit",) and any(w.startswith("lizen") for w in words) and "MIT" not in line  # "mit Lizenz": with a licence
-                return UNKNOWN if german else family
-    return UNKNOWN
+            spot = set(range(k, k + len(name)))
+            if tuple(words[k : k + len(name)]) != name or spot & taken:
+                continue
+            taken |= spot
+            german = name == ("mit",) and raw[k] != "MIT" and any(w.startswith("lizen") for w in words)  # "mit Lizenz": with a licence
+            if family != UNKNOWN and not german and (licence or not plain):
+                found.setdefault(family, set()).update(spot)
+    return found
 
 
 def _variants(text: str, rng: random.Random, n: int) -> list[str]:
@@ -156,34 +171,67 @@ class Classifier:
     def __init__(self, families: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float):
         self.families, self.weights, self.bias, self.temperature = families, weights, bias, temperature
         self.templates = {f: [trigrams(terms(t)) for t in TEMPLATES[f]] for f in families if f != UNKNOWN}
+        self.tables = []
+        for n in GRAMS:
+            some = sorted(g for g in weights if g.count(" ") == n - 1)
+            column = pa.array(some, pa.string())
+            hashes = window_hashes(words_of(buffer_of(column), slice(0, len(some)), LOWER_CODE, NOT_TERM), n)[1]
+            order = np.argsort(hashes)
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.tables.append((hashes[order], np.stack([weights[g] for g in some])[order], maybe))
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         z = self.bias.copy()
         for g in grams(words):
             if (w := self.weights.get(g)) is not None:
                 z += w
-        z = np.exp((z - z.max()) / self.temperature)
-        return z / z.sum()
-
-    def family(self, line: str) -> tuple[str, float]:
-        """The confirmed family of a paragraph and its probability, or unknown."""
-        words = terms(line)
-        p = self.probabilities(words)
-        if (name := short_notice(line, words)) != UNKNOWN:
-            return name, float(p[self.families.index(name)])
-        have, licence = trigrams(words), not LICENCE_WORDS.isdisjoint(words)
-        for k in np.argsort(-p, kind="stable"):
-            name = self.families[k]
-            if name == UNKNOWN or p[k] < LEAST:
-                break
-            for t in self.templates[name]:
-                shared = len(t & have)
-                if shared and (shared >= AGREEMENT * len(t) or len(have) >= FEW and shared >= AGREEMENT * len(have) or licence and shared == len(have)):
-                    return name, float(p[k])
-        return UNKNOWN, float(p[-1])
-
-
-def train_classifier(seed: int = SEED, epochs: int = 300) -> Classifier:
+        return self._share(z[None])[0]
+
+    def _share(self, z: np.ndarray) -> np.ndarray:
+        p = np.exp((z - z.max(1, keepdims=True)) / self.temperature)
+        return p / p.sum(1, keepdims=True)
+
+    def window_probabilities(self, w, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Of each window, words begin to stop of w, the families' probabilities: `probabilities` for all at once."""
+        z = np.repeat(self.bias[None], len(begin), axis=0)
+        for n, (hashes, rows, maybe) in zip(GRAMS, self.tables, strict=True):
+            size = len(w) - n + 1
+            if size <= 0 or not len(hashes):
+                continue
+            whole = w.row[:size] == w.row[n - 1 :]
+            place = np.flatnonzero(whole)
+            code = window_hashes(w, n)[1]
+            near = np.flatnonzero(maybe[(code & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            at = np.searchsorted(hashes, code[near])
+            at[at == len(hashes)] = 0
+            hit = hashes[at] == code[near]
+            place, at = place[near[hit]], at[hit]
+            sums = np.zeros((len(place) + 1, len(self.families)))
+            np.cumsum(rows[at], axis=0, out=sums[1:])
+            z += sums[np.searchsorted(place, np.maximum(stop - n + 1, begin))] - sums[np.searchsorted(place, begin)]
+        return self._share(z)
+
+    def notices(self, line: str) -> dict[str, float]:
+        """The confirmed families of a window and their probabilities without the words that name the others."""
+        raw = _TERM.findall(line)
+        words = [x.lower() for x in raw]
+        spots, runs, licence = named(words, raw), trigrams(words), not LICENCE_WORDS.isdisjoint(words)
+        for family, templates in self.templates.items():
+            for t in templates:
+                shared = len(t & runs)
+                if shared and (shared >= AGREEMENT * len(t) or len(runs) >= FEW and shared >= AGREEMENT * len(runs) or licence and shared == len(runs)):
+                    spots.setdefault(family, set())
+        found = {}
+        for family, own in spots.items():
+            others = set().union(*(v for f, v in spots.items() if f != family)) - own
+            p = float(self.probabilities([x for k, x in enumerate(words) if k not in others])[self.families.index(family)])
+            if p >= LEAST:
+                found[family] = p
+        return found
+
+
+def train_classifier(seed: int = SEED, epochs: int = 250) -> Classifier:
     rng = random.Random(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
     fit, check = [], []
@@ -191,22 +239,40 @@ def train_classifier(seed: int = SEED, epochs: int = 300) -> Classifier:
         for t in TEMPLATES.get(f, NO_NOTICE):
             fit += [(x, k) for x in [t, *_variants(t, rng, 14)]]
             check += [(x, k) for x in _variants(t, rng, 6)]
-        fit += [(x.format(n), k) for n in NAMES.get(f, []) for x in ("{} license", "license {}", "licensed under {}", "licensed under the {} license")]
+        for n in NAMES.get(f, []):
+            frames = FRAMES if n in PLAIN_NAMES else FRAMES + BARE_FRAMES
+            fit += [(x.format(n), k) for x in frames]
+            check += [(v, k) for x in rng.sample(frames, 4) for v in _variants(x.format(n), rng, 1)]
+    for name in (*OTHER_NAMES, "", "", *("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 9))) for _ in range(12))):  # frames alone are no notice
+        fit += [(x.format(name), len(families) - 1) for x in FRAMES]
+    for name in sorted(PLAIN_NAMES):  # nor are words with other meanings
+        fit += [(x.format(name), len(families) - 1) for x in (*BARE_FRAMES, "he went to {} and published", "the {} people", "a {} system", "{} is", "the {} helicopter flew over the city under license", "a {} engineer with a license to practice", "work at {} under a research license")]
+    usual = "the of and to in is that for with was his on at by are from this have not le la les des et dans que pour der die und das mit von ein el los con por una version may use work file under any all public general part".split()
+    for n in range(600):
+        line = " ".join(rng.choice(usual) for _ in range(rng.randrange(0, 50)))
+        (fit if n % 4 else check).append((line, len(families) - 1))
     index: dict[str, int] = {}
     rows, cols = [], []
     for n, (text, _) in enumerate(fit):
-        for g in sorted(grams(terms(text))):
+        for g in grams(terms(text)):
             rows.append(n)
             cols.append(index.setdefault(g, len(index)))
-    x = np.zeros((len(fit), len(index)), np.float32)
-    x[rows, cols] = 1
+    rows, cols = np.array(rows), np.array(cols)
+    often = np.bincount(cols, minlength=len(index)) >= 2
+    place = np.cumsum(often) - 1
+    keep = often[cols]
+    rows, cols = rows[keep], place[cols[keep]]
+    index = {g: int(place[k]) for g, k in index.items() if often[k]}
     y = np.eye(len(families), dtype=np.float32)[[k for _, k in fit]]
+    by_col, by_row = np.argsort(cols, kind="stable"), np.argsort(rows, kind="stable")
+    col_first, row_ids, row_first = np.searchsorted(cols[by_col], np.arange(len(index))), *np.unique(rows[by_row], return_index=True)
     w, b = np.zeros((len(index), len(families)), np.float32), np.zeros(len(families), np.float32)
     for _ in range(epochs):
-        z = x @ w + b
+        z = np.repeat(b[None], len(fit), axis=0)
+        z[row_ids] += np.add.reduceat(w[cols[by_row]], row_first, axis=0)
         p = np.exp(z - z.max(1, keepdims=True))
         gap = (p / p.sum(1, keepdims=True) - y) / len(fit)
-        w -= 2.0 * (x.T @ gap + 1e-4 * w)
+        w -= 2.0 * (np.add.reduceat(gap[rows[by_col]], col_first, axis=0) + 1e-4 * w)
         b -= 2.0 * gap.sum(0)
     model = Classifier(families, {g: w[k].astype(float) for g, k in index.items()}, b.astype(float), 1.0)
 
@@ -214,27 +280,11 @@ def train_classifier(seed: int = SEED, epochs: int = 300) -> Classifier:
         model.temperature = temperature
         return -sum(float(np.log(max(model.probabilities(terms(t))[k], 1e-12))) for t, k in check)
 
-    model.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
+    model.temperature = min((0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
     return model
 
 
-def template_hashes() -> np.ndarray:
-    """Hashes of every template's three-word runs, as window_hashes gives them."""
-    column = pa.array([" ".join(terms(t)) for f in sorted(TEMPLATES) for t in TEMPLATES[f]])
-    buf = buffer_of(column)
-    return np.unique(window_hashes(words_of(buf, slice(0, len(column)), LOWER_CODE, NOT_TERM), 3)[1])
-
-
-def licence_hashes() -> np.ndarray:
-    """Hashes of the licence words, as words_of gives them."""
-    column = pa.array([" ".join(sorted(LICENCE_WORDS))])
-    return np.unique(words_of(buffer_of(column), slice(0, 1), LOWER_CODE, NOT_TERM).hash)
-
-
-_LICENCE_HASHES = licence_hashes()
-
-
-def scan_column(column: pa.Array, model: Classifier, known: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, str, float]]]]:
+def scan_column(column: pa.Array, model: Classifier) -> tuple[np.ndarray, list[list[tuple[int, str, float]]]]:
     """Paragraphs of each text, and (line, family, probability) of those with a notice."""
     buf = buffer_of(column)
     count = np.zeros(len(buf.start), np.int64)
@@ -250,33 +300,30 @@ def scan_column(column: pa.Array, model: Classifier, known: np.ndarray) -> tuple
         new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
         count[rows] = np.bincount(w.row[new] - rows.start, minlength=rows.stop - rows.start)
         first = np.flatnonzero(new)
-        words = np.diff(np.append(first, len(w)))[np.cumsum(new) - 1]
-        hits = np.flatnonzero((words <= SHORT) & np.isin(w.hash, _LICENCE_HASHES))
-        if len(w) >= 3:
-            size = len(w) - 2
-            code = np.zeros(size, np.uint64)
-            whole = w.row[:size] == w.row[2:]
-            code[whole] = window_hashes(w, 3)[1]
-            at = np.searchsorted(known, code)
-            at[at == len(known)] = 0
-            hits = np.union1d(hits, np.flatnonzero(whole & (known[at] == code)))
-        for k in dict.fromkeys(zip(w.row[hits].tolist(), line[hits].tolist(), strict=True)):
-            row, nth = k
-            a = max(int(buf.start[row]), int(breaks[nth - 1]) + 1 if nth else 0)
-            b = min(int(buf.end[row]), int(breaks[nth]) if nth < len(breaks) else int(buf.end[row]))
-            name, p = model.family(buf.data[a:b].tobytes().decode("utf-8", "replace"))
-            if name != UNKNOWN:
-                found[row].append((int(nth - np.searchsorted(breaks, buf.start[row])), name, p))
+        last = np.append(first[1:], len(w))
+        windows = 1 + np.maximum(0, -(-(last - first - WINDOW) // STRIDE))
+        nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        begin = np.repeat(first, windows) + nth * STRIDE
+        stop = np.minimum(begin + WINDOW, np.repeat(last, windows))
+        p = model.window_probabilities(w, begin, stop)
+        best: dict[tuple[int, int, str], float] = {}
+        for k in np.flatnonzero(p[:, -1] <= 1 - LEAST).tolist():
+            row, a, b = int(w.row[begin[k]]), int(w.start[begin[k]]), int(w.end[stop[k] - 1])
+            at = int(line[begin[k]] - np.searchsorted(breaks, buf.start[row]))
+            for family, sure in model.notices(buf.data[a:b].tobytes().decode("utf-8", "replace")).items():
+                best[row, at, family] = max(sure, best.get((row, at, family), 0.0))
+        for (row, at, family), sure in best.items():
+            found[row].append((at, family, sure))
     return count, found
 
 
 def license_notices(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """doc_id, n_paragraphs, n_notices, families, notices (line:family, comma-joined), confidence."""
-    model, known = model or train_classifier(), template_hashes()
+    model = model or train_classifier()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count, found = scan_column(b.column("text"), model, known)
+            count, found = scan_column(b.column("text"), model)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column("doc_id"),

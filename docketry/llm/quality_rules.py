@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import Scratch, spread_join, text_key
+from docketry.llm._shared import Scratch, spread_join, text_key, unused
 from docketry.llm._words import SEPARATOR, WINDOW_BYTES, buffer_of, mix, range_hashes, row_groups, window_hashes, words_of
 
 #: Share of a group's texts that a concentration step keeps.
@@ -360,11 +360,10 @@ def kept_rows(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     A verdict depends on a row's text, lang and source; the row's id joins with them, so that no
     text with many copies is one key.
     """
-    good = judged_texts(docs, alpha).where("kept").select(*[F.col(k).alias(f"good_{k}") for k in ("doc_id", "lang", "source", *TEXT)]).distinct()
+    own, good = unused(docs.columns, "own", "good")
+    known = ("doc_id", "lang", "source", *TEXT)
+    passed = judged_texts(docs, alpha).where("kept").select(F.struct(*known).alias(good)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = {"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")} | dict(zip(TEXT, text_key(text), strict=True))
-    named = docs.select("*", *[c.alias(f"own_{k}") for k, c in own.items()])
-    same = F.lit(True)
-    for k in own:
-        same = same & F.col(f"own_{k}").eqNullSafe(F.col(f"good_{k}"))
-    return named.join(good, same, "left_semi").select(*docs.columns)
+    mine = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), *text_key(text)]
+    named = docs.withColumn(own, F.struct(*[c.alias(k) for c, k in zip(mine, known, strict=True)]))
+    return named.join(passed, F.col(own).eqNullSafe(F.col(good)), "left_semi").select(*docs.columns)

@@ -469,11 +469,43 @@ def test_every_licence_line_and_short_notices(spark):
     got = {r["doc_id"]: r["families"] for r in license_scan.license_notices(table).collect()}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
     model = license_scan.train_classifier()
+    families = lambda texts: [sorted(f for _, f, _ in x) for x in license_scan.scan_column(pa.array(texts), model)[1]]
     short = {"MIT License": "mit", "License: MIT": "mit", "Licensed under MIT": "mit", "MIT-Lizenz": "mit", "Copyright 2020 Acme. All rights reserved.": "proprietary", "Rights reserved": "proprietary", "GPLv3 license": "gpl", "License: CC BY-SA 4.0": "cc-by-sa", "Apache License 2.0": "apache"}
-    found = license_scan.scan_column(pa.array(list(short)), model, license_scan.template_hashes())[1]
-    assert {k: [f for _, f, _ in v] for k, v in zip(short, found, strict=True)} == {k: [v] for k, v in short.items()}
-    none = ["Mit.", "Mit Lizenz", "free of charge", "The license.", "License: CC BY-ND 4.0", "MIT", "He lost his license", None]
-    assert not any(license_scan.scan_column(pa.array(none), model, license_scan.template_hashes())[1])
+    assert families(list(short)) == [[v] for v in short.values()]
+    none = ["Mit.", "Mit Lizenz", "free of charge", "The license.", "License: CC BY-ND 4.0", "MIT", "He lost his license", "He studied at MIT and lost his license.", None, "", "--"]
+    assert not any(families(none))
+
+
+def test_notices_that_the_classifier_was_not_fitted_on():
+    model = license_scan.train_classifier()
+    # notices in other words and tongues, several in a line, and one in the midst of a long line
+    held = {
+        "Dual licensed under MIT and Apache 2.0": "apache mit",
+        "Code is available under the MIT license and docs under CC BY 4.0.": "cc-by mit",
+        "Tri-licensed under the MPL 2.0, the GPL 2.0 and the LGPL 2.1": "gpl lgpl mpl",
+        "GPLv3": "gpl",
+        "Distributed under the terms of the MIT licence.": "mit",
+        "Dieses Programm ist freie Software. Sie können es unter den Bedingungen der GNU General Public License, wie von der Free Software Foundation veröffentlicht, weitergeben.": "gpl",
+        "Este programa se distribuye bajo la licencia Apache 2.0": "apache",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1": "mpl",
+        "intro words " * 200 + "released under the MIT License " + "and other words " * 200: "mit",
+    }
+    found = license_scan.scan_column(pa.array(list(held)), model)[1]
+    assert [" ".join(sorted(f for _, f, _ in x)) for x in found] == list(held.values())
+    assert all(p >= license_scan.LEAST for x in found for _, _, p in x)  # nothing is reported that the classifier doubts
+
+
+def test_window_probabilities_equal_those_of_their_words():
+    model, rng = license_scan.train_classifier(), random.Random(2)
+    known = sorted({w for g in model.weights for w in g.split()})
+    texts = ["\n".join(" ".join(rng.choice(known) for _ in range(rng.randrange(0, 100))) for _ in range(4)) for _ in range(30)]
+    buf = license_scan.buffer_of(pa.array(texts))
+    w = license_scan.words_of(buf, slice(0, len(texts)), license_scan.LOWER_CODE, license_scan.NOT_TERM)
+    begin = np.array([k for k in range(0, len(w) - 40, 23) if w.row[k] == w.row[k + 30]])
+    got = model.window_probabilities(w, begin, begin + 30)
+    for k, p in zip(begin, got, strict=True):
+        words = [buf.data[w.start[j] : w.end[j]].tobytes().decode() for j in range(k, k + 30)]
+        assert np.allclose(p, model.probabilities(words), atol=1e-9)
 
 
 def test_pipeline_stages_keep_clean_documents(spark):
