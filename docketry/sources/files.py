@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.sources.state import read_or_empty
+
 UPLOAD_SCHEMA = "id string, company_id string, year int, folder_number int, month int, status string, submitted_at timestamp, files array<struct<name:string,size:bigint,hash:string,url:string,content_type:string>>"
 CALL_SCHEMA = "id string, batch_id string, provider_id string, document_type string, status string, input_tokens bigint, output_tokens bigint, latency_ms bigint, cost double, timestamp timestamp"
 
 
 def upload_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Every metadata.json below `root`; unreadable ones are dropped."""
+    """Every metadata.json below `root`; unreadable ones are dropped."""
     reader = spark.read.schema(UPLOAD_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").option("mode", "DROPMALFORMED").option("multiLine", True)
-    return reader.json(root).where("id IS NOT NULL").orderBy("folder_number", "submitted_at")
+    return reader.json(root).where("id IS NOT NULL")
+
+
+def listed(uploads: DataFrame) -> DataFrame:
+    """Uploads as a company's list shows them: place by folder, then time. A place per company and year, so no sort of all rows."""
+    order = Window.partitionBy("company_id", "year").orderBy("folder_number", "submitted_at", "id")
+    return uploads.withColumn("place", F.row_number().over(order))
 
 
 def append_calls(calls: DataFrame, root: str) -> None:
@@ -22,10 +30,7 @@ def append_calls(calls: DataFrame, root: str) -> None:
 
 def call_log(spark: SparkSession, root: str) -> DataFrame:
     """The calls below `root`; blank lines are skipped and a missing folder is an empty log."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], CALL_SCHEMA)
-    return spark.read.schema(CALL_SCHEMA).json(root)
+    return read_or_empty(spark, CALL_SCHEMA, lambda: spark.read.schema(CALL_SCHEMA).json(root))
 
 
 def content_hashes(spark: SparkSession, root: str) -> DataFrame:
@@ -52,3 +57,9 @@ def intake_limits(files: DataFrame, each: int, in_all: int, most: int) -> DataFr
 def report_lines(buckets: DataFrame) -> DataFrame:
     """A cluster report as Markdown table lines, in order."""
     return buckets.orderBy("number").select(F.format_string("| %02d | %s | %d | %.2f |", "number", "bucket", "items", "average_confidence").alias("value"))
+
+
+def write_report(items: DataFrame, buckets: DataFrame, root: str) -> None:
+    """A cluster report in full: JSON lines of items, a folder per bucket, and its table of buckets as Markdown."""
+    items.write.mode("overwrite").partitionBy("bucket").json(f"{root}/items")
+    report_lines(buckets).coalesce(1).write.mode("overwrite").text(f"{root}/table")  # a line per bucket, fourteen at most
