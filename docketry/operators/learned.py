@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.text import normal_route, quoted
 from docketry.operators.classify import capped_best
 from docketry.operators.dims import FOLDER_OF, GENERIC_TERMS
+from docketry.operators.joins import beside_texts
 
 #: Fingerprints and examples of a company that routes look at, at most.
 FINGERPRINTS, EXAMPLES = 80, 25
@@ -35,7 +36,7 @@ def section_hint(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """
     able = fingerprints.where(F.col("document_code").isin(*FOLDER_OF))
     company = _latest(able, FINGERPRINTS, "document_code", _plain("header_terms"), _plain("sample_tokens"))
-    both = docs.join(company, "company_id", "left").withColumn("both", F.concat_ws(" ", "name_text", "body_text")).withColumn("spaced", F.concat(F.lit(" "), "both", F.lit(" ")))
+    both = beside_texts(docs, company, "company_id", "taught").withColumn("both", F.concat_ws(" ", "name_text", "body_text")).withColumn("spaced", F.concat(F.lit(" "), "both", F.lit(" ")))
     tokens = "slice(filter(f.sample_tokens, t -> length(t) > 2), 1, 35)"
     hits = f"size(filter({tokens}, t -> NOT contains(t, ' ') AND contains(spaced, concat(' ', t, ' '))))"
     header = "aggregate(f.header_terms, 0D, (s, t) -> s + CASE WHEN contains(both, t) THEN CASE WHEN contains(t, ' ') THEN 0.28D ELSE 0.12D END ELSE 0D END)"
@@ -57,7 +58,7 @@ def enriched_hint(docs: DataFrame, prints: DataFrame, own_names: tuple[str, ...]
     0.98 before they are compared, so the first of the best wins.
     """
     company = _latest(prints.where(F.col("document_code").isin(*FOLDER_OF)), FINGERPRINTS, "document_code", *[F.expr(f"slice(coalesce({n}, CAST(array() AS ARRAY<STRING>)), 1, {k})").alias(n) for n, k, *_ in ENRICHED])
-    both = docs.join(company, "company_id", "left").withColumn("both", F.concat_ws(" ", "name_text", "body_text"))
+    both = beside_texts(docs, company, "company_id", "taught").withColumn("both", F.concat_ws(" ", "name_text", "body_text"))
     generic = ", ".join(map(quoted, (*GENERIC_TERMS, *own_names)))
     score = "0D"
     for name, _, many, one, useful in ENRICHED:
@@ -76,7 +77,7 @@ def example_shares(docs: DataFrame, examples: DataFrame) -> DataFrame:
     """
     tokens = F.expr(f"filter(filename_tokens, x -> length(x) > 2)")  # noqa: F541
     company = _latest(examples, EXAMPLES, "document_code", tokens.alias("tokens"))
-    both = docs.join(company, "company_id", "left").withColumn("spaced", F.concat(F.lit(" "), "name_text", F.lit(" ")))
+    both = beside_texts(docs, company, "company_id", "taught").withColumn("spaced", F.concat(F.lit(" "), "name_text", F.lit(" ")))
     one = f"named_struct('code', e.document_code, 'share', CAST(size(filter(e.tokens, x -> {normal_route('x')} <> '' AND length({normal_route('x')}) > 2 AND contains(spaced, concat(' ', {normal_route('x')}, ' ')))) AS DOUBLE) / greatest(1, size(e.tokens)))"
     shares = f"transform(filter(coalesce(taught, array()), e -> size(e.tokens) > 0), e -> {one})"
     both = both.withColumn("shares", F.expr(shares))

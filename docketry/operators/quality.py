@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.cluster import folder_number
+from docketry.operators.joins import small
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def document_boundaries(pages: DataFrame) -> DataFrame:
 
 def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens / 1e6 x the price in force at the call's time, per provider."""
-    priced = calls.join(F.broadcast(prices), (calls["provider_id"] == prices["provider"]) & (calls["timestamp"] >= prices["valid_from"]) & (calls["timestamp"] < prices["valid_to"]))  # a price list
+    in_force = (calls["provider_id"] == prices["provider"]) & (calls["timestamp"] >= prices["valid_from"]) & (calls["timestamp"] < prices["valid_to"])
+    priced = calls.join(small(prices), in_force)
     return priced.groupBy("provider_id").agg(F.count("*").alias("calls"), F.round(F.sum((F.col("input_tokens") + F.col("output_tokens")) / 1e6 * F.col("price")), 6).alias("cost"))
 
 

@@ -134,13 +134,18 @@ def database_roll_up(workspaces: DataFrame, employees: DataFrame, folder_status:
 def opened_months(requests: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Workspace rows of months to open: of the template (same company and project, else same company, the newest), with 13 missing folders each.
 
-    requests: company_id, project_id, year, month. workspaces: company_id, project_id, year, month, workspace_key.
+    requests: company_id, project_id, year, month. workspaces: company_id, project_id, year, month,
+    workspace_key. The newest of each company, and of each of its projects, are found before they
+    meet the requests: one row a key.
     """
     have = workspaces.select("company_id", "project_id", "year", "month")
     new = requests.join(have, ["company_id", "project_id", "year", "month"], "left_anti")
-    old = workspaces.select("company_id", F.col("project_id").alias("t_project"), F.col("workspace_key").alias("template"), F.struct("year", "month", "workspace_key").alias("newest"))
-    pick = F.row_number().over(Window.partitionBy("company_id", "project_id", "year", "month").orderBy(F.col("t_project").eqNullSafe(F.col("project_id")).desc(), F.desc("newest")))
-    opened = new.join(old, "company_id", "left").withColumn("nth", pick).where("nth = 1").select("company_id", "project_id", "year", "month", "template")
+    newest = F.max(F.struct("year", "month", "workspace_key"))
+    of_project = workspaces.groupBy("company_id", "project_id").agg(newest.alias("p"))
+    of_company = of_project.groupBy("company_id").agg(F.max("p").alias("c"))
+    same = new["company_id"].eqNullSafe(of_project["company_id"]) & new["project_id"].eqNullSafe(of_project["project_id"])
+    picked = new.join(of_project, same, "left").select(*[new[k] for k in new.columns], "p").join(of_company, "company_id", "left")
+    opened = picked.select("company_id", "project_id", "year", "month", F.coalesce("p.workspace_key", "c.workspace_key").alias("template"))
     return opened.join(F.broadcast(folders(requests.sparkSession).select(F.col("number").alias("folder_number")))).withColumn("status", F.lit("missing"))  # 13 rows
 
 
@@ -171,15 +176,20 @@ def resolved_payslips(employees: DataFrame, stored: DataFrame, files: DataFrame)
     """Per employee the payslip's file: by its hash; else the first file of folder 1 whose name holds the employee's; else the only file there is.
 
     employees: workspace_key, employee_code, employee_name, payslip_hash. stored: source_hash, file_name.
-    files: workspace_key, seq, file_name (folder 1 of the workspace's month). Names are compared
-    without spaces, in lower case, within a workspace only.
+    files: workspace_key, seq, file_name (folder 1 of the workspace's month); of files with one seq the
+    least name is first. Names are compared without spaces, in lower case, within a workspace only.
+    A file's name is cut into its parts of the lengths that its workspace's employees' names have, so
+    names meet by equality and not one by one.
     """
     bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
     key = ["workspace_key", "employee_code"]
     by_hash = employees.join(stored.select(F.col("source_hash").alias("payslip_hash"), F.col("file_name").alias("by_hash")), "payslip_hash", "left")
-    left = by_hash.where("by_hash IS NULL").select(*key, bare("employee_name").alias("wanted"))
-    near = left.where("wanted <> ''").join(files.select("workspace_key", "seq", "file_name", bare("file_name").alias("have")), "workspace_key").where(F.contains("have", "wanted"))
-    named = near.groupBy(*key).agg(F.min_by("file_name", "seq").alias("by_name"))
+    left = by_hash.where("by_hash IS NULL").select(*key, bare("employee_name").alias("wanted")).where("wanted <> ''").distinct()
+    lengths = left.groupBy("workspace_key").agg(F.collect_set(F.length("wanted")).alias("lengths"))  # no more than a file's name has letters
+    have = files.select("workspace_key", "seq", "file_name", bare("file_name").alias("have")).join(lengths, "workspace_key")
+    parts = F.expr("array_distinct(flatten(transform(filter(lengths, n -> n <= length(have)), n -> transform(sequence(1, length(have) - n + 1), k -> substring(have, k, n)))))")
+    first = have.select("workspace_key", F.explode(parts).alias("wanted"), F.struct("seq", "file_name").alias("f")).groupBy("workspace_key", "wanted").agg(F.min("f").alias("f"))
+    named = left.join(first, ["workspace_key", "wanted"]).groupBy(*key).agg(F.min("f")["file_name"].alias("by_name"))
     only = files.groupBy("workspace_key").agg(F.count("*").alias("n"), F.min("file_name").alias("only_file")).where("n = 1").drop("n")
     out = by_hash.join(named, key, "left").join(only, "workspace_key", "left")
     how = F.when(F.col("by_hash").isNotNull(), "hash").when(F.col("by_name").isNotNull(), "name").when(F.col("only_file").isNotNull(), "only file").otherwise("none")

@@ -51,6 +51,9 @@ def _page_items(words: str) -> str:
         CAST(800 - 12 * line + CASE WHEN line % 5 = 0 AND col = 7 THEN 2 ELSE seq % 3 - 1 END AS DOUBLE) AS y, CAST(length(text) AS DOUBLE) * 5.5 AS width FROM (SELECT *, {text} AS text FROM ({placed}) AS p) AS t"""
 
 
+#: A number that orders lines: of one supplier no two lines have the same.
+SEQ = "CAST((l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey AS BIGINT)"
+
 VIEWS = {
     "page_items": _page_items("SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS seq FROM conversations"),
     "page_sizes": """SELECT CAST(conv_id // 4 AS BIGINT) AS doc_id, CAST(turn * 4 + conv_id % 4 + 1 AS INT) AS page, CAST(CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN 842 WHEN 1 THEN 600 ELSE 595 END AS DOUBLE) AS width, CAST(CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN 595 WHEN 1 THEN 590 ELSE 842 END AS DOUBLE) AS height FROM conversations""",
@@ -67,18 +70,18 @@ VIEWS = {
         CAST(event_id % 700 AS BIGINT) AS input_tokens, CAST(event_id % 90 AS BIGINT) AS output_tokens, CAST(floor(value) AS BIGINT) AS latency_ms, CAST(event_id % 13 AS DOUBLE) / 4 AS cost, ts AS timestamp FROM events""",
     "uploads": """SELECT CAST(o_custkey % 20 AS INT) AS company_id, CAST(o_orderkey % 14 AS INT) AS folder_number, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month,
         CASE WHEN o_orderpriority LIKE '1%' THEN 'submitted' WHEN o_orderpriority LIKE '2%' THEN 'processing' WHEN o_orderpriority LIKE '3%' THEN 'archived' ELSE 'grouped' END AS status, CAST(1 + o_orderkey % 3 AS BIGINT) AS files, o_orderdate AS submitted_at, CAST(o_orderkey AS BIGINT) AS seq FROM orders""",
-    "approved_documents": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey AS BIGINT) AS source_hash, CAST(l_partkey % 14 AS INT) AS folder_number, l_shipdate AS approved_at, CAST(l_linenumber AS BIGINT) AS page_count, CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INT) AS priority FROM lineitem""",
+    "approved_documents": f"""SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, {SEQ} AS seq, CAST(l_partkey AS BIGINT) AS source_hash, CAST(l_partkey % 14 AS INT) AS folder_number, l_shipdate AS approved_at, CAST(l_linenumber AS BIGINT) AS page_count, CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INT) AS priority FROM lineitem""",
     "reference_pages": """SELECT conv_id AS reference_id, turn AS page, CASE CAST((conv_id * 7 + turn * 3) % 11 AS INT) WHEN 0 THEN 'LC' WHEN 1 THEN 'GIR' WHEN 2 THEN 'EBV' WHEN 3 THEN 'PIR' WHEN 4 THEN 'SSD' END AS strong_code, (conv_id + turn) % 3 = 0 AS bank, (conv_id + turn) % 4 <> 1 AS continuation, text FROM conversations""",
     "snapshot_files": """SELECT CAST(user_id % 12 + 2 AS INT) AS group_no, concat(event_type, '_', CAST(day(ts) AS VARCHAR(4))) AS file_name, event_id % 2 = 0 AS late FROM events""",
     "folder_status": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_partkey % 13 + 1 AS INT) AS folder_number, count(*) AS document_count, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS review_count FROM lineitem GROUP BY 1, 2""",
-    "decisions": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey % 13 + 1 AS INT) AS from_folder, CAST((l_partkey + l_orderkey) % 13 + 1 AS INT) AS to_folder, l_returnflag <> 'N' AS approved, CAST(l_partkey AS BIGINT) AS source_hash FROM lineitem""",
+    "decisions": f"""SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, {SEQ} AS seq, CAST(l_partkey % 13 + 1 AS INT) AS from_folder, CAST((l_partkey + l_orderkey) % 13 + 1 AS INT) AS to_folder, l_returnflag <> 'N' AS approved, CAST(l_partkey AS BIGINT) AS source_hash FROM lineitem""",
     "reviews": """SELECT CAST(o_custkey AS BIGINT) AS workspace_key, CAST(o_orderkey AS BIGINT) AS seq, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status FROM orders""",
     "signals": """SELECT CAST(user_id % 200 AS BIGINT) AS section, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 7 < 4 THEN event_type END AS format, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'header' WHEN 1 THEN 'footer' END AS position FROM events""",
     "workspace_rows": """SELECT CAST(s_suppkey AS BIGINT) AS workspace_key, CAST(s_nationkey % 5 AS BIGINT) AS company_id, CAST(s_suppkey % 3 AS BIGINT) AS project_id, CAST(2023 + s_suppkey % 3 AS INT) AS year, CAST(s_suppkey % 12 + 1 AS INT) AS month, CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'current' WHEN 1 THEN 'ready' WHEN 2 THEN 'blocked' ELSE 'needs_confirmation' END AS status, CAST(s_suppkey % 17 AS BIGINT) AS intake FROM supplier""",
-    "employees": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, concat('E', CAST(l_linenumber AS VARCHAR(4)), '_', CAST(l_orderkey AS VARCHAR(12))) AS employee_code, concat('Name ', CAST(l_partkey % 50 AS VARCHAR(4))) AS employee_name, CASE l_returnflag WHEN 'A' THEN 'current' WHEN 'R' THEN 'ready' ELSE CASE WHEN l_linenumber > 3 THEN 'ready_with_warnings' ELSE 'blocked' END END AS final_status, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_partkey AS BIGINT) END AS payslip_hash FROM lineitem""",
+    "employees": f"""SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, {SEQ} AS seq, concat('E', CAST(l_linenumber AS VARCHAR(4)), '_', CAST(l_orderkey AS VARCHAR(12)), '_', CAST(l_partkey AS VARCHAR(12))) AS employee_code, concat('Name ', CAST(l_partkey % 50 AS VARCHAR(4))) AS employee_name, CASE l_returnflag WHEN 'A' THEN 'current' WHEN 'R' THEN 'ready' ELSE CASE WHEN l_linenumber > 3 THEN 'ready_with_warnings' ELSE 'blocked' END END AS final_status, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_partkey AS BIGINT) END AS payslip_hash FROM lineitem""",
     "folder_states": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_partkey % 13 + 1 AS INT) AS folder_number, CASE WHEN l_linenumber = 1 THEN 'approved' WHEN l_linenumber = 2 THEN 'passed' WHEN l_linenumber = 3 THEN 'confirmed_missing' ELSE 'review' END AS status FROM lineitem""",
     "cache_rows": """SELECT CAST(p_partkey % 20 AS BIGINT) AS company_id, CAST(p_partkey AS BIGINT) AS source_hash, CASE CAST(p_size % 5 AS INT) WHEN 0 THEN 'GIR' WHEN 1 THEN 'LC' WHEN 2 THEN 'UNKNOWN' ELSE 'PIR' END AS document_code, CAST(p_size AS DOUBLE) / 50 AS confidence, CAST(p_size % 3 AS INT) AS rules_version, CASE WHEN p_size % 4 = 0 THEN 'operator' ELSE 'rules' END AS route_source FROM part""",
-    "route_rows": """SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey % 20 AS BIGINT) AS company_id, CAST(l_partkey AS BIGINT) AS source_hash, CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'RV' WHEN 1 THEN 'GIR' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'PSS' WHEN 4 THEN 'LC' ELSE 'EBI' END AS document_code, CAST(l_quantity AS DOUBLE) / 50 AS confidence, CASE WHEN l_returnflag = 'A' THEN 'cache' WHEN l_returnflag = 'R' THEN 'rules' ELSE 'heuristic' END AS route_source,
+    "route_rows": f"""SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, {SEQ} AS seq, CAST(l_partkey % 20 AS BIGINT) AS company_id, CAST(l_partkey AS BIGINT) AS source_hash, CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'RV' WHEN 1 THEN 'GIR' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'PSS' WHEN 4 THEN 'LC' ELSE 'EBI' END AS document_code, CAST(l_quantity AS DOUBLE) / 50 AS confidence, CASE WHEN l_returnflag = 'A' THEN 'cache' WHEN l_returnflag = 'R' THEN 'rules' ELSE 'heuristic' END AS route_source,
         CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE year(l_shipdate) END AS INT) AS target_year, CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE month(l_shipdate) END AS INT) AS target_month, CAST(l_partkey % 14 AS INT) AS folder_number FROM lineitem""",
     "corrections": """SELECT o_orderstatus AS from_code, o_orderpriority AS to_code FROM orders""",
 }
@@ -98,8 +101,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     source = spark.read.parquet(f"{sf_dir}/{TABLES[name]}.parquet")
-    if name == "doc_inputs" and len(source.inputFiles()) < (cores := spark.sparkContext.defaultParallelism):
-        source = source.repartition(cores)  # few files may have fewer row groups than there are cores; rules over whole texts are worth the exchange
+    if name == "doc_inputs" and source.rdd.getNumPartitions() < 2 * (cores := spark.sparkContext.defaultParallelism):
+        source = source.repartition(cores)  # a table of so few splits is small, and they may lie in one row group; a large one is read as it lies
     return spark.sql(SPARK_VIEWS.get(name, VIEWS[name]).replace(f"FROM {TABLES[name]}", "FROM {source}"), source=source)
 
 

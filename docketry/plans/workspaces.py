@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import checks, cluster, learn, workspace
 from docketry.operators.dims import FOLDER_OF
-from docketry.plans.inputs import table, with_inputs
+from docketry.plans.inputs import SEQ, table, with_inputs
 from docketry.plans.registry import register
 
 YEAR, MONTH = 1996, 6
@@ -48,11 +48,11 @@ ANSWER = "concat('{\"document_code\": \"', CASE WHEN l_partkey % 4 = 0 THEN 'XX'
 
 @register(
     "repaired_answers",
-    f"""WITH a AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, CAST({ANSWER} AS JSON) AS j FROM lineitem), f AS (SELECT seq, j->>'$.document_code' AS c, coalesce(TRY_CAST(j->>'$.confidence' AS DOUBLE), 0) AS confidence, j->>'$.reason' AS r, TRY_CAST(nullif(j->>'$.target_year', '') AS INTEGER) AS target_year, TRY_CAST(j->>'$.target_month' AS INTEGER) AS target_month FROM a)
+    f"""WITH a AS (SELECT {SEQ} AS seq, CAST({ANSWER} AS JSON) AS j FROM lineitem), f AS (SELECT seq, j->>'$.document_code' AS c, coalesce(TRY_CAST(j->>'$.confidence' AS DOUBLE), 0) AS confidence, j->>'$.reason' AS r, TRY_CAST(nullif(j->>'$.target_year', '') AS INTEGER) AS target_year, TRY_CAST(j->>'$.target_month' AS INTEGER) AS target_month FROM a)
     SELECT seq, CASE WHEN c = 'PIR' THEN c ELSE 'UNKNOWN' END AS document_code, confidence, CASE WHEN trim(r) = '' THEN 'Sem evidência suficiente para classificação automática.' ELSE r END AS reason, target_year, target_month, coalesce(target_year NOT BETWEEN 2000 AND 2100, false) OR target_month NOT BETWEEN 1 AND 12 AS rejected FROM f""",
 )
 def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "lineitem").select(F.expr("CAST(l_orderkey * 8 + l_linenumber AS BIGINT)").alias("seq"), F.expr(ANSWER).alias("answer"))
+    raw = table(spark, sf_dir, "lineitem").select(F.expr(SEQ).alias("seq"), F.expr(ANSWER).alias("answer"))
     return workspace.repaired_answers(raw).drop("employee_name")
 
 
@@ -161,7 +161,7 @@ FILES = "SELECT workspace_key, seq, concat('01_RV_', employee_name, '_2025-01.pd
     "resolved_payslips",
     with_inputs(
         f"""WITH w AS (SELECT * FROM employees WHERE final_status <> 'blocked'), f AS ({FILES}), s AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS payslip_hash, concat('h', CAST(p_partkey AS VARCHAR), '.pdf') AS by_hash FROM part WHERE p_partkey % 2 = 0),
-    b AS (SELECT * FROM w LEFT JOIN s USING (payslip_hash)), m AS (SELECT b.workspace_key, b.employee_code, arg_min(f.file_name, f.seq) AS by_name FROM b JOIN f ON f.workspace_key = b.workspace_key AND contains(replace(lower(f.file_name), ' ', ''), replace(lower(b.employee_name), ' ', '')) WHERE by_hash IS NULL GROUP BY 1, 2), o AS (SELECT workspace_key, min(file_name) AS only_file FROM f GROUP BY 1 HAVING count(*) = 1)
+    b AS (SELECT * FROM w LEFT JOIN s USING (payslip_hash)), m AS (SELECT b.workspace_key, b.employee_code, min({{s: f.seq, f: f.file_name}}).f AS by_name FROM b JOIN f ON f.workspace_key = b.workspace_key AND contains(replace(lower(f.file_name), ' ', ''), replace(lower(b.employee_name), ' ', '')) WHERE by_hash IS NULL GROUP BY 1, 2), o AS (SELECT workspace_key, min(file_name) AS only_file FROM f GROUP BY 1 HAVING count(*) = 1)
     SELECT workspace_key, employee_code, coalesce(by_hash, by_name, only_file) AS file_name, CASE WHEN by_hash IS NOT NULL THEN 'hash' WHEN by_name IS NOT NULL THEN 'name' WHEN only_file IS NOT NULL THEN 'only file' ELSE 'none' END AS how FROM b LEFT JOIN m USING (workspace_key, employee_code) LEFT JOIN o USING (workspace_key)""",
         "employees",
     ),
