@@ -1,7 +1,9 @@
-"""Joins whose small side is measured before it is broadcast."""
+"""Joins whose small side is measured before it is broadcast, and checkpoints of tables that many steps read."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,11 @@ def beside_texts(rows: DataFrame, table: DataFrame, key: str, payload: str, salt
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = table.select(key, payload, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     return rows.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(spread, [key, "_salt"], "left").drop("_salt")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows checkpointed, for tables that many later steps read; in local mode without a checkpoint folder, in one of this machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

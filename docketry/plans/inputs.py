@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Phrases put before documents, one for each branch of the rules; rows without one stay as they are.
@@ -106,14 +104,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SPARK_VIEWS.get(name, VIEWS[name]).replace(f"FROM {TABLES[name]}", "FROM {source}"), source=source)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """The rows checkpointed, for tables that many later steps read; in local mode without a checkpoint folder, in one of this machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def with_inputs(sql: str, *names: str) -> str:
     """The checking engine's query: the inputs as common tables, then `sql`."""
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import normal_route
 from docketry.operators import learn, learned, segment
+from docketry.operators.joins import held
 from docketry.operators.dims import BANK_PAGE, CONTINUATION, FOLDER_OF, FOLDERS, LEARNING_STOP, PAGE_NUMBER_MARKER, PAGE_PATTERNS, PAGE_TERMS, SAMPLE_STOP
 from docketry.plans import checking
 from docketry.plans.checking import normal_period
-from docketry.plans.inputs import held, table, with_inputs
+from docketry.plans.inputs import table, with_inputs
 from docketry.plans.registry import register
 
 

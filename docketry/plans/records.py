@@ -87,11 +87,6 @@ def assembly_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.assembly_plan(table(spark, sf_dir, "approved_documents"))
 
 
-@register("missing_folders", with_inputs("SELECT workspace_key, 12 - count(DISTINCT folder_number) FILTER (WHERE folder_number >= 2) AS missing, count(DISTINCT folder_number) FILTER (WHERE folder_number >= 2) AS included FROM approved_documents GROUP BY 1 HAVING count(DISTINCT folder_number) FILTER (WHERE folder_number >= 2) < 12", "approved_documents"))
-def missing_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.missing_folders(table(spark, sf_dir, "approved_documents"))
-
-
 @register(
     "workspace_gate",
     with_inputs(
