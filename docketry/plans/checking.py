@@ -52,7 +52,7 @@ def far(text: str, a: str, y: str, d: str) -> str:
     return f"WHEN {a}.n <> '' AND {y}.y <> '' AND ({d}.y = '' OR regexp_matches({near}, '{P.NEAR_WORDS}')) THEN {named(a, y)}"
 
 
-def period_tables(source: str, columns: str, text: str, into: str) -> str:
+def period_tables(source: str, columns: str, text: str, into: str, whole_dates: bool = True) -> str:
     """Common tables that end with `into`: `columns` and p1, the period of `text` (in the period's normal form)."""
     seen = ", ".join(
         [
@@ -60,7 +60,7 @@ def period_tables(source: str, columns: str, text: str, into: str) -> str:
             found("df", text, P.DAY_FIRST, "d", "m", "y"), found("yf", text, P.YEAR_FIRST, "y", "m"), found("ym", text, P.YEAR_MONTH, "y", "m"), found("my", text, P.MONTH_YEAR, "m", "y"), found("co", text, P.COMPACT, "y", "m"),
         ]
     )
-    rules = [held("pay"), f"WHEN {fits('ly')} THEN {value('ly')}", f"WHEN {fits('lm')} THEN {value('lm')}", f"WHEN nm.y <> '' THEN {named('nm', 'nm')}", far(text, "al", "sy", "df"), held("df"), held("yf"), held("ym"), held("my"), f"WHEN co.y <> '' THEN {value('co')}"]
+    rules = [held("pay"), f"WHEN {fits('ly')} THEN {value('ly')}", f"WHEN {fits('lm')} THEN {value('lm')}", f"WHEN nm.y <> '' THEN {named('nm', 'nm')}", far(text, "al", "sy", "df"), *([held("df"), held("yf")] if whole_dates else []), held("ym"), held("my"), f"WHEN co.y <> '' THEN {value('co')}"]
     return f"{into}_seen AS (SELECT *, {seen} FROM {source}), {into} AS (SELECT {columns}, CASE {' '.join(rules)} END AS p1 FROM {into}_seen)"
 
 

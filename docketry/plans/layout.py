@@ -195,7 +195,9 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.line_layouts(lines(spark, sf_dir), table(spark, sf_dir, "page_sizes"))
 
 
-MARK_SQL = f"""WITH {LINES}, asked AS (SELECT DISTINCT doc_id, {', '.join(f"{v.replace('0.15D', 'CAST(0.15 AS DOUBLE)')} AS m{k}" for k, v in MARK.items())} FROM page_sizes WHERE {MARKS}),
+def mark_tables(where: str) -> str:
+    """Common tables after those of lines, that end with `texts`: the texts near each marked document's mark."""
+    return f"""asked AS (SELECT DISTINCT doc_id, {', '.join(f"{v.replace('0.15D', 'CAST(0.15 AS DOUBLE)')} AS m{k}" for k, v in MARK.items())} FROM page_sizes WHERE {where}),
   numbered AS (SELECT doc_id, page, width, height, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM page_sizes WHERE page <= 20),
   chosen AS (SELECT * FROM (SELECT a.*, n.page, n.width AS w, n.height AS h, row_number() OVER (PARTITION BY a.doc_id ORDER BY n.page = mpage DESC) AS r FROM asked a JOIN numbered n ON n.doc_id = a.doc_id AND (n.page = mpage OR n.nth = mpage)) WHERE r = 1),
   spots AS (SELECT c.doc_id, my, l.line, text, l.x / w AS nx, l.y / h AS ny, sqrt(pow(l.x / w - mx, 2) + pow(l.y / h - my, 2)) AS d FROM chosen c JOIN lines l ON l.doc_id = c.doc_id AND l.page = c.page WHERE line <= 80),
@@ -203,7 +205,7 @@ MARK_SQL = f"""WITH {LINES}, asked AS (SELECT DISTINCT doc_id, {', '.join(f"{v.r
   texts AS (SELECT r.doc_id, string_agg(text, ' ' ORDER BY nx, nth) FILTER (WHERE abs(ny - my) <= CAST(0.065 AS DOUBLE)) AS band, string_agg(text, ' ' ORDER BY -ny, nx, nth) FILTER (WHERE abs(ny - ny1) <= CAST(0.11 AS DOUBLE)) AS around, string_agg(text, ' ' ORDER BY nth) FILTER (WHERE nth <= 5) AS five, any_value(one) AS one FROM ranked r JOIN nearest n ON n.doc_id = r.doc_id GROUP BY 1)"""
 
 
-@register("mark_texts", with_inputs(MARK_SQL + " SELECT a.doc_id AS doc_id, md5(coalesce(array_to_string(list_filter([band, around, five, one], lambda t: t IS NOT NULL), '|'), '')) AS digest FROM asked a LEFT JOIN texts t ON t.doc_id = a.doc_id", "page_items", "page_sizes"))
+@register("mark_texts", with_inputs(f"WITH {LINES}, {mark_tables(MARKS)} SELECT a.doc_id AS doc_id, md5(coalesce(array_to_string(list_filter([band, around, five, one], lambda t: t IS NOT NULL), '|'), '')) AS digest FROM asked a LEFT JOIN texts t ON t.doc_id = a.doc_id", "page_items", "page_sizes"))
 def mark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.struct(*[F.expr(v).alias(k) for k, v in MARK.items()])
     marked = layouts(spark, sf_dir).where(MARKS).withColumn("mark", mark)
