@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,28 @@ def review_inbox(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("workspace_key").agg(F.count("*").alias("reviews"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "approved").alias("approved"))
 
 
+def pending_reviews(reviews: DataFrame) -> DataFrame:
+    """The rows of the inbox: pending reviews in order, with how many reviews their workspace has and how many are approved."""
+    counts = review_inbox(reviews).select("workspace_key", "reviews", "approved")
+    place = F.row_number().over(Window.partitionBy("workspace_key").orderBy("seq"))
+    return reviews.where("status = 'pending'").withColumn("place", place).join(counts, "workspace_key").select("workspace_key", "seq", "place", "reviews", "approved")
+
+
+def set_status_by_hash(uploads: DataFrame, hashes: DataFrame, status: str) -> DataFrame:
+    """Uploads of which any file has a listed hash get `status`. uploads: seq, status, files array<struct<name, hash>>."""
+    hit = uploads.select("seq", F.explode("files.hash").alias("hash")).join(hashes.select("hash").distinct(), "hash", "left_semi").select("seq").distinct()
+    return set_upload_status(uploads, hit, status)
+
+
+def without_files(tables: dict[str, DataFrame], hashes: DataFrame) -> dict[str, DataFrame]:
+    """Reviews, approvals and cached routes without the rows of removed files, by (workspace_key or company_id, source_hash), whichever a table has."""
+    out = {}
+    for name, df in tables.items():
+        key = [k for k in ("workspace_key", "company_id", "source_hash") if k in df.columns and k in hashes.columns]
+        out[name] = df.join(hashes.select(*key).distinct(), key, "left_anti")
+    return out
+
+
 def confirm_items(status: DataFrame, items: DataFrame) -> DataFrame:
     """Folder counters that are at least the number of confirmed items."""
     n = items.groupBy("workspace_key", "folder_number").agg(F.count("*").alias("items"))

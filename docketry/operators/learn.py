@@ -296,6 +296,18 @@ def learning_coverage(sections: DataFrame, enriched: DataFrame) -> DataFrame:
     return sections.join(rich, ["reference_id", "label"], "left").groupBy("kind", "folder_number").agg(F.count("*").alias("sections"), F.count("rich").alias("enriched"))
 
 
+def folder_sequence(sections: DataFrame) -> DataFrame:
+    """company_id, sequence: the codes of its sections, each once, in order of their places. sections: company_id, code, section_order."""
+    first = sections.groupBy("company_id", "code").agg(F.min("section_order").alias("first"))
+    return first.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "code"))), lambda x: x["code"]).alias("sequence"))  # 13 codes
+
+
+def section_context(sections: DataFrame, last: int = 80) -> DataFrame:
+    """The `last` newest section fingerprints over a company's examples, in their own order. sections: company_id, seq, section_order, code."""
+    newest = Window.partitionBy("company_id").orderBy(F.desc("seq"), F.desc("section_order"), F.desc("code"))
+    return sections.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= last)
+
+
 def rule_context(examples: DataFrame, last: int = 25) -> DataFrame:
     """The `last` newest examples of each company, in their own order."""
     newest = Window.partitionBy("company_id").orderBy(F.desc("seq"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.cluster import folders
+from docketry.operators.reports import DONE
 
 
 def upsert(table: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
@@ -59,12 +60,15 @@ def upload_roll_up(uploads: DataFrame) -> DataFrame:
     )
 
 
-def month_grid(uploads: DataFrame) -> DataFrame:
-    """V5: twelve months for every company and year that has uploads: submitted, has data or empty."""
+def month_grid(uploads: DataFrame, bundles: DataFrame) -> DataFrame:
+    """V5: twelve months for every company and year that has uploads: done, submitted, has data (an upload or a bundle) or empty. bundles: company_id, year, month, status."""
     months = uploads.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
     every = uploads.select("company_id", "year").distinct().join(F.broadcast(months))  # 12 rows
     found = uploads.groupBy("company_id", "year", "month").agg(F.count("*").alias("n"), F.max(F.col("status") == "submitted").alias("new"))
-    return every.join(found, ["company_id", "year", "month"], "left").select("company_id", "year", "month", F.coalesce("n", F.lit(0)).alias("uploads"), F.when(F.col("new"), "submitted").when(F.col("n") > 0, "has_data").otherwise("empty").alias("cell"))
+    key = ["company_id", "year", "month"]
+    of = bundles.groupBy(*key).agg(F.bool_or(F.col("status").isin(*DONE)).alias("done"))
+    cell = F.when(F.col("done"), "done").when(F.col("new"), "submitted").when((F.col("n") > 0) | F.col("done").isNotNull(), "has_data").otherwise("empty")
+    return every.join(found, key, "left").join(of, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("uploads"), cell.alias("cell"))
 
 
 def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:

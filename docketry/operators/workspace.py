@@ -75,6 +75,18 @@ def periods_to_apply(routes: DataFrame) -> DataFrame:
     return routes.groupBy("workspace_key", "year", "month").agg(F.count("*").alias("items"), F.count_if(F.col("confidence") >= SURE).alias("sure"))
 
 
+def applied_periods(routes: DataFrame) -> DataFrame:
+    """Results put where they belong: folder counters of each workspace and period asked for, the last document naming the status.
+
+    routes: workspace_key, year, month, seq, document_code, confidence. Those without a period go to review of no month.
+    """
+    number = folder_number(F.col("document_code"))
+    review = F.col("confidence") < SURE
+    order = F.struct("seq", "document_code", "confidence")
+    known = routes.where(number > 0).withColumns({"folder_number": number, "review": review})
+    return known.groupBy("workspace_key", "year", "month", "folder_number").agg(F.count("*").alias("document_count"), F.count_if(~F.col("review")).alias("approved_count"), F.count_if("review").alias("review_count"), F.max_by(F.when(F.col("review"), "review").otherwise("approved"), order).alias("status"))
+
+
 def new_employees(payslips: DataFrame, employees: DataFrame, year: int, month: int) -> DataFrame:
     """An employee for every payslip, numbered after those that a workspace has, with the name of the final bundle.
 

@@ -81,6 +81,7 @@ VIEWS = {
     "cache_rows": """SELECT CAST(p_partkey % 20 AS BIGINT) AS company_id, CAST(p_partkey AS BIGINT) AS source_hash, CASE CAST(p_size % 5 AS INT) WHEN 0 THEN 'GIR' WHEN 1 THEN 'LC' WHEN 2 THEN 'UNKNOWN' ELSE 'PIR' END AS document_code, CAST(p_size AS DOUBLE) / 50 AS confidence, CAST(p_size % 3 AS INT) AS rules_version, CASE WHEN p_size % 4 = 0 THEN 'operator' ELSE 'rules' END AS route_source FROM part""",
     "route_rows": f"""SELECT CAST(l_suppkey AS BIGINT) AS workspace_key, {SEQ} AS seq, CAST(l_partkey % 20 AS BIGINT) AS company_id, CAST(l_partkey AS BIGINT) AS source_hash, CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'RV' WHEN 1 THEN 'GIR' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'PSS' WHEN 4 THEN 'LC' ELSE 'EBI' END AS document_code, CAST(l_quantity AS DOUBLE) / 50 AS confidence, CASE WHEN l_returnflag = 'A' THEN 'cache' WHEN l_returnflag = 'R' THEN 'rules' ELSE 'heuristic' END AS route_source,
         CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE year(l_shipdate) END AS INT) AS target_year, CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE month(l_shipdate) END AS INT) AS target_month, CAST(l_partkey % 14 AS INT) AS folder_number FROM lineitem""",
+    "bundle_months": """SELECT DISTINCT CAST(o_custkey % 20 AS INT) AS company_id, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CASE CAST((o_custkey % 20 * 7 + year(o_orderdate) + month(o_orderdate)) % 4 AS INT) WHEN 0 THEN 'approved' WHEN 1 THEN 'generated' WHEN 2 THEN 'current' ELSE 'blocked' END AS status FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 3 = 0""",
     "corrections": """SELECT o_orderstatus AS from_code, o_orderpriority AS to_code FROM orders""",
 }
 
@@ -91,7 +92,7 @@ SPARK_VIEWS = {
     "document_programs": VIEWS["document_programs"].replace("//", "div"),
 }
 
-TABLES = {"page_items": "conversations", "page_sizes": "conversations", "document_programs": "conversations", "workspace_rows": "supplier", "employees": "lineitem", "folder_states": "lineitem", "cache_rows": "part", "route_rows": "lineitem", "page_texts": "conversations", "doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
+TABLES = {"bundle_months": "orders", "page_items": "conversations", "page_sizes": "conversations", "document_programs": "conversations", "workspace_rows": "supplier", "employees": "lineitem", "folder_states": "lineitem", "cache_rows": "part", "route_rows": "lineitem", "page_texts": "conversations", "doc_inputs": "documents", "batch_documents": "lineitem", "provider_calls": "events", "uploads": "orders", "approved_documents": "lineitem", "reference_pages": "conversations", "snapshot_files": "events", "corrections": "orders", "folder_status": "lineitem", "decisions": "lineitem", "reviews": "orders", "signals": "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -211,3 +211,21 @@ def learned_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("long").alias("company_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(CODES).alias("document_code"), F.array(F.array_join(F.slice(words, 1, 2), " ")).alias("header_terms"), F.slice(words, 3, 12).alias("sample_tokens"))
     docs = learned.normal_texts(table(spark, sf_dir, "doc_inputs").withColumn("company_id", (F.col("doc_id") % 20).cast("long")))
     return learned.section_hint(docs, prints).select("doc_id", "learned_code", F.round("learned_score", 6).alias("learned_score"))
+
+
+SECTIONS_SQL = PROFILE_SQL + ", places AS (SELECT CAST(reference_id % 20 AS BIGINT) AS company_id, reference_id AS seq, label AS code, row_number() OVER (PARTITION BY reference_id ORDER BY first_page) AS section_order FROM profiles)"
+
+
+def company_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(spark, sf_dir).select(F.expr(COMPANY).alias("company_id"), F.col("reference_id").alias("seq"), F.col("label").alias("code"), "section_order")
+
+
+@register("folder_sequence", with_inputs(SECTIONS_SQL + " SELECT company_id, string_agg(code, ',' ORDER BY first, code) AS sequence FROM (SELECT company_id, code, min(section_order) AS first FROM places GROUP BY 1, 2) GROUP BY 1", "page_texts"))
+def folder_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.folder_sequence(company_sections(spark, sf_dir)).withColumn("sequence", F.array_join("sequence", ","))
+
+
+@register("section_context", with_inputs(SECTIONS_SQL + " SELECT company_id, seq, code, CAST(age AS INTEGER) AS age FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY seq DESC, section_order DESC, code DESC) AS age FROM places) WHERE age <= 10", "page_texts"))
+def section_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # fewer than the default of 80, which the given references would not reach
+    return learn.section_context(company_sections(spark, sf_dir), 10).select("company_id", "seq", "code", "age")

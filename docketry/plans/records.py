@@ -19,6 +19,11 @@ def batch_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.batch_build(table(spark, sf_dir, "batch_documents"))
 
 
+@register("built_documents", with_inputs(f"SELECT batch_id, CAST(batch_id AS VARCHAR) || '-' || CAST(row_number() OVER (PARTITION BY batch_id ORDER BY seq, folder_code, page_count, confidence, employee_code NULLS FIRST, cache_hit) - 1 AS VARCHAR) AS id, seq, CAST({NUMBER} AS INTEGER) AS folder_number, confidence, page_count FROM batch_documents", "batch_documents"))
+def built_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.built_documents(table(spark, sf_dir, "batch_documents"))
+
+
 @register("batch_groups", with_inputs(f"SELECT CAST({NUMBER} AS INTEGER) AS folder_number, coalesce(employee_code, 'unknown') AS employee, count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS pages FROM batch_documents GROUP BY 1, 2", "batch_documents"))
 def batch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.batch_groups(table(spark, sf_dir, "batch_documents"))
@@ -27,8 +32,8 @@ def batch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "batch_statistics",
     with_inputs(
-        """WITH d AS (SELECT batch_id, count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS pages, count(*) FILTER (WHERE cache_hit) AS cache_hits, avg(confidence) AS m FROM batch_documents GROUP BY 1), c AS (SELECT batch_id, count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, sum(cost) AS cost FROM provider_calls GROUP BY 1)
-    SELECT batch_id, documents, pages, cache_hits, round(m, 6) AS mean_confidence, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, round(coalesce(cost, 0), 4) AS cost, round(cache_hits / CAST(greatest(1, documents) AS DOUBLE), 6) AS cache_hit_rate FROM d LEFT JOIN c USING (batch_id)""",
+        """WITH d AS (SELECT batch_id, count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS pages, count(*) FILTER (WHERE confidence > 0.8) AS approved, count(*) FILTER (WHERE confidence <= 0.8) AS review, count(*) FILTER (WHERE cache_hit) AS cache_hits, avg(confidence) AS m FROM batch_documents GROUP BY 1), c AS (SELECT batch_id, count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, sum(cost) AS cost FROM provider_calls GROUP BY 1)
+    SELECT batch_id, documents, pages, approved, review, cache_hits, round(coalesce(cost, 0) / CAST(greatest(1, documents) AS DOUBLE), 6) AS cost_per_document, round(m, 6) AS mean_confidence, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, round(coalesce(cost, 0), 4) AS cost, round(cache_hits / CAST(greatest(1, documents) AS DOUBLE), 6) AS cache_hit_rate FROM d LEFT JOIN c USING (batch_id)""",
         "batch_documents",
         "provider_calls",
     ),
@@ -63,12 +68,15 @@ def upload_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "month_grid",
     with_inputs(
-        "WITH y AS (SELECT DISTINCT company_id, year FROM uploads), g AS (SELECT company_id, year, CAST(m AS INTEGER) AS month FROM y, range(1, 13) r(m)) SELECT g.company_id, g.year, g.month, count(u.status) AS uploads, CASE WHEN bool_or(u.status = 'submitted') THEN 'submitted' WHEN count(u.status) > 0 THEN 'has_data' ELSE 'empty' END AS cell FROM g LEFT JOIN uploads u ON g.company_id = u.company_id AND g.year = u.year AND g.month = u.month GROUP BY 1, 2, 3",
+        """WITH y AS (SELECT DISTINCT company_id, year FROM uploads), g AS (SELECT company_id, year, CAST(m AS INTEGER) AS month FROM y, range(1, 13) r(m)), b AS (SELECT company_id, year, month, bool_or(status IN ('approved', 'done', 'generated')) AS done FROM bundle_months GROUP BY 1, 2, 3)
+    SELECT g.company_id, g.year, g.month, count(u.status) AS uploads, CASE WHEN bool_or(done) THEN 'done' WHEN bool_or(u.status = 'submitted') THEN 'submitted' WHEN count(u.status) > 0 OR count(b.done) > 0 THEN 'has_data' ELSE 'empty' END AS cell
+    FROM g LEFT JOIN uploads u ON g.company_id = u.company_id AND g.year = u.year AND g.month = u.month LEFT JOIN b ON g.company_id = b.company_id AND g.year = b.year AND g.month = b.month GROUP BY 1, 2, 3""",
         "uploads",
+        "bundle_months",
     ),
 )
 def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.month_grid(table(spark, sf_dir, "uploads"))
+    return state.month_grid(table(spark, sf_dir, "uploads"), table(spark, sf_dir, "bundle_months"))
 
 
 @register("first_source", with_inputs("SELECT workspace_key, source_hash, priority, seq FROM (SELECT *, row_number() OVER (PARTITION BY workspace_key, source_hash ORDER BY priority, seq) AS nth FROM approved_documents) WHERE nth = 1", "approved_documents"))

@@ -21,16 +21,34 @@ def upload_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.years(table(spark, sf_dir, "uploads"), CURRENT)
 
 
+DONE = "status IN ('approved', 'done', 'generated')"
+
+
 @register(
     "upload_totals",
     with_inputs(
-        f"WITH a AS (SELECT * FROM uploads WHERE status <> 'archived'), m AS (SELECT year, month FROM uploads WHERE folder_number = 1 UNION SELECT year, month FROM a WHERE month IS NOT NULL) SELECT CAST(coalesce(sum(files) FILTER (WHERE status = 'submitted'), 0) AS BIGINT) AS new_files, CAST(coalesce(sum(files) FILTER (WHERE {BUSY}), 0) AS BIGINT) AS busy_files, max(submitted_at) AS latest, (SELECT count(*) FROM m) AS active_months, CAST(0 AS BIGINT) AS completed_months FROM a",
+        f"WITH a AS (SELECT * FROM uploads WHERE status <> 'archived'), m AS (SELECT year, month FROM bundle_months UNION SELECT year, month FROM a WHERE month IS NOT NULL) SELECT CAST(coalesce(sum(files) FILTER (WHERE status = 'submitted'), 0) AS BIGINT) AS new_files, CAST(coalesce(sum(files) FILTER (WHERE {BUSY}), 0) AS BIGINT) AS busy_files, max(submitted_at) AS latest, (SELECT count(*) FROM m) AS active_months, (SELECT count(*) FROM bundle_months WHERE {DONE}) AS completed_months FROM a",
         "uploads",
+        "bundle_months",
     ),
 )
 def upload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = table(spark, sf_dir, "uploads")
-    return reports.upload_totals(up, up.where("folder_number = 1"))
+    return reports.upload_totals(table(spark, sf_dir, "uploads"), table(spark, sf_dir, "bundle_months"))
+
+
+@register(
+    "year_cards",
+    with_inputs(
+        f"""WITH u AS (SELECT company_id, year, sum(files) AS total, coalesce(sum(files) FILTER (WHERE status = 'submitted'), 0) AS pending, coalesce(sum(files) FILTER (WHERE {BUSY}), 0) AS busy, max(submitted_at) AS latest FROM uploads GROUP BY 1, 2), b AS (SELECT company_id, year, count(*) AS months, count(*) FILTER (WHERE {DONE}) AS done FROM bundle_months GROUP BY 1, 2),
+    k AS (SELECT company_id, year FROM u UNION SELECT company_id, year FROM b UNION SELECT company_id, CAST({CURRENT} AS INTEGER) FROM (SELECT company_id FROM u UNION SELECT company_id FROM b)),
+    c AS (SELECT k.company_id AS company_id, k.year AS year, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(pending, 0) AS BIGINT) AS pending, CAST(coalesce(busy, 0) AS BIGINT) AS busy, coalesce(months, 0) AS months, coalesce(done, 0) AS done, latest FROM k LEFT JOIN u ON u.company_id = k.company_id AND u.year = k.year LEFT JOIN b ON b.company_id = k.company_id AND b.year = k.year)
+    SELECT *, CASE WHEN pending > 0 THEN CAST(pending AS VARCHAR) || ' file(s) pending' WHEN months > 0 THEN CAST(done AS VARCHAR) || '/' || CAST(months AS VARCHAR) || ' months done' ELSE 'No data yet' END AS badge, year = {CURRENT} AS current FROM c""",
+        "uploads",
+        "bundle_months",
+    ),
+)
+def year_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.year_cards(table(spark, sf_dir, "uploads"), table(spark, sf_dir, "bundle_months"), CURRENT)
 
 
 @register("folder_panel", with_inputs("WITH p AS (SELECT company_id, folder_number, seq, row_number() OVER (PARTITION BY company_id, folder_number ORDER BY submitted_at DESC, seq) AS place, sum(files) OVER (PARTITION BY company_id, folder_number) AS total, count(*) OVER (PARTITION BY company_id, folder_number) AS n FROM uploads) SELECT company_id, folder_number, CAST(place AS INTEGER) AS place, seq, CAST(total AS BIGINT) AS total_files, greatest(n - 10, 0) AS remaining FROM p WHERE place <= 10", "uploads"))
@@ -48,9 +66,15 @@ def items_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.items_by_month(routes(spark, sf_dir))
 
 
-@register("workflow_counters", duck_routes(f"SELECT count(*) FILTER (WHERE document_code <> 'UNKNOWN') AS grouped, count(*) FILTER (WHERE NOT ({DATED}) OR confidence < 0.7) AS needs_review, count(DISTINCT CASE WHEN {DATED} THEN target_year * 100 + target_month END) AS months_ready FROM routes"))
+@register("month_items", duck_routes("SELECT bucket, doc_id, file_name, CAST(dense_rank() OVER (PARTITION BY bucket ORDER BY coalesce(target_year * 100 + target_month, 999912), target_year NULLS FIRST, target_month NULLS FIRST) AS INTEGER) AS month_place, CAST(row_number() OVER (PARTITION BY bucket, target_year, target_month ORDER BY file_name, doc_id) AS INTEGER) AS place FROM bucketed"))
+def month_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.month_items(routes(spark, sf_dir))
+
+
+@register("workflow_counters", duck_routes(f"SELECT count(*) FILTER (WHERE document_code <> 'UNKNOWN') AS grouped, count(*) FILTER (WHERE NOT ({DATED}) OR confidence < 0.7) AS needs_review, count(DISTINCT CASE WHEN {DATED} THEN target_year * 100 + target_month END) AS months_ready, greatest(count(*), (SELECT CAST(sum(1 + o_orderkey % 3) AS BIGINT) FROM orders)) AS received FROM routes"))
 def workflow_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.workflow_counters(routes(spark, sf_dir))
+    uploaded = table(spark, sf_dir, "uploads").agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"]
+    return reports.workflow_counters(routes(spark, sf_dir), uploaded)
 
 
 @register("month_detection", duck_routes(f"SELECT bucket, count(DISTINCT CASE WHEN {DATED} THEN target_year * 100 + target_month END) AS periods, count(*) FILTER (WHERE NOT ({DATED})) AS without_period FROM bucketed GROUP BY 1"))
@@ -73,7 +97,7 @@ def next_in_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.next_of_same_code(table(spark, sf_dir, "approved_documents"))
 
 
-@register("scan_report", with_inputs("WITH g AS (SELECT CAST(n AS INTEGER) AS group_no FROM range(1, 17) r(n)), f AS (SELECT group_no, count(*) AS n, count(DISTINCT file_name) AS names FROM snapshot_files GROUP BY 1) SELECT group_no, coalesce(n, 0) AS files, coalesce(names, 0) AS names, n IS NULL AS missing FROM g LEFT JOIN f USING (group_no)", "snapshot_files"))
+@register("scan_report", with_inputs("WITH g AS (SELECT CAST(n AS INTEGER) AS group_no FROM range(1, 17) r(n)), f AS (SELECT group_no, count(*) AS n, count(DISTINCT file_name) AS names FROM snapshot_files GROUP BY 1) SELECT group_no, coalesce(n, 0) AS files, coalesce(names, 0) AS names, n IS NULL AS missing, CASE WHEN n IS NULL THEN printf('Group %02d: no files found', group_no) END AS message FROM g LEFT JOIN f USING (group_no)", "snapshot_files"))
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.scan_report(table(spark, sf_dir, "snapshot_files"), spark.range(1, 17).select(F.col("id").cast("int").alias("group_no")))
 
@@ -103,6 +127,11 @@ def review_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.review_inbox(table(spark, sf_dir, "reviews"))
 
 
+@register("pending_reviews", with_inputs("WITH n AS (SELECT workspace_key, count(*) AS reviews, count(*) FILTER (WHERE status = 'approved') AS approved FROM reviews GROUP BY 1) SELECT workspace_key, seq, CAST(row_number() OVER (PARTITION BY workspace_key ORDER BY seq) AS INTEGER) AS place, reviews, approved FROM reviews JOIN n USING (workspace_key) WHERE status = 'pending'", "reviews"))
+def pending_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.pending_reviews(table(spark, sf_dir, "reviews"))
+
+
 @register("confirm_items", with_inputs("WITH n AS (SELECT workspace_key, folder_number, count(*) AS items FROM approved_documents WHERE priority < 3 GROUP BY 1, 2) SELECT workspace_key, folder_number, greatest(coalesce(document_count, 0), coalesce(items, 0)) AS document_count FROM folder_status FULL JOIN n USING (workspace_key, folder_number)", "folder_status", "approved_documents"))
 def confirm_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.confirm_items(table(spark, sf_dir, "folder_status"), table(spark, sf_dir, "approved_documents").where("priority < 3"))

@@ -68,6 +68,11 @@ def periods_to_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.periods_to_apply(table(spark, sf_dir, "route_rows").withColumnsRenamed({"target_year": "year", "target_month": "month"}))
 
 
+@register("applied_periods", with_inputs(f"WITH k AS (SELECT *, {NUMBER} AS n, confidence < 0.7 AS review FROM route_rows) SELECT workspace_key, target_year AS year, target_month AS month, CAST(n AS INTEGER) AS folder_number, count(*) AS document_count, count(*) FILTER (WHERE NOT review) AS approved_count, count(*) FILTER (WHERE review) AS review_count, CASE WHEN max({{s: seq, d: document_code, c: confidence, r: review}}).r THEN 'review' ELSE 'approved' END AS status FROM k WHERE n > 0 GROUP BY 1, 2, 3, 4", "route_rows"))
+def applied_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace.applied_periods(table(spark, sf_dir, "route_rows").withColumnsRenamed({"target_year": "year", "target_month": "month"}))
+
+
 @register(
     "new_employees",
     with_inputs("WITH h AS (SELECT workspace_key, count(*) AS have FROM employees GROUP BY 1), n AS (SELECT workspace_key, seq, row_number() OVER (PARTITION BY workspace_key ORDER BY seq) + coalesce(have, 0) AS nth FROM route_rows LEFT JOIN h USING (workspace_key) WHERE document_code = 'RV') SELECT workspace_key, seq, printf('E%04d', nth) AS employee_code, printf('Employee %d', nth) AS employee_name, printf('CF_199606_E%04d.pdf', nth) AS file_name FROM n", "route_rows", "employees"),
