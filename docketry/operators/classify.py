@@ -32,6 +32,8 @@ PAYSLIP_CONFIDENCE = 0.64
 NUMBER_MARKER, CODE_MARKER = r"(pasta|folder|grupo|f)\s*0?{0}(\b|\s|_|-|\.)", r"(^|\b|_|-|\.){0}(\b|\s|_|-|\.)"
 # Weights and caps of folder hints and of patterns.
 HINT = {"number": 0.54, "code": 0.5, "name": 0.22, "text": 0.1, "cap": 0.88, "least": 0.34, "floor": 0.42}
+# floors of learned and unknown routes; what a period that fits adds, year and month alone; what one that does not costs, of marks, learned signals and other routes; a close second's cost
+ROUTE = {"learned": 0.38, "unknown": 0.35, "scanned": 0.18, "fits": 0.1, "year": 0.04, "month": 0.05, "off_mark": 0.15, "off_signal": 0.25, "off": 0.18, "close": 0.12, "close_cost": 0.1, "cap": 0.98}
 SCORE = {"name": 0.42, "body": 0.36, "name_weak": 0.08, "name_most": 0.24, "body_weak": 0.05, "body_most": 0.18, "example": 0.12, "negative": 0.22, "cap": 0.98, "least": 0.3}
 
 
@@ -190,23 +192,23 @@ def local_route(docs: DataFrame, year: int, month: int, ignore_period: bool = Fa
     known = first_of(
         [
             ("proof IS NOT NULL", "named_struct('stage', 'proof', 'code', proof, 'base', " + first_of([(f"proof = '{c}'", n(x)) for c, x in PROOF_CONFIDENCE.items()]) + ")"),
-            ("learned_code IS NOT NULL", "named_struct('stage', 'learned', 'code', learned_code, 'base', greatest(0.38D, learned_score))"),
+            ("learned_code IS NOT NULL", f"named_struct('stage', 'learned', 'code', learned_code, 'base', greatest({ROUTE['learned']}D, learned_score))"),
             (f"hint.score >= {n(HINT['least'])}", f"named_struct('stage', 'hint', 'code', hint.code, 'base', greatest({n(HINT['floor'])}, hint.score))"),
             ("payslip", f"named_struct('stage', 'payslip', 'code', 'RV', 'base', {n(PAYSLIP_CONFIDENCE)})"),
             (f"top.score >= {n(SCORE['least'])}", "named_struct('stage', 'pattern', 'code', top.code, 'base', top.score)"),
         ],
-        "named_struct('stage', 'unknown', 'code', 'UNKNOWN', 'base', CASE WHEN ocr THEN 0.18D ELSE 0.35D END)",
+        f"named_struct('stage', 'unknown', 'code', 'UNKNOWN', 'base', CASE WHEN ocr THEN {ROUTE['scanned']}D ELSE {ROUTE['unknown']}D END)",
     )
     decided = best.withColumn("known", F.expr(known)).withColumn("signal", F.expr("CASE WHEN known.stage NOT IN ('payslip', 'unknown') THEN try_element_at(learned_periods, known.code) END"))
     used = decided.withColumn("found", F.expr("CASE WHEN known.stage <> 'pattern' OR signal.rated THEN signal.period END"))
     cost = lambda x: "0D" if ignore_period else n(x)
-    by_mark = f"known.base + CASE WHEN found IS NULL THEN 0D WHEN found = {asked} THEN 0.1D ELSE -{cost(0.15)} END"
-    step = lambda c: f"CASE WHEN found IS NULL THEN {c} WHEN found = {asked} THEN least(0.98D, {c} + 0.1D) ELSE greatest(0D, {c} - {cost(0.25)}) END"
-    near = f"least(0.98D, least(0.98D, known.base + CASE WHEN floor(period / 100) = {year} THEN 0.04D ELSE 0D END) + CASE WHEN period % 100 = {month} THEN 0.05D ELSE 0D END)"
-    learned = f"CASE WHEN signal IS NOT NULL THEN {step('known.base')} WHEN period <> {asked} THEN greatest(0D, {near} - {cost(0.18)}) ELSE {near} END"
-    drift = f"CASE WHEN signal.rated THEN CASE WHEN found IS NULL THEN 0D WHEN found = {asked} THEN 0.1D ELSE -{cost(0.25)} END ELSE CASE WHEN floor(period / 100) = {year} THEN 0.04D ELSE 0D END + CASE WHEN period % 100 = {month} THEN 0.05D ELSE 0D END - CASE WHEN period <> {asked} THEN {cost(0.18)} ELSE 0D END END"
-    pattern = f"known.base + {drift} - CASE WHEN known.base + second < 0.12D THEN 0.1D ELSE 0D END"
-    confidence = first_of([("known.stage IN ('proof', 'hint')", f"greatest(0D, least(0.98D, {by_mark}))"), ("known.stage = 'learned'", learned), ("known.stage = 'pattern'", f"greatest(0D, least(0.98D, {pattern}))")], "known.base")
+    by_mark = f"known.base + CASE WHEN found IS NULL THEN 0D WHEN found = {asked} THEN {ROUTE['fits']}D ELSE -{cost(ROUTE['off_mark'])} END"
+    step = lambda c: f"CASE WHEN found IS NULL THEN {c} WHEN found = {asked} THEN least({ROUTE['cap']}D, {c} + {ROUTE['fits']}D) ELSE greatest(0D, {c} - {cost(ROUTE['off_signal'])}) END"
+    near = f"least({ROUTE['cap']}D, least({ROUTE['cap']}D, known.base + CASE WHEN floor(period / 100) = {year} THEN {ROUTE['year']}D ELSE 0D END) + CASE WHEN period % 100 = {month} THEN {ROUTE['month']}D ELSE 0D END)"
+    learned = f"CASE WHEN signal IS NOT NULL THEN {step('known.base')} WHEN period <> {asked} THEN greatest(0D, {near} - {cost(ROUTE['off'])}) ELSE {near} END"
+    drift = f"CASE WHEN signal.rated THEN CASE WHEN found IS NULL THEN 0D WHEN found = {asked} THEN {ROUTE['fits']}D ELSE -{cost(ROUTE['off_signal'])} END ELSE CASE WHEN floor(period / 100) = {year} THEN {ROUTE['year']}D ELSE 0D END + CASE WHEN period % 100 = {month} THEN {ROUTE['month']}D ELSE 0D END - CASE WHEN period <> {asked} THEN {cost(ROUTE['off'])} ELSE 0D END END"
+    pattern = f"known.base + {drift} - CASE WHEN known.base + second < {ROUTE['close']}D THEN {ROUTE['close_cost']}D ELSE 0D END"
+    confidence = first_of([("known.stage IN ('proof', 'hint')", f"greatest(0D, least({ROUTE['cap']}D, {by_mark}))"), ("known.stage = 'learned'", learned), ("known.stage = 'pattern'", f"greatest(0D, least({ROUTE['cap']}D, {pattern}))")], "known.base")
     target = "coalesce(found, period)"
     routes = used.select(
         "doc_id", "file_name", F.expr("known.code").alias("document_code"), F.expr(confidence).alias("confidence"), F.expr("known.stage").alias("stage"),

@@ -10,10 +10,10 @@ from docketry.operators.classify import alternatives, double, is_plain, needed_w
 from docketry.operators.dims import BANK_AFTER_TAX, BANK_PAGE, CONTINUATION, FOLDER_OF, FOLDERS, PAGE_GOES_ON, PAGE_NUMBER_MARKER, PAGE_PATTERNS, PAGE_SCORE, PAGE_TERMS, SAMPLE_STOP
 
 #: Pages of a reference that are read.
-PAGES = 120
+PAGES = 120  # a fixed value
 # Codes whose sections run over several pages.
 CONTINUED = ("LC", "EBV", "EBSA", "SSD", "EBI")
-BANK_FROM = 9
+BANK_FROM = 9  # a fixed value
 
 
 def label_pages(pages: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def pages_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("reference_id", "page", "label")
 
 
-DATED = r"(?i)\b(20\d{2})\b.*\b(0[1-9]|1[0-2])\b|\b(0[1-9]|1[0-2])\b.*\b(20\d{2})\b|\b(janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\b.*\b(20\d{2})\b"
+DATED = segment.DATE_ON_PAGE
 PROFILE_SQL = LABELLED_SQL + f""", lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS ls FROM labelled),
   placed AS (SELECT *, CASE WHEN len(list_filter(ls[1:greatest(1, CAST(floor(len(ls) * 0.2) AS INT))], lambda l: regexp_matches(l, '{DATED}'))) > 0 THEN 'header' WHEN len(list_filter(ls[CAST(floor(len(ls) * 0.8) AS INT) + 1:], lambda l: regexp_matches(l, '{DATED}'))) > 0 THEN 'footer' WHEN len(list_filter(ls, lambda l: regexp_matches(l, '{DATED}'))) > 0 THEN 'body' END AS position FROM lines),
   profiles AS (SELECT reference_id, label, count(*) AS page_count, min(page) AS first_page, first(position ORDER BY page) FILTER (WHERE position IS NOT NULL) AS date_position, trim((' ' || string_agg(text, ' ' ORDER BY page))[1:12000]) AS raw_text FROM placed GROUP BY 1, 2)"""

@@ -272,31 +272,41 @@ def merged_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.merged_uploads(items, up).groupBy("folder_number").agg(F.count("*").alias("items"))
 
 
+# Every component of a confidence moves by a law of its own, so none is the same for all.
+COMPONENTS = {"entity": "1 - CAST(seq % 5 AS DOUBLE) / 10", "period": "0.5 + CAST(seq % 6 AS DOUBLE) / 10", "evidence": "CAST(page_count % 5 AS DOUBLE) / 4", "boundary": "1 - CAST(seq % 3 AS DOUBLE) / 4", "source": "0.6 + CAST(page_count % 4 AS DOUBLE) / 10", "rule": "CAST(seq % 4 AS DOUBLE) / 40", "example": "CAST(seq % 7 AS DOUBLE) / 70"}
+
+
 @register(
     "final_confidence",
     with_inputs(
-        """WITH c AS (SELECT batch_id, seq, confidence, page_count % 3 AS k, page_count % 2 AS m FROM batch_documents), f AS (SELECT *, round(greatest(0, least(1, 0.3 * confidence + 0.2 * 1 + 0.15 * 0.8 + 0.15 * confidence + 0.1 * 1 + 0.1 * 0.8 + 0.1 - least(0.6, 0.2 * CASE WHEN k = 2 THEN 1 ELSE 0 END) - least(0.45, 0.15 * CASE WHEN k = 1 THEN m ELSE 0 END))), 6) AS v FROM c)
-    SELECT batch_id, count(*) FILTER (WHERE k = 2 OR k = 1 AND m > 0 OR v < 0.75) AS review, count(*) FILTER (WHERE NOT (k = 2 OR k = 1 AND m > 0) AND v >= 0.9) AS automatic, round(sum(v), 6) AS total FROM f GROUP BY 1""",
+        f"""WITH c AS (SELECT batch_id, seq, confidence, page_count % 3 AS k, page_count % 2 AS m, {', '.join(f'{v} AS {n}' for n, v in COMPONENTS.items())} FROM batch_documents), f AS (SELECT *, round(greatest(0, least(1, 0.3 * confidence + 0.2 * entity + 0.15 * period + 0.15 * evidence + 0.1 * boundary + 0.1 * source + rule + example - least(0.6, 0.2 * CASE WHEN k = 2 THEN 1 ELSE 0 END) - least(0.45, 0.15 * CASE WHEN k = 1 THEN m ELSE 0 END))), 6) AS v FROM c)
+    SELECT batch_id, count(*) FILTER (WHERE k = 2 OR k = 1 AND m > 0 OR v < 0.75) AS review, count(*) FILTER (WHERE NOT (k = 2 OR k = 1 AND m > 0) AND v >= 0.9) AS automatic, round(sum(v), 4) AS total FROM f GROUP BY 1""",
         "batch_documents",
     ),
 )
 def final_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "batch_documents")
     k, m = F.col("page_count") % 3, F.col("page_count") % 2
-    rows = docs.withColumns({"type_confidence": F.col("confidence"), "entity_confidence": F.lit(1.0), "period_confidence": F.lit(0.8), "evidence_confidence": F.col("confidence"), "boundary_confidence": F.lit(1.0), "source_quality_confidence": F.lit(0.8), "rule_adjustment": F.lit(0.1), "example_adjustment": F.lit(0.0), "conflicts": F.when(k == 2, 1).otherwise(0), "missing_fields": F.when(k == 1, m).otherwise(0)})
-    return checks.final_confidence(rows).groupBy("batch_id").agg(F.count_if(F.col("band") == "review").alias("review"), F.count_if(F.col("band") == "automatic").alias("automatic"), F.round(F.sum("final_confidence"), 6).alias("total"))
+    part = {n: F.expr(v) for n, v in COMPONENTS.items()}
+    rows = docs.withColumns({"type_confidence": F.col("confidence"), "entity_confidence": part["entity"], "period_confidence": part["period"], "evidence_confidence": part["evidence"], "boundary_confidence": part["boundary"], "source_quality_confidence": part["source"], "rule_adjustment": part["rule"], "example_adjustment": part["example"], "conflicts": F.when(k == 2, 1).otherwise(0), "missing_fields": F.when(k == 1, m).otherwise(0)})
+    return checks.final_confidence(rows).groupBy("batch_id").agg(F.count_if(F.col("band") == "review").alias("review"), F.count_if(F.col("band") == "automatic").alias("automatic"), F.round(F.sum("final_confidence"), 4).alias("total"))
+
+
+PERIOD_LAW = "CASE WHEN seq % 4 = 0 THEN NULL ELSE CAST(202401 + seq % 3 * (seq % 2) AS INT) END"
 
 
 @register(
     "batch_anomalies",
     with_inputs(
-        """WITH c AS (SELECT batch_id, folder_code, count(*) AS k FROM batch_documents GROUP BY 1, 2), t AS (SELECT batch_id, count(*) AS n FROM batch_documents GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY k DESC, folder_code) AS nth, max(k) OVER (PARTITION BY batch_id) AS top FROM c JOIN t USING (batch_id)), e AS (SELECT batch_id, coalesce(employee_code, '') AS employee, count(*) AS k FROM batch_documents WHERE employee_code IS NOT NULL GROUP BY 1, 2)
-    SELECT batch_id, 'outlier_type' AS anomaly, folder_code AS detail FROM r WHERE nth > 1 AND top >= 0.3 * n UNION ALL SELECT batch_id, 'entity_mismatch', employee FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY k DESC, employee) AS nth FROM e) WHERE nth > 1 UNION ALL SELECT batch_id, 'missing_evidence', 'GIR' FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.batch_id = t.batch_id AND folder_code = 'GIR')""",
+        f"""WITH c AS (SELECT batch_id, folder_code, count(*) AS k FROM batch_documents GROUP BY 1, 2), t AS (SELECT batch_id, count(*) AS n FROM batch_documents GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY k DESC, folder_code) AS nth, max(k) OVER (PARTITION BY batch_id) AS top FROM c JOIN t USING (batch_id)), e AS (SELECT batch_id, coalesce(employee_code, '') AS employee, count(*) AS k FROM batch_documents WHERE employee_code IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT batch_id, CAST(period AS VARCHAR) AS period, count(*) AS k FROM (SELECT batch_id, {PERIOD_LAW} AS period FROM batch_documents) WHERE period IS NOT NULL GROUP BY 1, 2)
+    SELECT batch_id, 'outlier_type' AS anomaly, folder_code AS detail FROM r WHERE nth > 1 AND top >= 0.3 * n UNION ALL SELECT batch_id, 'entity_mismatch', employee FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY k DESC, employee) AS nth FROM e) WHERE nth > 1 UNION ALL SELECT batch_id, 'period_drift', period FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY k DESC, period) AS nth FROM p) WHERE nth > 1
+    UNION ALL SELECT batch_id, 'missing_evidence', 'GIR' FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.batch_id = t.batch_id AND folder_code = 'GIR')""",
         "batch_documents",
     ),
 )
 def batch_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "batch_documents").select("batch_id", F.col("folder_code").alias("code"), F.lit(None).cast("int").alias("period"), F.col("employee_code").alias("entity"))
+    docs = table(spark, sf_dir, "batch_documents").select("batch_id", F.col("folder_code").alias("code"), F.expr(PERIOD_LAW).alias("period"), F.col("employee_code").alias("entity"))
     return checks.batch_anomalies(docs, docs.select("batch_id").distinct().withColumn("code", F.lit("GIR")), 0.3)
 
 
@@ -313,10 +323,24 @@ def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.entity_groups(docs.withColumn("name", F.regexp_replace("name", ",", "")))
 
 
-@register("schema_problems", with_inputs("SELECT seq AS doc_id, CASE WHEN target_month IS NOT NULL THEN CAST((target_month + 2) // 3 AS VARCHAR) || 'T' END AS quarter, array_to_string(list_filter([CASE WHEN confidence > 1 THEN 'confidence' END, CASE WHEN seq % 4 = 0 THEN 'nif' END, CASE WHEN document_code NOT IN ('GIR', 'UNKNOWN') THEN 'domain' END], lambda x: x IS NOT NULL), ',') AS problems FROM route_rows", "route_rows"))
+# Records with something wrong here and there: confidence, month, number, date, and codes of other domains.
+DOMAINS = {"irs": ("GIR", "LIR", "PIR"), "banking": ("TV", "EBV", "TSA", "EBSA", "EBI"), "payroll": ("RV", "LC")}
+RECORD = {"c": "CASE WHEN seq % 7 = 0 THEN confidence * 2 ELSE confidence END", "m": "CASE WHEN seq % 11 = 0 THEN target_month + 10 ELSE target_month END", "nif": "CASE WHEN seq % 4 = 0 THEN '12' WHEN seq % 4 = 1 THEN '123456789' END", "dated": "CASE WHEN seq % 5 = 0 THEN '2025-1-2' WHEN seq % 5 = 1 THEN '2025-01-02' END", "domain": "CASE CAST(seq % 3 AS INT) WHEN 0 THEN 'irs' WHEN 1 THEN 'banking' ELSE 'payroll' END"}
+_BELONGS = " OR ".join(f"domain = '{d}' AND document_code IN ({', '.join(repr(c) for c in codes)})" for d, codes in DOMAINS.items())
+
+
+@register(
+    "schema_problems",
+    with_inputs(
+        f"""WITH r AS (SELECT seq, document_code, {', '.join(f'{v} AS {k}' for k, v in RECORD.items())} FROM route_rows)
+    SELECT seq AS doc_id, CASE WHEN m BETWEEN 1 AND 12 THEN CAST((m + 2) // 3 AS VARCHAR) || 'T' END AS quarter, array_to_string(list_filter([CASE WHEN NOT coalesce(c BETWEEN 0 AND 1, false) THEN 'confidence' END, CASE WHEN m NOT BETWEEN 1 AND 12 THEN 'month' END, CASE WHEN nif = '12' THEN 'nif' END, CASE WHEN dated = '2025-1-2' THEN 'date' END, CASE WHEN NOT ({_BELONGS} OR document_code = 'UNKNOWN') THEN 'domain' END], lambda x: x IS NOT NULL), ',') AS problems FROM r""",
+        "route_rows",
+    ),
+)
 def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "route_rows").select(F.col("seq").alias("doc_id"), "confidence", F.col("target_month").alias("month"), F.when(F.col("seq") % 4 == 0, "12").alias("nif"), F.lit(None).cast("string").alias("document_date"), F.lit("irs").alias("domain"), F.col("document_code").alias("code"))
-    return checks.schema_problems(docs, docs.select("domain", F.lit("GIR").alias("code")).distinct())
+    said = {k: F.expr(v) for k, v in RECORD.items()}
+    docs = table(spark, sf_dir, "route_rows").select(F.col("seq").alias("doc_id"), said["c"].alias("confidence"), said["m"].alias("month"), said["nif"].alias("nif"), said["dated"].alias("document_date"), said["domain"].alias("domain"), F.col("document_code").alias("code"))
+    return checks.schema_problems(docs, spark.createDataFrame([(d, c) for d, codes in DOMAINS.items() for c in codes], "domain string, code string"))
 
 
 @register("recorded_references", with_inputs("WITH n AS (SELECT DISTINCT company_id, source_hash, document_code FROM route_rows WHERE seq % 2 = 0 EXCEPT SELECT company_id, source_hash, document_code FROM cache_rows) SELECT company_id, 1 + count(source_hash) AS rules_version FROM (SELECT DISTINCT company_id FROM cache_rows) c LEFT JOIN n USING (company_id) GROUP BY 1", "route_rows", "cache_rows"))
