@@ -60,6 +60,26 @@ def test_codec_equals_the_library(docs, empty):
     assert sentencepiece_codec.round_trips(empty, model).count() == 0
 
 
+def test_unigram_segmentation_is_the_best_of_all():
+    model = sentencepiece_codec.load_model(public_tokenizers.path("piece_bpe_32k.model"), unigram=True)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    score = {sp.id_to_piece(int(i)): float(model.score[i]) for i in model.ids}
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice("aeionrstlé") for _ in range(rng.randrange(1, 30))) for _ in range(200)] + ["▁the", "▁internationalisation", "▁" + "ab" * 300]
+    worst = min(score.values()) - 10.0
+    for w, ids in zip(words, sentencepiece_codec.segment(model, words), strict=True):
+        best = [0.0] + [-1e18] * len(w)
+        for t in range(1, len(w) + 1):
+            for n in range(1, min(t, model.longest) + 1):
+                if w[t - n : t] in score:
+                    best[t] = max(best[t], best[t - n] + score[w[t - n : t]])
+            if w[t - 1] not in score:
+                best[t] = max(best[t], best[t - 1] + worst)
+        assert "".join(sp.id_to_piece(i) for i in ids) == w and abs(sum(float(model.score[i]) for i in ids) - best[-1]) < 1e-6 * max(1.0, abs(best[-1]))
+
+
 def test_near_duplicates_equal_brute_force(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := brute_words(r["text"])) else None for r in rows]
