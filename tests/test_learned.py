@@ -1,8 +1,11 @@
 """Learned routes, taught periods, date candidates, self-validation and product checks on hand-worked tables."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from docketry.operators import checks, dates, learn, learned, segment, workspace
+from docketry.operators import checks, dates, joins, learn, learned, segment, workspace
 
 
 def test_section_hints(spark):
@@ -86,3 +89,51 @@ def test_page_dates_and_likeness(spark):
     gone = spark.createDataFrame([(1, "h1")], "company_id long, hash string")
     assert {r["seq"]: (len(r["files"]), r["deleted"]) for r in workspace.without_hashes(up, gone).collect()} == {1: (1, 1), 3: (1, 0), 4: (0, 0)}
     assert workspace.without_company(up, gone).count() == 2
+
+
+def _plain(text):
+    text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
+    return re.sub(r"\s+", " ", re.sub(r"[_\-./:;()\[\]]+", " ", text)).strip()
+
+
+def _rounds(prints):
+    """Self-validation of one company's prints, print by print and term by term."""
+    prints = [dict(p) for p in prints]
+    pool = (("required_terms", 15, 0.5), ("header_terms", 10, 0.3), ("tfidf_terms", 12, 0.2), ("ngrams", 8, 0.45), ("llm_descriptors", 6, 0.4), ("negative_terms", 8, -0.25))
+    told = lambda p, k: [t for t in map(_plain, p[k]) if t]
+    for turn in (1, 2, 3):
+        for p in prints:
+            own = _plain(" ".join([*p["required_terms"], *told(p, "header_terms")[:8], *told(p, "tfidf_terms")[:10], *told(p, "ngrams")[:6], *told(p, "llm_descriptors")]))
+            scores = [max(0.0, sum(w for k, n, w in pool for t in told(q, k)[:n] if t in own)) for q in prints]
+            mine = scores[prints.index(p)]
+            other = max([s for q, s in zip(prints, scores) if q is not p], default=0.0)
+            p["recall"] = 0.0 if not own else 1.0 if mine > other else 0.6 if mine > 0 and mine > 0.7 * other else 0.0
+            p["precision"] = mine / max(1.0, mine + other) if own and mine > 0 else 0.0
+        recall, precision = (sum(p[k] for p in prints) / len(prints) for k in ("recall", "precision"))
+        if recall >= 0.75 and precision >= 0.75 or turn == 3:
+            return turn, (recall + precision) / 2, {p["label"]: (p["recall"], round(p["precision"], 6), p["required_terms"]) for p in prints}
+        for p in prints:
+            if p["recall"] < 0.75:
+                p["required_terms"] = [*p["required_terms"], *[t for t in p["sample_tokens"] if t not in p["required_terms"]][:5]][:25]
+
+
+def test_trained_companies_follow_the_rounds(spark):
+    from docketry.plans import learning
+
+    folder = "/root/testdata/sf0.001"
+    few = "company_id IN (3, 7, 9)"
+    rich = joins.held(learning.instances(spark, folder, True).where("company_id % 3 <> 0").where(few))
+    plain = joins.held(learning.instances(spark, folder).where(few))
+    rules = spark.createDataFrame([(c, 5 + c) for c in range(20)], "company_id long, rules_version long")
+    got = {r["company_id"]: r for r in learn.trained_companies(rich, plain, rules).collect()}
+    has = {r["company_id"] for r in rich.select("company_id").distinct().collect()}
+    examples = rich.unionByName(plain.where(~F.col("company_id").isin([*has]) if has else F.lit(True)))
+    by = {}
+    for r in learn.fingerprints(examples).collect():
+        by.setdefault(r["company_id"], []).append(r.asDict())
+    assert got.keys() == by.keys() == {3, 7, 9} and has == {7}
+    for company, prints in by.items():
+        turn, quality, shown = _rounds(sorted(prints, key=lambda p: p["label"]))
+        r = got[company]
+        assert (r["rounds"], r["rules_version"]) == (turn, 6 + company) and abs(r["quality"] - quality) < 2e-6
+        assert {p["label"]: (p["recall"], round(p["precision"], 6), p["required_terms"]) for p in r["prints"]} == shown
