@@ -207,19 +207,19 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scrat
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, root: the smallest uid that each linked uid reaches, by large-star and small-star rounds."""
-    edges, seen = scratch.measured(links.select("a", "b").where("a <> b").distinct(), "edges", n=F.count("*"))
+    edges, seen = scratch.measured(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", n=F.count("*"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.by_key(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        stars = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        least, of = scratch.measured(stars, "least", most=F.coalesce(F.max("n"), F.lit(0)), open=F.count_if((F.col("m") != F.col("a")) & (F.col("n") > 1)))
+        if not of["open"]:
+            break  # whoever is not the smallest of its neighbours has one alone: every component is a star around its smallest
+        least.most_rows_of_a_key = of["most"]
         large = spread_join(both.where("b > a"), least, ["a"], 2 * seen["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = scratch.written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "down")
         low = scratch.by_key(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
         small = spread_join(down, low, ["a"], 2 * seen["n"]).select("b", "m").union(low.select("a", "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        new, now = scratch.measured(small, "edges", n=F.count("*"))
-        same = now["n"] == seen["n"] and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges, seen = new, now
-        if same:
-            break
+        edges, seen = scratch.measured(small, "edges", n=F.count("*"))
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("root"))
 
 

@@ -211,3 +211,27 @@ def test_pairs_and_quantile():
     x = np.array([[0.0], [1.0], [2.0], [3.0]])
     assert bradley_terry.fit(x, np.array([2, 3]), np.array([0, 1]))[0] > 1
     assert bradley_terry.quantile_cut(np.array([3.0, 1.0, 2.0, 4.0]), np.ones(4), 0.5) == 2.5
+
+
+# Connected components of near-duplicates.
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from docketry.llm import dart_minhash
+
+    rng = random.Random(4)
+    links = [(k, k + 1) for k in range(100, 140)] + [(7, 200 + k) for k in range(20)] + [(300 + k, 300 + (k + 1) % 9) for k in range(9)] + [(rng.randrange(400, 430), rng.randrange(400, 430)) for _ in range(20)] + [(90, 3)]
+    parent = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    for some in (links, links[40:60], []):  # all, a star alone, none
+        scratch = Scratch(spark, "components")
+        got = {r["uid"]: r["root"] for r in dart_minhash.components(spark.createDataFrame(some, "a long, b long"), scratch).collect()}
+        assert got == {x: root(x) for x in parent if root(x) != x and any(x in p and p[0] != p[1] for p in some)}
+        scratch.clear()
