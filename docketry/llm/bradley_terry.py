@@ -10,9 +10,14 @@ the model learns which of two texts is better and needs no intercept.
 The strengths are cut at a quantile: the share of poor rows among all labelled rows that are not
 held out. A text of that strength scores 0.5, and others by the odds of being preferred to it.
 
-Training reads at most TRAIN_ROWS labelled rows of each label, those of the smallest hash of
-doc_id, from the rows that are not held out: their features, 1.3 KB each, reach the driver. Every
-document is then scored over its whole text by one pass without exchange.
+All labelled rows that are not held out train: the quantiles of the hats, the pairs and the cut are
+theirs. Rows are dealt by a hash of doc_id into blocks of some BLOCK_ROWS, in which they find their
+partners; rows of the rarer label are copied to several blocks where a block would have fewer than
+RARE_ROWS of them. Each step of Newton's method is one pass over the blocks, whose sums (a gradient
+and a matrix of curvature, of the number of weights, not of rows) are added up by Spark. The cut is
+found by histograms that are refined down to CUT_VALUES strengths. Features are taken from every
+whole text by one pass without exchange; the query keeps them, 1 KB a row before compression, so
+that training and scores read no text again.
 
 Defined results: null and empty texts have no words and are scored as such. A null label, or a label
 without its document, trains nothing; of repeated labels the larger counts, and of rows that repeat
@@ -23,7 +28,8 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +40,20 @@ from pyspark.sql import functions as F
 from docketry.llm._shared import Scratch
 from docketry.llm._words import buffer_of, mix, range_hashes, row_groups, window_hashes, words_of
 
-#: Labelled rows of each label that the model is fitted on, at most.
-TRAIN_ROWS = 4000
 #: Rows of the other label that each training row is compared with.
 PARTNERS = 16
+#: Rows of a block of training rows, and the rarer label's among them at least, both on average.
+BLOCK_ROWS, RARE_ROWS = 1024, 64
 SHAPES, KNOTS = 256, 9
 STATISTICS = ("words", "word_length", "capitals", "symbols", "repeated_runs", "same_as_last", "repeated_words", "breaks")
-#: Steps and rate of the descent, and the weight of the squared weights in the loss.
-STEPS, RATE, RIDGE = 400, 0.05, 1e-3
+#: Decimals that quantiles of statistics are taken to.
+DECIMALS = 4
+#: Steps of the descent at most, the gain below which a step is the last, and the weight of the squared weights in the loss.
+STEPS, GAIN, RIDGE = 100, 1e-8, 1e-3
+#: Groups of lines that the sums of the blocks are added up in.
+STRIPS = 16
+#: Bins of a histogram of strengths, and different strengths that the cut is looked for among.
+BINS, CUT_VALUES = 1024, 4096
 THRESHOLD = 0.5
 
 #: Bytes as shapes have them: capitals, other letters and digits are one byte each, all else stays.
@@ -114,27 +126,66 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         packed = np.hstack(text_features(b.column("text"))).astype("<f4")
-        cols = [b.column("doc_id"), b.column("quality"), pa.array([x.tobytes() for x in packed], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "quality", "features"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["doc_id", "features"])
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """doc_id, features of every document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(_feature_batches, "doc_id long, features binary")
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, quality of the documents that have a label and are not held out, each once."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
-    return known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+def training_rows(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality, features of the rows of `features_of` that have a label and are not held out, each id once.
+
+    They meet in one aggregate: a join would send whole tables of labels to every task, or not, by their size.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
+    both = table.select("doc_id", F.lit(None).cast("int").alias("quality"), "features").unionByName(known.withColumn("features", F.lit(None).cast("binary")))
+    free = both.where(F.col("doc_id").isNotNull() & ~held_out())
+    return free.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("features").alias("features")).where("quality IS NOT NULL AND features IS NOT NULL")
+
+
+def _unpacked(features: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(features, "<f4").reshape(-1, len(STATISTICS) + SHAPES)
+    return both[:, : len(STATISTICS)], both[:, len(STATISTICS) :]
+
+
+def statistic_knots(rows: DataFrame) -> list[np.ndarray]:
+    """The KNOTS quantiles of each statistic over all rows."""
+
+    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stats, _ = _unpacked(b"".join(b.column("features").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.float64)) for x in stats.T], names=list(STATISTICS))
+
+    wide = rows.select("features").mapInArrow(statistics, ", ".join(f"{x} double" for x in STATISTICS))
+    at = [float(x) for x in np.linspace(0, 1, KNOTS)]
+    found = wide.agg(*[F.percentile(F.round(x, DECIMALS), at).alias(x) for x in STATISTICS]).first()
+    knots = [np.unique(np.array(found[x])) for x in STATISTICS]
+    return [x if len(x) > 1 else np.array([x[0], x[0] + 1]) for x in knots]
+
 
+def _packed(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("quality", "ascending"), ("doc_id", "ascending")])
+    good = int(np.sum(rows.column("quality").to_numpy()))
+    packed = zlib.compress(b"".join(rows.column("features").to_pylist()), 1)
+    return pa.table({"block": rows.column("block")[:1], "poor": pa.array([len(rows) - good], pa.int32()), "features": pa.array([packed], pa.binary())})
 
-def training_rows(docs: DataFrame, known: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, quality, features of at most `most` rows of each label."""
-    picked = [known.where(F.col("quality") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for x in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    found = texts.mapInArrow(_feature_batches, "doc_id long, quality int, features binary")
-    return found.groupBy("doc_id", "quality").agg(F.min("features").alias("features"))  # of rows that repeat an id, one
+
+def training_blocks(rows: DataFrame, total: dict[int, int]) -> DataFrame:
+    """block, poor, features: the rows dealt into blocks, a row per block, its poor rows first."""
+    rare = min(total, key=lambda x: (total[x], x))
+    blocks = -(-sum(total.values()) // BLOCK_ROWS)
+    copies = min(-(-RARE_ROWS * blocks // total[rare]), blocks)
+    places = F.sequence(F.lit(0), F.when(F.col("quality") == rare, copies - 1).otherwise(0))
+    dealt = rows.select("doc_id", "quality", "features", F.explode(places).alias("copy"))
+    block = F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) + F.col("copy"), F.lit(blocks)).cast("long")
+    return dealt.select(block.alias("block"), "doc_id", "quality", "features").groupBy("block").applyInArrow(_packed, "block long, poor int, features binary")
 
 
 @dataclass
@@ -146,14 +197,14 @@ class Model:
     cut: float
 
     def strengths(self, stats: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        total, at = shapes @ self.weight[-SHAPES:], 0
+        total, at = (shapes * self.weight[-SHAPES:]).sum(axis=1), 0  # row by row, so that equal rows get equal strengths
         for k, knots in enumerate(self.knots):
             total = total + np.interp(stats[:, k], knots, self.weight[at : at + len(knots)])  # a sum of hats
             at += len(knots)
         return total
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.strengths(*text_features(column)) - self.cut, -30, 30)))
+    def scores(self, stats: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.strengths(stats, shapes) - self.cut, -30, 30)))
 
 
 def _hats(stats: np.ndarray, knots: list[np.ndarray]) -> np.ndarray:
@@ -169,21 +220,77 @@ def preference_pairs(good: np.ndarray, poor: np.ndarray, partners: int = PARTNER
     return good[a % n if n >= m else b % n], poor[b % m if n >= m else a % m]
 
 
-def fit(features: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights that minimise the mean of log(1 + exp(-weight . (features[better] - features[worse]))), by Adam."""
+def pair_sums(features: np.ndarray, better: np.ndarray, worse: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums over pairs, by rows: the loss log(1 + exp(-weight . difference)) and the pairs' number, each at its row's start, the gradient, the curvature."""
     n, d = features.shape
-    weight, first, second = np.zeros(d), np.zeros(d), np.zeros(d)
-    for step in range(1, steps + 1):
-        strength = features @ weight
-        miss = 1 / (1 + np.exp(np.clip(strength[better] - strength[worse], -30, 30)))
-        each = np.bincount(worse, miss, minlength=n) - np.bincount(better, miss, minlength=n)
-        g = each @ features / len(better) + RIDGE * weight
-        first = 0.9 * first + 0.1 * g
-        second = 0.999 * second + 0.001 * g * g
-        weight -= RATE * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    strength = features @ weight
+    margin = strength[better] - strength[worse]
+    miss = 1 / (1 + np.exp(np.clip(margin, -30, 30)))
+    bend = miss * (1 - miss)
+    left, row = np.unique(better, return_inverse=True)
+    right, column = np.unique(worse, return_inverse=True)
+    both = np.bincount(row * len(right) + column, bend, minlength=len(left) * len(right)).reshape(len(left), len(right))
+    cross = features[left].T @ (both @ features[right])
+    each = np.bincount(better, bend, minlength=n) + np.bincount(worse, bend, minlength=n)
+    out = np.zeros((d + 3, d))
+    out[:2, 0] = np.logaddexp(0, -margin).sum(), len(better)
+    out[2] = (np.bincount(worse, miss, minlength=n) - np.bincount(better, miss, minlength=n)) @ features
+    out[3:] = (features * each[:, None]).T @ features - cross - cross.T
+    return out
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], d: int, steps: int = STEPS) -> np.ndarray:
+    """Weights that minimise the mean loss of `pair_sums` and RIDGE / 2 of the squared weights; a step that goes too far is halved."""
+
+    def at(weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        found = sums(weight)
+        pairs = found[1, 0]
+        return found[0, 0] / pairs + RIDGE / 2 * weight @ weight, found[2] / pairs + RIDGE * weight, found[3:] / pairs + RIDGE * np.eye(d)
+
+    weight = np.zeros(d)
+    loss, slope, bend = at(weight)
+    for _ in range(steps):
+        step = np.linalg.solve(bend, slope)
+        gain, size = slope @ step, 1.0
+        if gain < GAIN:
+            return weight - step
+        tried = at(weight - step)
+        while tried[0] > loss - size * gain / 10000 and size > 1e-6:
+            size /= 2
+            tried = at(weight - size * step)
+        weight, (loss, slope, bend) = weight - size * step, tried
     return weight
 
 
+def fit(features: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Weights that minimise the mean of log(1 + exp(-weight . (features[better] - features[worse]))), of rows in memory."""
+    return newton(lambda weight: pair_sums(features, better, worse, weight), features.shape[1], steps)
+
+
+def block_sums(blocks: DataFrame, knots: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """`pair_sums` of all blocks."""
+    shape = len(weight) + 3, len(weight)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            for poor, packed in zip(b.column("poor").to_pylist(), b.column("features").to_pylist(), strict=True):
+                stats, shapes = _unpacked(zlib.decompress(packed))
+                if 0 < poor < len(stats):
+                    total += pair_sums(np.hstack([_hats(stats, knots), shapes]), *preference_pairs(np.arange(poor, len(stats)), np.arange(poor)), weight)
+        if total[1, 0]:
+            strips = [x.tobytes() for x in np.array_split(total, STRIPS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(STRIPS), pa.int32()), pa.array(strips, pa.binary())], names=["strip", "sums"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in sorted(parts.column("sums").to_pylist()))
+        return pa.table({"strip": parts.column("strip")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    lines = blocks.select("poor", "features").mapInArrow(of_task, "strip int, sums binary").groupBy("strip").applyInArrow(added, "strip int, sums binary")
+    strips = lines.toArrow().sort_by("strip").column("sums").to_pylist()  # STRIPS rows
+    return np.frombuffer(b"".join(strips)).reshape(shape)
+
+
 def quantile_cut(strength: np.ndarray, weight: np.ndarray, share: float) -> float:
     """Halfway between the last strength within the lowest `share` of the weight and the next."""
     order = np.argsort(strength, kind="stable")
@@ -192,39 +299,80 @@ def quantile_cut(strength: np.ndarray, weight: np.ndarray, share: float) -> floa
     return float(strength[order[at - 1 : at + 1]].mean())
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+def strength_cut(strengths: DataFrame, share: float, most: int = CUT_VALUES) -> float:
+    """`quantile_cut` of all rows of strength, rows (each strength once): all but the bin of the cut are only counted, time and again."""
+    part = strengths
+    total = strengths.agg(F.sum("rows")).first()[0]
+    lower, upper = (0.0, 0), (0.0, 0)  # the next strength below and above `part`, and all rows there
+    while True:
+        n, low, high = part.agg(F.count("*"), F.min("strength"), F.max("strength")).first()
+        if n <= most:
+            break
+        bin_ = F.least(F.floor((F.col("strength") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = part.groupBy(bin_.alias("bin")).agg(F.min("strength"), F.max("strength"), F.sum("rows")).orderBy("bin").collect()  # BINS rows at most
+        upto = lower[1] + np.cumsum([r[3] for r in bins])
+        at = min(int(np.searchsorted(upto, share * total * (1 + 1e-9), "right")), len(bins) - 1)  # the first that ends beyond the share
+        if at > 0:
+            lower = bins[at - 1][2], int(upto[at - 1])
+        if at + 1 < len(bins):
+            upper = bins[at + 1][1], total - int(upto[at])
+        part = part.where(F.col("strength").between(bins[at][1], bins[at][2]))
+    near = part.collect()  # `most` rows at most
+    found = sorted([(r["strength"], r["rows"]) for r in near] + [x for x in (lower, upper) if x[1]])
+    return quantile_cut(np.array([x[0] for x in found]), np.array([x[1] for x in found], np.float64), share) if len(found) > 1 else found[0][0]
+
+
+def strengths_of(rows: DataFrame, model: Model) -> DataFrame:
+    """strength, rows: how many training rows have it."""
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.strengths(*_unpacked(b"".join(b.column("features").to_pylist()))))], names=["strength"])
+
+    return rows.select("features").mapInArrow(strengths, "strength double").groupBy("strength").agg(F.count("*").alias("rows"))
+
+
+def _learned(table: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
+    rows = scratch.written(training_rows(table, labels), "rows")
+    total = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}  # two rows at most
+    if len(total) < 2:
+        return Model([np.array([0.0, 1.0])] * len(STATISTICS), np.zeros(2 * len(STATISTICS) + SHAPES), 0.0)
+    knots = statistic_knots(rows)
+    blocks = scratch.written(training_blocks(rows, total), "blocks")
+    model = Model(knots, newton(lambda weight: block_sums(blocks, knots, weight), sum(map(len, knots)) + SHAPES), 0.0)
+    model.cut = strength_cut(scratch.written(strengths_of(rows, model), "strengths"), total[0] / (total[0] + total[1]))
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
     scratch = Scratch(docs.sparkSession, "preferences")
     try:
-        known = scratch.written(labelled(docs, labels), "labelled")
-        total = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows at most
-        sample = scratch.written(training_rows(docs, known, most), "rows").orderBy("quality", "doc_id").select("quality", "features").toArrow()  # at most 2 * most rows
+        return _learned(scratch.written(features_of(docs), "features"), labels, scratch)
     finally:
         scratch.clear()
-    none = [np.array([0.0, 1.0])] * len(STATISTICS)
-    if len(total) < 2:
-        return Model(none, np.zeros(2 * len(STATISTICS) + SHAPES), 0.0)
-    quality = sample.column("quality").to_numpy()
-    raw = np.frombuffer(b"".join(sample.column("features").to_pylist()), "<f4").reshape(len(quality), -1).astype(np.float64)
-    stats, shapes = raw[:, : len(STATISTICS)], raw[:, len(STATISTICS) :]
-    knots = []
-    for x in stats.T:
-        at = np.unique(np.quantile(x, np.linspace(0, 1, KNOTS)))
-        knots.append(at if len(at) > 1 else np.array([at[0], at[0] + 1]))
-    features = np.hstack([_hats(stats, knots), shapes])
-    good, poor = np.flatnonzero(quality == 1), np.flatnonzero(quality == 0)
-    model = Model(knots, fit(features, *preference_pairs(good, poor)), 0.0)
-    share = total[0] / (total[0] + total[1])
-    model.cut = quantile_cut(features @ model.weight, np.where(quality == 1, (1 - share) / len(good), share / len(poor)), share)
-    return model
 
 
-def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
-
+def _scored(table: DataFrame, column: str, scores: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(b.column("text")))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column(column)))], names=["doc_id", "score"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = slim.mapInArrow(score, "doc_id long, score double")
+    scored = table.select("doc_id", column).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scored(slim, "text", lambda texts: model.scores(*text_features(texts)))
+
+
+def trained_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`quality_scores` by the model that `train` learns from the same documents, whose texts are read once for both."""
+    scratch = Scratch(docs.sparkSession, "preferences")
+    try:
+        table = scratch.written(features_of(docs), "features", keep=True)  # the result reads it
+        model = _learned(table, labels, scratch)
+    finally:
+        scratch.clear()
+    return _scored(table, "features", lambda packed: model.scores(*_unpacked(b"".join(packed.to_pylist()))))

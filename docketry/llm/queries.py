@@ -59,8 +59,7 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return bradley_terry.quality_scores(docs, bradley_terry.train(docs, read_table(spark, sf_dir, "labels")))
+    return bradley_terry.trained_scores(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,83 @@ def test_components_of_chains_stars_and_rings(spark):
         got = {r["uid"]: r["root"] for r in dart_minhash.components(spark.createDataFrame(some, "a long, b long"), scratch).collect()}
         assert got == {x: root(x) for x in parent if root(x) != x and any(x in p and p[0] != p[1] for p in some)}
         scratch.clear()
+
+
+def test_every_labelled_row_trains(spark):
+    prepared(spark)
+    rng = random.Random(5)
+    free = spark.range(12000).withColumnRenamed("id", "doc_id").where(~bradley_terry.held_out())
+    ids = [r[0] for r in free.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").collect()]
+    poor, plain, late = ids[:300], ids[300:4600], ids[4600:7000]  # the good ones of `late` come after 4300 others by hash
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    text = lambda end, n: " ".join(word() + end for _ in range(n))
+    rows = [(d, text("##", rng.randrange(10, 40))) for d in poor] + [(d, text("", rng.randrange(10, 40))) for d in plain]
+    rows += [(d, text("##", rng.randrange(10, 40)) + " " + text("7", rng.randrange(4, 9))) for d in late]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, int(k >= 300)) for k, d in enumerate(ids[:7000])], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in bradley_terry.quality_scores(docs, bradley_terry.train(docs, labels)).collect()}
+    assert sum(got[d] for d in late) >= 0.99 * len(late) and sum(got[d] for d in poor) <= 3
+    assert sum(1 - x for x in got.values()) == 300  # the cut leaves as many rows below it as are poor
+
+
+def test_scores_from_kept_features_are_those_from_texts(spark):
+    prepared(spark)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "Cde", "f##", "9x"]) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    rows = [(k, x) for k, x in enumerate(texts)] + [(None, "ab"), (500, None), (501, ""), (7, "other text"), (7, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int("#" not in x)) for k, x in enumerate(texts)] + [(7, 1), (None, 0), (900, 0), (3, None)], "doc_id long, quality int")
+    got, want = (sorted(map(str, x.collect())) for x in (bradley_terry.trained_scores(docs, labels), bradley_terry.quality_scores(docs, bradley_terry.train(docs, labels))))
+    assert got == want and len(got) == len(rows)
+    trained = bradley_terry.training_rows(bradley_terry.features_of(docs), labels).collect()
+    assert sorted(r["doc_id"] for r in trained) == [k for k in range(80) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert bradley_terry.trained_scores(docs.limit(0), labels).count() == 0
+
+
+def test_blocks_hold_all_rows_and_sum_as_one(spark, monkeypatch):
+    prepared(spark)
+    rng = np.random.default_rng(2)
+    width = len(bradley_terry.STATISTICS)
+    all_rows = [(k, int(k >= 6), rng.random(width + bradley_terry.SHAPES).astype("<f4").tobytes()) for k in range(200)]
+    rows = spark.createDataFrame(all_rows, "doc_id long, quality int, features binary").repartition(3).cache()
+    knots = bradley_terry.statistic_knots(rows)
+    raw = np.stack([np.frombuffer(r[2], "<f4") for r in all_rows]).astype(np.float64)
+    for k, x in enumerate(knots):
+        assert np.allclose(x, np.quantile(np.round(raw[:, k], 4), np.linspace(0, 1, bradley_terry.KNOTS)))
+
+    whole = bradley_terry.training_blocks(rows, {0: 6, 1: 194}).cache()
+    assert [r["poor"] for r in whole.collect()] == [6]
+    features = np.hstack([bradley_terry._hats(raw[:, :width], knots), raw[:, width:]])
+    pairs = bradley_terry.preference_pairs(np.arange(6, 200), np.arange(6))
+    weight = rng.normal(size=features.shape[1])
+    assert np.allclose(bradley_terry.block_sums(whole, knots, weight), bradley_terry.pair_sums(features, *pairs, weight))
+    fitted = bradley_terry.newton(lambda w: bradley_terry.block_sums(whole, knots, w), len(weight))
+    assert np.allclose(fitted, bradley_terry.fit(features, *pairs), atol=1e-6)
+    assert np.abs(bradley_terry.pair_sums(features, *pairs, fitted)[2] / len(pairs[0]) + bradley_terry.RIDGE * fitted).max() < 1e-6
+
+    monkeypatch.setattr(bradley_terry, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(bradley_terry, "RARE_ROWS", 4)
+    parts = bradley_terry.training_blocks(rows, {0: 6, 1: 194}).cache()
+    good, poor, expected = [], [], 0
+    for r in parts.collect():
+        packed = zlib.decompress(r["features"])
+        step = 4 * (width + bradley_terry.SHAPES)
+        own = [packed[at : at + step] for at in range(0, len(packed), step)]
+        poor, good = poor + own[: r["poor"]], good + own[r["poor"] :]
+        x = np.stack([np.frombuffer(f, "<f4") for f in own]).astype(np.float64)
+        x = np.hstack([bradley_terry._hats(x[:, :width], knots), x[:, width:]])
+        assert 0 < r["poor"] < len(own)
+        expected = expected + bradley_terry.pair_sums(x, *bradley_terry.preference_pairs(np.arange(r["poor"], len(own)), np.arange(r["poor"])), weight)
+    assert sorted(good) == sorted(r[2] for r in all_rows[6:]) and set(poor) == {r[2] for r in all_rows[:6]} and len(poor) == 6 * 7
+    assert np.allclose(bradley_terry.block_sums(parts, knots, weight), expected)
+
+
+@pytest.mark.parametrize("share", [0.0001, 0.13, 0.5, 0.9, 0.9999])
+def test_cut_by_refined_histograms(spark, share):
+    rng = np.random.default_rng(4)
+    values = [*np.unique(np.concatenate([rng.normal(size=300), rng.normal(size=300) * 1e-9 + 0.2])), 1e6]
+    rows = [int(x) for x in rng.integers(1, 50, len(values))]
+    table = spark.createDataFrame(list(zip(map(float, values), rows)), "strength double, rows long").cache()
+    want = bradley_terry.quantile_cut(np.array(values), np.array(rows, float), share)
+    assert bradley_terry.strength_cut(table, share, most=5) == bradley_terry.strength_cut(table, share) == want
+    assert bradley_terry.strength_cut(table.limit(1), share, most=5) == table.limit(1).first()[0]
