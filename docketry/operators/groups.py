@@ -1,8 +1,12 @@
-"""Groups of documents that look alike, by word runs of their texts: candidates, exact checks, connected components."""
+"""Groups of documents that look alike, by word runs of their texts: candidates, exact checks, connected components.
+
+Bands of minima find most links at little cost and fold large groups; a join by prefixes then finds every link
+between the groups that are left, so none is lost.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import normal_period
@@ -10,6 +14,8 @@ from docketry.operators.joins import held
 
 #: Word runs and likeness of a pair, bands and minima of a band. At a likeness of 0.5 a pair shares a band with probability 0.995.
 RUN, LIKE, BANDS, ROWS = 3, 0.5, 40, 3
+#: Documents of a run that are met at once, about: a run of more is dealt out in blocks. No document is left out.
+AT_ONCE = 1000
 
 
 def run_hashes(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -30,6 +36,33 @@ def candidate_links(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return members.join(least, ["band", "key"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
+def links_between(docs: DataFrame, like: float = LIKE, at_once: int = AT_ONCE) -> DataFrame:
+    """a, a_group, b, b_group: every pair of different groups that can be `like` alike, and few that are not.
+
+    docs: doc_id, group_id, runs. Two documents that are alike have like / (1 + like) of both sizes in
+    common, so in any one order of all runs the first of each document (its prefix; the smaller one's
+    is shorter) hold a common run. Runs of one group alone go first in that order, as they link nothing,
+    then those of few documents. A run's documents of one group are one row, or one for some `at_once`
+    of them, and rows of one group never meet.
+    """
+    here = Window.partitionBy("run")
+    shown = docs.select("doc_id", "group_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    between = F.min("group_id").over(here) < F.max("group_id").over(here)
+    open_runs = shown.withColumns({"ids": F.count("*").over(here), "between": between}).where("between").groupBy("doc_id", "group_id", "n").agg(F.array_sort(F.collect_list(F.struct("ids", "run"))).alias("open"))
+    # the least that a pair has in common: of the larger one's size, of the smaller one's, of both (a whole number stays one)
+    of_large, of_small, of_both = (lambda n, share=share: f"ceil({share!r}D * {n} - 1e-9D)" for share in (like, 2 * like / (1 + like), like / (1 + like)))
+    placed = open_runs.where(f"size(open) >= {of_large('n')}").select("doc_id", "group_id", "n", F.expr("n - size(open)").alias("before"), F.posexplode("open").alias("i", "x"))
+    prefix = placed.select("group_id", "x.ids", "x.run", F.struct("doc_id", "n", F.expr("before + i + 1").alias("place")).alias("member")).where(f"member.place <= member.n - {of_large('member.n')} + 1")
+    rows = prefix.withColumn("between", between).where("between").withColumn("part", F.expr(f"pmod(xxhash64(member.doc_id), 1 + ids div {at_once})")).groupBy("run", "group_id", "part").agg(F.first("ids").alias("ids"), F.collect_list("member").alias("members"))
+    # a run of many documents is met block by block, in as many tasks
+    left = rows.select("run", F.col("group_id").alias("a_group"), F.col("members").alias("a_members"), F.explode(F.expr(f"sequence(0, ids div {at_once})")).alias("block"))
+    small = F.expr(f"filter(members, m -> m.place <= m.n - {of_small('m.n')} + 1)")
+    right = rows.select("run", F.col("group_id").alias("b_group"), small.alias("b_members"), F.expr(f"pmod(xxhash64(group_id, part), 1 + ids div {at_once})").alias("block")).where("size(b_members) > 0")
+    met = left.join(right, ["run", "block"]).where("a_group <> b_group").select("a_group", "b_group", F.explode("a_members").alias("x"), "b_members").select("a_group", "b_group", "x", F.explode("b_members").alias("y"))
+    able = met.where(f"(y.n < x.n OR y.n = x.n AND y.doc_id < x.doc_id) AND y.n >= {of_large('x.n')} AND 1 + least(x.n - x.place, y.n - y.place) >= {of_both('(x.n + y.n)')}")
+    return able.select(F.col("x.doc_id").alias("a"), "a_group", F.col("y.doc_id").alias("b"), "b_group").distinct()
+
+
 def like_pairs(docs: DataFrame, links: DataFrame, like: float = LIKE) -> DataFrame:
     """a, b, similarity: those links whose run sets are at least `like` alike, exactly."""
     left = docs.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs"))
@@ -71,9 +104,12 @@ def alike_groups(docs: DataFrame, like: float = LIKE) -> DataFrame:
     runs = held(run_hashes(docs))
     alone = runs.groupBy("runs").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("ids"))
     one = held(alone.select("doc_id", "runs", "ids"))
-    pairs = like_pairs(one, candidate_links(one), like)
-    roots = components(pairs)
-    named = one.join(roots, one["doc_id"] == roots["member"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), "ids", "runs")
+    named = one.join(components(like_pairs(one, candidate_links(one), like)), F.col("doc_id") == F.col("member"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), "ids", "runs")
+    named = held(named)
+    # bands may pass over a link; what they left apart is joined exactly, and groups are joined by their names
+    between = held(links_between(named, like))
+    links = between.join(like_pairs(one, between.select("a", "b"), like).select("a", "b"), ["a", "b"]).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+    named = named.join(components(links), F.col("group_id") == F.col("member"), "left").select("doc_id", F.coalesce("root", "group_id").alias("group_id"), "ids", "runs")
     counted = named.groupBy("group_id").agg(F.sum("ids").alias("members")).where("members > 1")
     homes = named.join(counted, "group_id")
     # copies find their class by the run set's hashes and size, not by the set

@@ -1,5 +1,6 @@
 """Ledgers, structures, groups of like documents, and queries that have SQL of their own."""
 
+import collections
 import itertools
 import random
 
@@ -77,6 +78,59 @@ def test_groups_of_like_pages_against_all_pairs(spark):
     assert all(group[k] == group[k + 100_000] for k in range(3)) and not {900_000, 900_001, 900_002} & set(group)
 
 
+def _roots(runs, like=groups.LIKE):
+    """The smallest id that each text is joined to, by all pairs; texts that are alone are left out."""
+    root = {k: k for k in runs}
+    for a, b in itertools.combinations(sorted(runs), 2):
+        shared = len(runs[a] & runs[b])
+        if shared / (len(runs[a]) + len(runs[b]) - shared) >= like:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    count = collections.Counter(root.values())
+    return {k: (r, count[r]) for k, r in root.items() if count[r] > 1}
+
+
+def test_no_pair_is_lost_between_bands(spark):
+    texts = {}
+    for k in (1, 2, 423, 822, 1268):  # pairs with a likeness of exactly 0.5; bands of minima pass over the last three
+        mine = lambda part, n, k=k: [f"{part}{k}x{j}" for j in range(n)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(mine("s", 32) + mine("a", 15)), " ".join(mine("s", 32) + mine("b", 15))
+    found = groups.alike_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["group_id"], r["members"]) for r in found} == {k: (k // 2 * 2, 2) for k in texts}
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 1000])
+def test_links_between_groups_against_all_pairs(spark, at_once):
+    rng = random.Random(11)
+    lines = [[rng.randrange(10**6) for _ in range(rng.randint(1, 12))] for _ in range(30)]  # some are on most documents
+    runs = {}
+    for k in range(120):
+        shown = [line for j, line in enumerate(lines) if rng.random() < (0.9 if j < 4 else 0.2)]
+        runs[k] = {x for line in shown for x in line} | {rng.randrange(10**6) for _ in range(rng.randint(1, 25))}
+    runs[120], runs[121] = set(range(9)), set(range(9)) | set(range(100, 109))  # exactly 0.5
+    group = {k: k - k % 3 if k < 60 else k for k in runs}
+    docs = spark.createDataFrame([(k, group[k], sorted(r)) for k, r in runs.items()], "doc_id long, group_id long, runs array<long>")
+    for like in (0.5, 0.3, 0.8):
+        alike = {(a, b) for a, b in itertools.combinations(sorted(runs), 2) if group[a] != group[b] and len(runs[a] & runs[b]) / len(runs[a] | runs[b]) >= like}
+        got = groups.links_between(docs, like, at_once).collect()
+        assert alike and alike <= {tuple(sorted((r["a"], r["b"]))) for r in got} and len({frozenset((r["a"], r["b"])) for r in got}) == len(got)
+        assert all((r["a_group"], r["b_group"]) == (group[r["a"]], group[r["b"]]) and r["a_group"] != r["b_group"] for r in got)
+
+
+def test_groups_equal_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    base = [f"w{j}" for j in range(40)]
+    texts = {}
+    for k in range(150):  # chains of texts that drift apart, copies, and lines that all show
+        words = list(base) if k % 30 == 0 else texts[k - 1].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(4000)}"
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    runs = {k: set(zip(*[t.split()[j:] for j in range(groups.RUN)])) for k, t in texts.items()}
+    assert {r["doc_id"]: (r["group_id"], r["members"]) for r in groups.alike_groups(docs).collect()} == _roots(runs)
+
+
 def test_texts_beside_a_large_table_do_not_need_its_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(k, k % 3 if k % 7 else None, "t" * 50) for k in range(60)], "id int, company_id int, text string")
     taught = spark.createDataFrame([(c, [f"x{c}"] * 3) for c in range(2)], "company_id int, taught array<string>")
