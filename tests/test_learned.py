@@ -1,8 +1,10 @@
 """Learned routes, taught periods, date candidates, self-validation and product checks on hand-worked tables."""
 
+import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import checks, dates, joins, learn, learned, segment, workspace
@@ -26,6 +28,48 @@ def test_section_hints(spark):
     assert learned.example_shares(learned.normal_texts(named), examples).first()["example_scores"] == {"GIR": 2 / 3}
 
 
+@pytest.mark.parametrize("most", [1 << 24, -1])  # prints in every worker, or joined
+def test_enriched_hints_against_every_print_and_term(spark, monkeypatch, most):
+    rng = random.Random(8)
+    raw = ["Guia_IRS", "guia", "irs", "ir", "r", "Retenção na fonte", "fonte/recibo", "recibo", "Ção", "12", "valor", "--", "", None, "número três", "vencimento", "venci", "😀 fim", "fim"]
+    normal = ["guia irs", "guia", "irs", "ir", "r", "retencao na fonte", "fonte recibo", "recibo", "cao", "12", "valor", "", "", None, "numero tres", "vencimento", "venci", "😀 fim", "fim"]
+    plain = dict(zip(raw, normal))
+    lists = [n for n, *_ in learned.ENRICHED]
+    prints = [(None if k % 20 == 0 else 0 if k % 3 == 0 else k % 97, k, rng.choice(["GIR", "LC", "XX", "PIR"]), *[rng.choices(raw, k=rng.choice([0, 1, 2, 20])) if rng.random() < 0.3 else None for _ in lists]) for k in range(400)]
+    words = " ".join(x for x in normal if x).split(" ") + ["guiairs", "xretencao", "na", "reci", "tr\u0101s"]
+    docs = [(k, rng.choice([0, 200, None, *range(1, 97)]), " ".join(rng.choices(words, k=rng.choice([0, 1, 3]))), " ".join(rng.choices(words, k=rng.choice([0, 1, 6, 40])))) for k in range(600)]
+    docs.append((600, 0, "x" * 50_000 + " retencao na fonte", "numero tresvencimento"))
+    want = {}
+    for key, company, name, body in docs:
+        taught = sorted((p for p in prints if p[0] == company is not None and p[2] != "XX"), key=lambda p: -p[1])[: learned.FINGERPRINTS]
+        best = (None, 0.0)
+        for p in reversed(taught):
+            score = 0.0
+            for (_, most_terms, many, one, useful), terms in zip(learned.ENRICHED, p[3:]):
+                for x in (terms or [])[:most_terms]:
+                    n = plain[x]
+                    fit = n and (not useful or len(n) > 2 and n not in learned.GENERIC_TERMS and not n.isdigit())
+                    score += (many if " " in x else one) if fit and n in f"{name} {body}" else 0.0
+            score = max(0.0, min(0.98, score))
+            best = (p[2], score) if score > best[1] else best
+        want[key] = best if best[1] >= learned.ENRICHED_LEAST else (None, None)
+    monkeypatch.setattr(learned, "MOST_TAUGHT", most)
+    table = spark.createDataFrame(prints, "company_id long, seq long, document_code string, " + ", ".join(f"{n} array<string>" for n in lists))
+    found = learned.enriched_hint(spark.createDataFrame(docs, "doc_id long, company_id long, name_text string, body_text string"), table)
+    assert {r["doc_id"]: (r["learned_code"], r["learned_score"]) for r in found.collect()} == want and len({v for v in want.values()}) > 20
+    assert found.columns == ["doc_id", "company_id", "name_text", "body_text", "learned_code", "learned_score"]
+    none = learned.enriched_hint(found.select("doc_id", "company_id", "name_text", "body_text"), table.where("seq < 0"))
+    assert none.where("learned_code IS NULL AND learned_score IS NULL").count() == len(docs)
+
+
+def test_terms_of_prints_are_brought_into_normal_form_once(spark):
+    prints = spark.range(1).selectExpr("1L AS company_id", "id AS seq", "'GIR' AS document_code", *[f"array('Guia IRS') AS {n}" for n, *_ in learned.ENRICHED])
+    docs = spark.range(5).selectExpr("id AS doc_id", "1L AS company_id", "'x' AS name_text", "'guia irs' AS body_text")
+    found = learned.enriched_hint(docs, prints)
+    assert found.where("learned_score = 0.98").count() == 5
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no document does so for each term of each print
+
+
 def test_taught_periods(spark):
     lines = [("Periodo", 10.0, 90.0), ("03/2025", 30.0, 90.0), ("Outro 01/2024", 10.0, 20.0)]
     rows = [
