@@ -101,17 +101,16 @@ def alike_groups(docs: DataFrame, like: float = LIKE) -> DataFrame:
     docs: doc_id (long), text. Equal run sets stand for one another, so a group of copies is one row
     until its members are counted.
     """
-    runs = held(run_hashes(docs))
-    alone = runs.groupBy("runs").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("ids"))
-    one = held(alone.select("doc_id", "runs", "ids"))
-    named = one.join(components(like_pairs(one, candidate_links(one), like)), F.col("doc_id") == F.col("member"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), "ids", "runs")
-    named = held(named)
+    # copies find their class by the run set's hashes and size, not by the set
+    key = ["x", "y", "z"]
+    runs = held(run_hashes(docs).select("doc_id", "runs", F.xxhash64("runs").alias("x"), F.hash("runs").alias("y"), F.size("runs").alias("z")))
+    copies = held(runs.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("ids")))
+    one = runs.join(copies.select("doc_id", *key), ["doc_id", *key], "left_semi").select("doc_id", "runs")
+    roots = components(like_pairs(one, candidate_links(one), like))
+    named = held(copies.join(roots, F.col("doc_id") == F.col("member"), "left").select("doc_id", *key, "ids", F.coalesce("root", "doc_id").alias("group_id")))
     # bands may pass over a link; what they left apart is joined exactly, and groups are joined by their names
-    between = held(links_between(named, like))
+    between = held(links_between(one.join(named.select("doc_id", "group_id"), "doc_id"), like))
     links = between.join(like_pairs(one, between.select("a", "b"), like).select("a", "b"), ["a", "b"]).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
-    named = named.join(components(links), F.col("group_id") == F.col("member"), "left").select("doc_id", F.coalesce("root", "group_id").alias("group_id"), "ids", "runs")
+    named = named.join(components(links), F.col("group_id") == F.col("member"), "left").select(*key, "ids", F.coalesce("root", "group_id").alias("group_id"))
     counted = named.groupBy("group_id").agg(F.sum("ids").alias("members")).where("members > 1")
-    homes = named.join(counted, "group_id")
-    # copies find their class by the run set's hashes and size, not by the set
-    key = lambda c: [F.xxhash64(c).alias("x"), F.hash(c).alias("y"), F.size(c).alias("z")]
-    return runs.select("doc_id", *key("runs")).join(homes.select(*key("runs"), "group_id", "members"), ["x", "y", "z"]).select("doc_id", "group_id", "members")
+    return runs.select("doc_id", *key).join(named.join(counted, "group_id"), key).select("doc_id", "group_id", "members")
