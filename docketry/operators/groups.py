@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import normal_period
-from docketry.operators.joins import held
+from docketry.operators.joins import held, small
 
 #: Word runs and likeness of a pair, bands and minima of a band. At a likeness of 0.5 a pair shares a band with probability 0.995.
 RUN, LIKE, BANDS, ROWS = 3, 0.5, 40, 3
 #: Documents of a run that are met at once, about: a run of more is dealt out in blocks. No document is left out.
 AT_ONCE = 1000
+#: Ids that are broadcast to run sets, at most: so many take some 20 MB; of more, run sets and ids meet by a shuffle.
+MOST_IDS = 500_000
 
 
 def run_hashes(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -56,8 +58,8 @@ def links_between(docs: DataFrame, like: float = LIKE, at_once: int = AT_ONCE) -
     rows = prefix.withColumn("between", between).where("between").withColumn("part", F.expr(f"pmod(xxhash64(member.doc_id), 1 + ids div {at_once})")).groupBy("run", "group_id", "part").agg(F.first("ids").alias("ids"), F.collect_list("member").alias("members"))
     # a run of many documents is met block by block, in as many tasks
     left = rows.select("run", F.col("group_id").alias("a_group"), F.col("members").alias("a_members"), F.explode(F.expr(f"sequence(0, ids div {at_once})")).alias("block"))
-    small = F.expr(f"filter(members, m -> m.place <= m.n - {of_small('m.n')} + 1)")
-    right = rows.select("run", F.col("group_id").alias("b_group"), small.alias("b_members"), F.expr(f"pmod(xxhash64(group_id, part), 1 + ids div {at_once})").alias("block")).where("size(b_members) > 0")
+    shorter = F.expr(f"filter(members, m -> m.place <= m.n - {of_small('m.n')} + 1)")
+    right = rows.select("run", F.col("group_id").alias("b_group"), shorter.alias("b_members"), F.expr(f"pmod(xxhash64(group_id, part), 1 + ids div {at_once})").alias("block")).where("size(b_members) > 0")
     met = left.join(right, ["run", "block"]).where("a_group <> b_group").select("a_group", "b_group", F.explode("a_members").alias("x"), "b_members").select("a_group", "b_group", "x", F.explode("b_members").alias("y"))
     able = met.where(f"(y.n < x.n OR y.n = x.n AND y.doc_id < x.doc_id) AND y.n >= {of_large('x.n')} AND 1 + least(x.n - x.place, y.n - y.place) >= {of_both('(x.n + y.n)')}")
     return able.select(F.col("x.doc_id").alias("a"), "a_group", F.col("y.doc_id").alias("b"), "b_group").distinct()
@@ -105,11 +107,11 @@ def alike_groups(docs: DataFrame, like: float = LIKE) -> DataFrame:
     key = ["x", "y", "z"]
     runs = held(run_hashes(docs).select("doc_id", "runs", F.xxhash64("runs").alias("x"), F.hash("runs").alias("y"), F.size("runs").alias("z")))
     copies = held(runs.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("ids")))
-    one = runs.join(copies.select("doc_id", *key), ["doc_id", *key], "left_semi").select("doc_id", "runs")
+    one = runs.join(small(copies.select("doc_id", *key), MOST_IDS), ["doc_id", *key], "left_semi").select("doc_id", "runs")
     roots = components(like_pairs(one, candidate_links(one), like))
     named = held(copies.join(roots, F.col("doc_id") == F.col("member"), "left").select("doc_id", *key, "ids", F.coalesce("root", "doc_id").alias("group_id")))
     # bands may pass over a link; what they left apart is joined exactly, and groups are joined by their names
-    between = held(links_between(one.join(named.select("doc_id", "group_id"), "doc_id"), like))
+    between = held(links_between(one.join(small(named.select("doc_id", "group_id"), MOST_IDS), "doc_id"), like))
     links = between.join(like_pairs(one, between.select("a", "b"), like).select("a", "b"), ["a", "b"]).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
     named = named.join(components(links), F.col("group_id") == F.col("member"), "left").select(*key, "ids", F.coalesce("root", "group_id").alias("group_id"))
     counted = named.groupBy("group_id").agg(F.sum("ids").alias("members")).where("members > 1")
